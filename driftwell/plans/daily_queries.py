@@ -251,7 +251,7 @@ def participant_rollup(spark, sf):
 
 @query(
     "E13_binarize_at_median",
-    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+    """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey,
   CAST(l_extendedprice > (SELECT median(l_extendedprice) FROM lineitem WHERE l_shipdate < TIMESTAMP '1999-01-01') AS BIGINT) AS label
 FROM lineitem""",
 )

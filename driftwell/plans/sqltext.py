@@ -63,7 +63,7 @@ b1 AS (
          {fm(quant("arr", 0.25))} AS q1, {fm(quant("arr", 0.75))} AS q3
   FROM b0),
 b2 AS (
-  SELECT *, list_sort(list_transform(arr, v -> abs(v - {mi('baseline_median')}))) AS dev, {r4("(q3-q1)")} AS iqr,
+  SELECT *, list_sort([abs(v - {mi('baseline_median')}) for v in arr]) AS dev, {r4("(q3-q1)")} AS iqr,
          CASE WHEN baseline_mean <> 0 THEN {r4("(baseline_std/baseline_mean)")} ELSE 0 END AS cv0
   FROM b1),
 b3 AS (

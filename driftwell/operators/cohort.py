@@ -90,5 +90,7 @@ def compare(df: DataFrame, pairs: DataFrame, risk: str = "risk_index", key: str
 
 def quality_panel(status: DataFrame, keys: list[str]) -> DataFrame:
     """Rounded mean quality in percent over the modalities that have one."""
-    pct = F.floor(F.avg(F.col("quality_score")) * 100 + 0.5)
+    # Whole ten-thousandths are averaged, so a tie rounds the same way in every run.
+    parts = F.floor(F.col("quality_score") * 10000 + 0.5)
+    pct = F.floor(F.sum(parts) / F.count(parts) / 100 + 0.5)
     return status.where(F.col("quality_score").isNotNull()).groupBy(*keys).agg(pct.alias("avg_quality_pct"))

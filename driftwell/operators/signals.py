@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from driftwell.functions.numeric import clamp, reasons, round4, round_half_away
 from driftwell.operators.ordered import sequenced
+from driftwell.session import cut_lineage
 
 KEY = "session_id"
 CHUNK = 60_000.0
@@ -165,14 +166,15 @@ def walking_peaks(acc: DataFrame, key: str = KEY, chunk: float = CHUNK, tie: str
     seq = sequenced(sig, [key], "t_ms", chunk, ["mag"], tie=tie).join(stats, key)
     v = F.col("mag")
     peak = (v > F.col("prev_mag")) & (v > F.col("next_mag")) & (v - F.col("mean") > prominence * F.col("sd")) & (F.col("n_samples") >= 20)
-    return refractory(seq.where(peak).select(key, "t_ms", *([tie] if tie else [])), key, MIN_STEP_MS, chunk, tie)
+    candidates = cut_lineage(seq.where(peak).select(key, "t_ms", *([tie] if tie else [])))
+    return refractory(candidates, key, MIN_STEP_MS, chunk, tie)
 
 
 def walking_features(acc: DataFrame, key: str = KEY, chunk: float = CHUNK, tie: str | None = None) -> DataFrame:
     """Cadence, stride mean and variation, movement regularity and step symmetry per recording."""
     sig = with_magnitude(acc)
     stats = signal_moments(sig, key, "mag")
-    peaks = walking_peaks(acc, key, chunk, tie)
+    peaks = cut_lineage(walking_peaks(acc, key, chunk, tie))
     counts = peaks.groupBy(key).agg(F.count(F.lit(1)).alias("peaks"))
     steps = sequenced(peaks, [key], "t_ms", chunk, ["t_ms"]).withColumn("step", _d("t_ms") - _d("prev_t_ms"))
     valid = sequenced(steps.where(F.col("step").between(MIN_STEP_MS, MAX_STEP_MS)).select(key, "t_ms", "step"), [key], "t_ms", chunk)
@@ -270,7 +272,7 @@ def step_regularity(force: DataFrame, key: str, value: str, rate_hz: float = 100
 
 
 def stance_swing(force: DataFrame, key: str, value: str, rate_hz: float = 100.0, chunk: float = CHUNK, threshold: float = 0.10) -> DataFrame:
-    """One row per completed stance: its duration and that of the following swing, by crossing 10 % of the peak force.
+    """One row per completed stance: its length and that of the following swing (samples and seconds), by crossing 10 % of the peak force.
 
     Only the crossings - about two per step - are ordered a second time. Needs ``idx``. Durations outside 0.2-2 s are
     dropped; a swing counts only after a valid stance.
@@ -286,23 +288,26 @@ def stance_swing(force: DataFrame, key: str, value: str, rate_hz: float = 100.0,
     near = sequenced(crossings, [key], "pos", chunk, ["pos"])
     stance, swing = F.col("pos") - F.col("prev_pos"), F.col("next_pos") - F.col("pos")
     return near.where((F.col("change") == -1) & stance.between(lo, hi)).select(
-        key, (stance / rate_hz).alias("stance_s"), F.when(swing.between(lo, hi), swing / rate_hz).alias("swing_s")
-    )
+        key, stance.alias("stance_n"), F.when(swing.between(lo, hi), swing).alias("swing_n")
+    ).withColumns({"stance_s": F.col("stance_n") / rate_hz, "swing_s": F.col("swing_n") / rate_hz})
 
 
 def gait_features(force: DataFrame, key: str, rate_hz: float = 100.0, chunk: float = CHUNK, stride_m: float = 0.72, tie: str | None = None) -> DataFrame:
     """Gait features per trial from both feet; a step interval is a stance with its own swing (unpaired ones drop out)."""
     f = force.withColumns({"left": F.coalesce(_d("total_left"), F.lit(0.0)), "right": F.coalesce(_d("total_right"), F.lit(0.0))})
-    f = sequenced(f.withColumn("total", F.col("left") + F.col("right")), [key], "time", chunk, tie=tie)
+    slim = f.select(key, "time", "left", "right", (F.col("left") + F.col("right")).alias("total"), *([tie] if tie else []))
+    # Read by both feet, the trial totals and the autocorrelation, so it is ordered once and written.
+    f = cut_lineage(sequenced(slim, [key], "time", chunk, tie=tie))
     per_foot = stance_swing(f, key, "left", rate_hz, chunk).unionByName(stance_swing(f, key, "right", rate_hz, chunk))
-    step = 2.0 * (F.col("stance_s") + F.col("swing_s"))
+    # Lengths are averaged in whole samples: exact, whatever the order of rows.
+    step = F.col("stance_n") + F.col("swing_n")
     steps = per_foot.groupBy(key).agg(
-        F.count("stance_s").alias("stances"),
-        F.avg("stance_s").alias("stance"),
-        F.avg("swing_s").alias("swing"),
+        F.count("stance_n").alias("stances"),
+        F.avg("stance_n").alias("stance"),
+        F.avg("swing_n").alias("swing"),
         F.count(step).alias("steps"),
-        F.avg(step).alias("stride"),
-        F.stddev_pop(step).alias("stride_sd"),
+        (F.avg(step) * (2.0 / rate_hz)).alias("stride"),
+        (F.stddev_pop(step) * (2.0 / rate_hz)).alias("stride_sd"),
     )
     trial = f.groupBy(key).agg(
         (F.max("time") - F.min("time")).cast("double").alias("duration"),

@@ -148,7 +148,7 @@ def _foot(c: str) -> str:
     return f"""{c}f AS (SELECT session_id, i, CASE WHEN {c} > 0.1::DOUBLE*max({c}) OVER (PARTITION BY session_id) THEN 1 ELSE 0 END AS o FROM fo),
 {c}c AS (SELECT session_id, i, o - coalesce(lag(o) OVER (PARTITION BY session_id ORDER BY i), 0) AS ch FROM {c}f),
 {c}n AS (SELECT session_id, ch, i - lag(i) OVER w AS stn, lead(i) OVER w - i AS swg FROM {c}c WHERE ch <> 0 WINDOW w AS (PARTITION BY session_id ORDER BY i)),
-{c}s AS (SELECT session_id, stn/1e1 AS stance_s, CASE WHEN swg BETWEEN 2 AND 20 THEN swg/1e1 END AS swing_s FROM {c}n WHERE ch = -1 AND stn BETWEEN 2 AND 20)"""
+{c}s AS (SELECT session_id, stn, CASE WHEN swg BETWEEN 2 AND 20 THEN swg END AS swg, stn/1e1 AS stance_s, CASE WHEN swg BETWEEN 2 AND 20 THEN swg/1e1 END AS swing_s FROM {c}n WHERE ch = -1 AND stn BETWEEN 2 AND 20)"""
 
 
 @query("D6_step_regularity", f"WITH {FORCE} SELECT session_id, step_regularity FROM rg")
@@ -164,12 +164,12 @@ def stance_swing(spark, sf):
     from driftwell.operators.ordered import sequenced
 
     f = sequenced(_force(spark, sf), ["session_id"], "time", CHUNK, tie="event_id")
-    return sg.stance_swing(f, "session_id", "total_left", RATE, 16.0)
+    return sg.stance_swing(f, "session_id", "total_left", RATE, 16.0).select("session_id", "stance_s", "swing_s")
 
 
 GAIT_SQL = f"""{FORCE}, {_foot('l')}, {_foot('r')},
 both_feet AS (SELECT * FROM ls UNION ALL SELECT * FROM rs),
-sp AS (SELECT session_id, count(*) AS st, avg(stance_s) AS sa, avg(swing_s) AS sw, count(swing_s) AS k, avg(2e0*(stance_s+swing_s)) AS m, stddev_pop(2e0*(stance_s+swing_s)) AS sd FROM both_feet GROUP BY ALL),
+sp AS (SELECT session_id, count(*) AS st, avg(stn) AS sa, avg(swg) AS sw, count(swg) AS k, avg(stn+swg)*(2e0/1e1) AS m, stddev_pop(stn+swg)*(2e0/1e1) AS sd FROM both_feet GROUP BY ALL),
 ga AS (SELECT fs.*, sp.* EXCLUDE (session_id), step_regularity, {r4("m")} AS mr, (lm+rm)/2 AS ce FROM fs LEFT JOIN sp USING (session_id) LEFT JOIN rg USING (session_id)),
 gait AS (SELECT session_id, {rn("dur", 2)} AS trial_duration_s, CASE WHEN st >= 2 AND sw > 0 THEN {r4("(sa/sw)")} END AS stance_swing_ratio,
   CASE WHEN st >= 2 AND k >= 2 THEN mr END AS stride_interval_mean_s, CASE WHEN st >= 2 AND k >= 2 THEN {r4("(sd/(m+1e-12)*1e2)")} END AS stride_interval_cv_pct,

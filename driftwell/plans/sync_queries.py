@@ -305,9 +305,8 @@ def compare(spark, sf):
     return co.compare(c, c.select(F.col("participant_id").alias("a"), (F.col("participant_id") + 1).alias("b")))
 
 
-@query("H22_quality_panel", f"WITH {STATUS} SELECT participant_id, CAST(date AS VARCHAR) AS date, CAST(floor(avg(quality_score)*1e2+0.5) AS BIGINT) AS avg_quality_pct FROM status GROUP BY participant_id, date")
+@query("H22_quality_panel", f"WITH {STATUS} SELECT participant_id, CAST(date AS VARCHAR) AS date, CAST(floor(CAST(sum(CAST(floor(quality_score*1e4+0.5) AS BIGINT)) AS DOUBLE)/count(*)/1e2+0.5) AS BIGINT) AS avg_quality_pct FROM status GROUP BY participant_id, date")
 def quality_panel(spark, sf):
-    # Scores have four decimals, so the average is taken over integers and cannot depend on the order of rows.
     return co.quality_panel(dy.modality_status(tb.sessions(spark, sf)), ["participant_id", "date"])
 
 

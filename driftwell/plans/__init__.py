@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["daily", "baseline", "trend", "quality", "projection", "signal", "sync"]
+FAMILIES = ["daily", "baseline", "trend", "quality", "projection", "signal", "sync", "model"]
 
 
 def load():

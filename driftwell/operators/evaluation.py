@@ -106,7 +106,8 @@ def brier(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def poisson_weight(*seed: Column) -> Column:
     """Poisson(1) draw from a hash: the same row and replicate always weigh the same, however data is partitioned."""
-    u = F.pmod(F.xxhash64(*seed), F.lit(1 << 30)) / float(1 << 30)
+    text = F.concat_ws(":", *[c.cast("string") for c in seed])
+    u = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
     total, steps = 0.0, []
     for k in range(9):
         total += math.exp(-1) / math.factorial(k)

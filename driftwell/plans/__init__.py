@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["daily", "baseline", "trend", "quality", "projection", "signal", "sync", "model"]
+FAMILIES = ["source", "daily", "baseline", "trend", "quality", "projection", "signal", "sync", "model", "compliance", "streaming"]
 
 
 def load():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
@@ -202,7 +204,24 @@ def binary_metrics(spark, sf):
     return ev.binary_metrics(_order_scores(spark, sf), "y", "s")
 
 
-@query("I13_bootstrap_auc_diff")
+_cdf, _acc = [], 0.0
+for _k in range(9):
+    _acc += math.exp(-1) / math.factorial(_k)
+    _cdf.append(_acc)
+_w = " + ".join(f"CASE WHEN u >= {c!r}::DOUBLE THEN 1 ELSE 0 END" for c in _cdf)
+
+
+@query(
+    "I13_bootstrap_auc_diff",
+    f"""WITH b AS (SELECT doc_id, toxic AS y, {r4("least(n_chars/2e4, 1e0)")} AS a FROM documents JOIN labels USING (doc_id)),
+r AS (SELECT y, a, rep, CAST(CAST('0x' || substr(md5(doc_id || ':' || rep || ':42'), 1, 8) AS BIGINT) AS DOUBLE)/4294967296e0 AS u FROM b, (SELECT unnest(range(1, 1001)) AS rep)),
+w AS (SELECT y, a, rep, {_w} AS w FROM r),
+c AS (SELECT rep, a AS s, sum(w*y) AS pos, sum(w*(1-y)) AS neg FROM w WHERE w > 0 GROUP BY ALL),
+q AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY rep ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM c),
+d AS (SELECT rep, CAST(sum(pos*(2*nb+neg)) AS DOUBLE)/(2*CAST(sum(pos) AS DOUBLE)*CAST(sum(neg) AS DOUBLE)) - 0.5::DOUBLE AS d FROM q GROUP BY rep HAVING sum(pos) > 0 AND sum(neg) > 0),
+g AS (SELECT count(*) AS replicates, avg(d) AS m, quantile_cont(d, 0.025::DOUBLE) AS lo, quantile_cont(d, 0.975::DOUBLE) AS hi FROM d)
+SELECT replicates, {r4("m")} AS auc_diff_mean, {r4("lo")} AS ci_lower, {r4("hi")} AS ci_upper, {r4("lo")} > 0 AS significant FROM g""",
+)
 def bootstrap(spark, sf):
     docs = tb.table(spark, sf, "documents").join(tb.table(spark, sf, "labels"), "doc_id")
     s = docs.select("doc_id", "toxic", F.least(F.col("n_chars") / 2e4, F.lit(1.0)).alias("a"), F.lit(0.5).alias("b"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,11 +23,17 @@ def build_session(app: str = "driftwell", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one without it."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix=f"driftwell-{name}-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder the cluster names; a temporary one only where none is set."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="driftwell-checkpoint-"))
+        context.setCheckpointDir(scratch_folder(df.sparkSession, "checkpoint"))
     return df.checkpoint()

@@ -54,10 +54,16 @@ def parse_sensor_lines(lines: DataFrame, column: str = "value", *keep: str) -> D
     """Whitespace-separated numeric lines to the 19 sensor columns; an unreadable field is null, a null time drops the
     row, a frame without
     any channel is dropped, and an absent total is the sum of its eight channels."""
-    parts = F.split(F.trim(F.col(column)), r"\s+")
-    fields = [F.get(parts, F.lit(i)).try_cast("double").alias(name) for i, name in enumerate(SENSOR_COLUMNS)]
-    channels = [F.col(c) for c in SENSOR_COLUMNS[1:17]]
-    df = lines.select(*keep, *fields).where(F.col("time").isNotNull() & F.coalesce(*channels).isNotNull())
+    def number(text):
+        value = text.try_cast("double")
+        return F.when(~F.isnan(value), value)
+
+    fields = F.transform(F.split(F.trim(F.col(column)), r"\s+"), number)
+    # The row filter looks at the array, so the line is split twice at most and not once per column.
+    usable = lines.select(*keep, fields.alias("_f")).where(
+        F.get("_f", F.lit(0)).isNotNull() & F.exists(F.slice("_f", 2, 16), lambda v: v.isNotNull())
+    )
+    df = usable.select(*keep, *[F.get("_f", F.lit(i)).alias(name) for i, name in enumerate(SENSOR_COLUMNS)])
     return df.withColumns(
         {
             f"total_{side}": F.coalesce(f"total_{side}", null_safe_sum([F.col(f"{side[0]}{i}") for i in range(1, 9)]))

@@ -1,0 +1 @@
+"""Structured Streaming forms of ingest, roll-up, baseline and reconciliation."""

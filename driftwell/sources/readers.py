@@ -50,20 +50,24 @@ MIN_TRIAL_SECONDS = 10.0
 TRIAL_NAME = r"^([A-Za-z]{2})(Co|Pt)(\d+)_(\d+)"
 
 
+def _known(value):
+    return F.nanvl(value, F.lit(None).cast("double"))
+
+
 def parse_sensor_lines(lines: DataFrame, column: str = "value", *keep: str) -> DataFrame:
     """Whitespace-separated numeric lines to the 19 sensor columns; an unreadable field is null, a null time drops the
     row, a frame without
     any channel is dropped, and an absent total is the sum of its eight channels."""
-    def number(text):
-        value = text.try_cast("double")
-        return F.when(~F.isnan(value), value)
-
-    fields = F.transform(F.split(F.trim(F.col(column)), r"\s+"), number)
-    # The row filter looks at the array, so the line is split twice at most and not once per column.
-    usable = lines.select(*keep, fields.alias("_f")).where(
-        F.get("_f", F.lit(0)).isNotNull() & F.exists(F.slice("_f", 2, 16), lambda v: v.isNotNull())
-    )
-    df = usable.select(*keep, *[F.get("_f", F.lit(i)).alias(name) for i, name in enumerate(SENSOR_COLUMNS)])
+    schema = ", ".join(f"{c} DOUBLE" for c in SENSOR_COLUMNS)
+    flat = F.regexp_replace(F.trim(F.col(column)), r"\s+", " ")
+    def usable(r):
+        channels = F.coalesce(*[_known(r[c]) for c in SENSOR_COLUMNS[1:17]])
+        return _known(r["time"]).isNotNull() & channels.isNotNull()
+
+    # The rows are dropped inside the generator: a filter above the parsed columns would be pushed below and parse the
+    # line once per column it mentions.
+    rows = lines.select(*keep, F.inline(F.filter(F.array(F.from_csv(flat, schema, {"sep": " "})), usable)))
+    df = rows.select(*keep, *[_known(F.col(c)).alias(c) for c in SENSOR_COLUMNS])
     return df.withColumns(
         {
             f"total_{side}": F.coalesce(f"total_{side}", null_safe_sum([F.col(f"{side[0]}{i}") for i in range(1, 9)]))

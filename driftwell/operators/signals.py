@@ -242,15 +242,14 @@ def step_regularity(force: DataFrame, key: str, value: str, rate_hz: float = 100
     """Largest normalised autocorrelation over lags of 0.2-2.5 s, clipped to [0, 1]; needs ``idx``.
 
     Samples are grouped into blocks of fixed length plus the following lag range, so each task sums its own block's
-    products for all lags from one bounded array; rows are repeated at most once instead of once per lag.
+    products for all lags from one bounded array; with a block longer than the lag range a row is repeated at most once
+    instead of once per lag.
     """
     lo, hi = int(0.2 * rate_hz), int(2.5 * rate_hz)
     stats = force.groupBy(key).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
     dev = force.select(key, "idx", F.col(value).alias("v")).join(stats, key).withColumn("d", F.col("v") - F.col("mean"))
-    own = F.floor(F.col("idx") / block)
-    homes = F.when(
-        (own > 0) & (F.col("idx") % block < hi), F.array(own, own - 1)
-    ).otherwise(F.array(own))
+    # A sample serves its own block and every earlier block from which a lag can reach it.
+    homes = F.sequence(F.greatest(F.lit(0), F.floor((F.col("idx") - (hi - 1)) / block)), F.floor(F.col("idx") / block))
     placed = dev.select(key, "n", "idx", "d", F.explode(homes).alias("b"))
     arrays = placed.groupBy(key, "n", "b").agg(F.sort_array(F.collect_list(F.struct("idx", "d"))).alias("a")).select(
         key, "n", F.transform("a", lambda e: e["d"]).alias("a"), F.least(F.lit(block), F.size("a")).alias("m")

@@ -86,41 +86,48 @@ def modality_status(sessions: DataFrame, threshold: float = fv.MIN_QUALITY) -> D
     )
 
 
-def missingness_tracker(status: DataFrame) -> DataFrame:
-    """Available, missing and low-quality modality arrays per day, in the fixed modality order."""
-    flags = status.groupBy(*DAY).agg(
-        *[F.max(F.when(F.col("modality") == m, F.col("status"))).alias(f"_{m}") for m in fv.MODALITIES]
+def _day_flags(status: DataFrame) -> DataFrame:
+    """One row per (participant, day) with the status and quality of each modality side by side."""
+    modality = F.col("modality")
+    return status.groupBy(*DAY).agg(
+        *[F.max(F.when(modality == m, F.col("status"))).alias(f"_{m}") for m in fv.MODALITIES],
+        *[F.max(F.when(modality == m, F.col("quality_score"))).alias(f"{m}_quality") for m in fv.QUALITY_TRACKED],
     )
 
-    def listed(cond) -> Column:
-        return F.array_compact(F.array(*[F.when(cond(F.col(f"_{m}")), F.lit(m)) for m in fv.MODALITIES]))
 
-    out = flags.select(
-        *DAY,
-        listed(lambda s: s == "valid").alias("available_modalities"),
-        listed(lambda s: s.isNull() | (s != "valid")).alias("missing_modalities"),
-        listed(lambda s: s == "low_quality").alias("low_quality_modalities"),
-    )
-    return out.withColumn(
-        "completeness_ratio",
-        round_half_away(F.size("available_modalities") / F.lit(float(len(fv.MODALITIES))), 2),
-    )
+def _availability() -> list[Column]:
+    def listed(name: str, cond) -> Column:
+        return F.array_compact(F.array(*[F.when(cond(F.col(f"_{m}")), F.lit(m)) for m in fv.MODALITIES])).alias(name)
+
+    ok = sum((F.when(F.col(f"_{m}") == "valid", 1).otherwise(0) for m in fv.MODALITIES[1:]), F.when(F.col(f"_{fv.MODALITIES[0]}") == "valid", 1).otherwise(0))
+    return [
+        listed("available_modalities", lambda s: s == "valid"),
+        listed("missing_modalities", lambda s: s.isNull() | (s != "valid")),
+        listed("low_quality_modalities", lambda s: s == "low_quality"),
+        round_half_away(ok / F.lit(float(len(fv.MODALITIES))), 2).alias("completeness_ratio"),
+    ]
 
 
-def overall_quality_expr(columns: dict[str, Column]) -> Column:
+def missingness_tracker(status: DataFrame) -> DataFrame:
+    """Available, missing and low-quality modality arrays per day, in the fixed modality order."""
+    return _day_flags(status).select(*DAY, *_availability())
+
+
+def overall_quality_expr(columns: list[Column]) -> Column:
     """Mean of the present modality qualities (sleep is not among them), 0 if none is present."""
-    present = [F.when(c >= 0, c) for c in columns.values()]
+    present = [F.when(c >= 0, c) for c in columns]
     n = reduce(lambda a, b: a + b, [F.when(c.isNotNull(), 1).otherwise(0) for c in present])
     total = reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0.0)) for c in present])
     return F.when(n > 0, round4(total / n)).otherwise(F.lit(0.0))
 
 
+def _qualities() -> list[Column]:
+    q = [F.col(f"{m}_quality") for m in fv.QUALITY_TRACKED]
+    return [*q, overall_quality_expr(q).alias("overall_quality")]
+
+
 def overall_quality(status: DataFrame) -> DataFrame:
-    q = {m: F.col(f"{m}_quality") for m in fv.QUALITY_TRACKED}
-    wide = status.groupBy(*DAY).agg(
-        *[F.max(F.when(F.col("modality") == m, F.col("quality_score"))).alias(f"{m}_quality") for m in fv.QUALITY_TRACKED]
-    )
-    return wide.withColumn("overall_quality", overall_quality_expr(q))
+    return _day_flags(status).select(*DAY, *_qualities())
 
 
 # ---- per-feature statistics ------------------------------------------------------------------------------------
@@ -270,9 +277,8 @@ def aggregate_day(sessions: DataFrame) -> DataFrame:
     ]
     watched = feature.isin(list(fv.DISAGREEMENT_NAMES)) & F.col("disagree")
     features = stats.groupBy(*DAY).agg(*medians, F.count_if(watched).alias("disagreement_count"))
-    status = modality_status(sessions)
-    quality = overall_quality(status)
-    return missingness_tracker(status).join(quality, DAY).join(features, DAY, "left").fillna(0, ["disagreement_count"])
+    days = _day_flags(modality_status(sessions)).select(*DAY, *_availability(), *_qualities())
+    return days.join(features, DAY, "left").fillna(0, ["disagreement_count"])
 
 
 def daily_vector(sessions: DataFrame, version: str = fv.FEATURE_VERSION) -> DataFrame:

@@ -7,7 +7,11 @@ features are partial aggregates over its output.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,19 +145,34 @@ def signal_moments(samples: DataFrame, key: str, value: str) -> DataFrame:
 def refractory(candidates: DataFrame, key: str, min_gap: float, chunk: float, tie: str | None = None) -> DataFrame:
     """Greedy selection in time order: a candidate counts if it is at least ``min_gap`` after the last one that counted.
 
-    A candidate that follows the previous candidate by ``min_gap`` or more always counts, so the choice restarts there;
-    only the runs between restarts are folded.
+    A candidate that follows the previous candidate by ``min_gap`` or more always counts, so the choice restarts there
+    and the runs between restarts are independent: they are spread over the tasks, sorted on disk if need be, and read
+    in batches with one number of memory. No run is gathered.
     """
     seq = sequenced(candidates, [key], "t_ms", chunk, ["t_ms"], tie=tie)
     start = F.coalesce(_d("t_ms") - _d("prev_t_ms") >= min_gap, F.lit(True))
-    runs = sequenced(seq.withColumn("_start", start.cast("long")).drop("idx", "prev_t_ms", "next_t_ms"), [key], "t_ms", chunk, running={"run": F.col("_start")}, tie=tie)
-    folded = runs.groupBy(key, "run").agg(F.sort_array(F.collect_list(_d("t_ms"))).alias("ts"))
-    kept = F.aggregate(
-        "ts",
-        F.array().cast("array<double>"),
-        lambda acc, t: F.when((F.size(acc) == 0) | (t - F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) >= min_gap), F.concat(acc, F.array(t))).otherwise(acc),
-    )
-    return folded.select(key, F.explode(kept).alias("t_ms"))
+    marked = seq.withColumn("_start", start.cast("long")).drop("idx", "prev_t_ms", "next_t_ms")
+    runs = sequenced(marked, [key], "t_ms", chunk, running={"run": F.col("_start")}, tie=tie).select(key, "run", _d("t_ms").alias("t_ms"))
+    ordered = runs.repartition(key, "run").sortWithinPartitions(key, "run", "t_ms")
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, last = None, -np.inf
+        for pdf in batches:
+            ids, run, t = pdf[key].to_numpy(), pdf["run"].to_numpy(), pdf["t_ms"].to_numpy()
+            new_run = np.r_[True, (ids[1:] != ids[:-1]) | (run[1:] != run[:-1])]
+            kept = []
+            for lo, hi in pairwise([*np.flatnonzero(new_run), len(t)]):
+                if (ids[lo], run[lo]) != current:
+                    current, last = (ids[lo], run[lo]), -np.inf
+                i = lo + np.searchsorted(t[lo:hi], last + min_gap)
+                while i < hi:
+                    kept.append(i)
+                    last = t[i]
+                    i = lo + np.searchsorted(t[lo:hi], last + min_gap)
+            yield pdf.iloc[kept][[key, "t_ms"]]
+
+    kind = candidates.schema[key].dataType.simpleString()
+    return ordered.mapInPandas(pick, f"`{key}` {kind}, t_ms double")
 
 
 MIN_STEP_MS, MAX_STEP_MS = 250.0, 2000.0
@@ -184,7 +203,8 @@ def walking_features(acc: DataFrame, key: str = KEY, chunk: float = CHUNK, tie:
         F.max(F.when(F.col("idx") % 2 == 0, F.col("step"))).alias("even"),
         F.max(F.when(F.col("idx") % 2 == 1, F.col("step"))).alias("odd"),
     )
-    stride = F.when(F.col("c") == 2, F.col("total") / 1000.0)
+    # Whole milliseconds are summed, so the result does not depend on the order of rows.
+    stride = F.when(F.col("c") == 2, F.col("total"))
     agg = pairs.groupBy(key).agg(
         F.sum("c").alias("n_steps"),
         F.count(stride).cast("double").alias("ns"),
@@ -200,8 +220,8 @@ def walking_features(acc: DataFrame, key: str = KEY, chunk: float = CHUNK, tie:
         .when(F.coalesce(F.col("n_steps"), F.lit(0)) < 2, "insufficient_valid_steps")
         .otherwise("ok")
     )
-    g = g.withColumn("status", status).withColumn("stride_mean", F.col("s") / F.col("ns"))
-    lag = F.floor(F.col("stride_mean") * 1000.0 / (F.col("span") / F.col("n_samples")) + 0.5)
+    g = g.withColumn("status", status).withColumn("stride_mean", F.col("s") / F.col("ns") / 1000.0)
+    lag = F.floor(F.col("s") / F.col("ns") / (F.col("span") / F.col("n_samples")) + 0.5)
     g = g.withColumn("lag", F.when(F.col("status") == "ok", lag))
     lags = g.where("lag > 0").select(key, "lag")
     acf = autocorr_at(sig.select(key, "t_ms", F.col("mag").alias("value"), *([tie] if tie else [])), lags, key, chunk, tie)

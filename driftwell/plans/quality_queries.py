@@ -176,6 +176,10 @@ SELECT trial, n_samples, duration, {_errs(("n_samples > 1 AND duration < 690", "
 FROM q""",
 )
 def trial_qc(spark, sf):
+    return _trial_qc(spark, sf).select("trial", "n_samples", "duration", "issues", "warnings")
+
+
+def _trial_qc(spark, sf):
     s = tb.sessions(spark, sf)
     samples = s.select(
         F.col("participant_id").alias("trial"),
@@ -187,8 +191,16 @@ def trial_qc(spark, sf):
     )
     # The force floor of the left total is shifted so that both verdicts occur on the given values.
     samples = samples.withColumn("total_left", F.col("total_left") - 29.5)
-    qc = dq.trial_qc(samples, "trial", ["l1", "r1"], ["total_left", "total_right"], rate_hz=0.1, min_seconds=690, min_force=0.5)
-    return qc.select("trial", "n_samples", "duration", "issues", "warnings")
+    return dq.trial_qc(samples, "trial", ["l1", "r1"], ["total_left", "total_right"], rate_hz=0.1, min_seconds=690, min_force=0.5)
+
+
+@query(
+    "B12_motor_quality",
+    f"""WITH {TRIAL}, v AS (SELECT (n_samples > 1 AND duration < 690) OR ml < 0.5 OR mr < 0.5 OR nl > 0.5 OR nr > 0.5 AS bad FROM q)
+SELECT NOT bad AS passed, count(*) AS trials FROM v GROUP BY 1""",
+)
+def motor_quality(spark, sf):
+    return _trial_qc(spark, sf).groupBy("passed").agg(F.count(F.lit(1)).alias("trials"))
 
 
 @query(

@@ -97,11 +97,11 @@ WALK = f"""{ACC},
 iv AS (SELECT session_id, t, CAST(t - lag(t) OVER (PARTITION BY session_id ORDER BY t) AS DOUBLE) AS step FROM peaks),
 vs AS (SELECT session_id, step, row_number() OVER (PARTITION BY session_id ORDER BY t) - 1 AS i FROM iv WHERE step BETWEEN 250 AND 2000),
 pr AS (SELECT session_id, i//2 AS j, count(*) AS c, sum(step) AS tot, max(step) FILTER (i%2=0) AS ev, max(step) FILTER (i%2=1) AS od FROM vs GROUP BY ALL),
-ag AS (SELECT session_id, sum(c) AS n_steps, CAST(count(*) FILTER (c=2) AS DOUBLE) AS ns, sum(tot/1e3) FILTER (c=2) AS s, sum((tot/1e3)*(tot/1e3)) FILTER (c=2) AS ss, avg(ev) AS em, avg(od) AS om FROM pr GROUP BY ALL),
+ag AS (SELECT session_id, sum(c) AS n_steps, CAST(count(*) FILTER (c=2) AS DOUBLE) AS ns, sum(tot) FILTER (c=2) AS s, sum(tot*tot) FILTER (c=2) AS ss, avg(ev) AS em, avg(od) AS om FROM pr GROUP BY ALL),
 pk AS (SELECT session_id, count(*) AS peaks FROM peaks GROUP BY ALL),
 w0 AS (SELECT st.*, peaks, n_steps, ns, s, ss, em, om, CASE WHEN n < 20 THEN 'insufficient_samples' WHEN coalesce(peaks,0) < 2 THEN 'insufficient_peaks' WHEN coalesce(n_steps,0) < 2 THEN 'insufficient_valid_steps' ELSE 'ok' END AS status
   FROM st LEFT JOIN pk USING (session_id) LEFT JOIN ag USING (session_id)),
-w1 AS (SELECT *, CAST(floor((s/ns)*1e3/(span/CAST(n AS DOUBLE))+0.5) AS BIGINT) AS lg FROM w0),
+w1 AS (SELECT *, CAST(floor((s/ns)/(span/CAST(n AS DOUBLE))+0.5) AS BIGINT) AS lg FROM w0),
 ix AS (SELECT acc.session_id, mag-mean AS dev, row_number() OVER {W} - 1 AS i, lg, status FROM acc JOIN w1 USING (session_id)),
 ac AS (SELECT a.session_id, sum(a.dev*b.dev) AS num, sum(a.dev*a.dev) AS den FROM ix a JOIN ix b ON a.session_id = b.session_id AND b.i = a.i + a.lg WHERE a.lg > 0 AND a.status = 'ok' GROUP BY ALL),
 w2 AS (SELECT w1.*, CASE WHEN den > 0 THEN (num/den+1)/2 ELSE 0e0 END AS au FROM w1 LEFT JOIN ac USING (session_id))"""
@@ -110,7 +110,7 @@ w2 AS (SELECT w1.*, CASE WHEN den > 0 THEN (num/den+1)/2 ELSE 0e0 END AS au FROM
 @query(
     "D4_walking_features",
     f"""WITH {WALK}
-SELECT session_id, CASE WHEN status = 'ok' THEN {hu("peaks/(span/1e3)*6e1", 2)} END AS cadence, CASE WHEN status = 'ok' THEN {hu("s/ns", 4)} END AS stride_interval_mean,
+SELECT session_id, CASE WHEN status = 'ok' THEN {hu("peaks/(span/1e3)*6e1", 2)} END AS cadence, CASE WHEN status = 'ok' THEN {hu("s/ns/1e3", 4)} END AS stride_interval_mean,
   CASE WHEN status = 'ok' THEN CASE WHEN ns > 1 THEN {hu(cv("ns", "s", "ss"), 4)} ELSE 0e0 END END AS stride_interval_variability,
   CASE WHEN status = 'ok' THEN {hu("least(greatest(au, 0e0), 1e0)", 4)} ELSE 0e0 END AS movement_regularity,
   CASE WHEN status = 'ok' THEN {hu("1-abs(em-om)/((em+om)/2)", 4)} END AS symmetry_index, CASE WHEN status = 'ok' THEN peaks ELSE 0 END AS step_count, status FROM w2""",

@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftwell.functions import fixed_values as fv
@@ -164,8 +163,7 @@ def day_statistics(long: DataFrame, keys: list[str]) -> DataFrame:
     The deviation is taken about the group mean inside the window that ranks the values, so one pass serves all.
     """
     ranked = osx.ranked(osx.value_counts(long, keys, F.col("value")), keys)
-    ranked = ranked.withColumn("sum_w", F.sum(F.col("v") * F.col("c")).over(W.partitionBy(*keys)))
-    centred = (F.col("v") - F.col("sum_w") / F.col("n")) / F.lit(1e6)
+    centred = (F.col("v") - F.col("sum_u") / F.col("n")) / F.lit(1e6)
     q1, q3 = osx.hinge_quartiles()
     stats = ranked.groupBy(*keys).agg(
         F.max("n").alias("n"),
@@ -174,7 +172,7 @@ def day_statistics(long: DataFrame, keys: list[str]) -> DataFrame:
         q3.alias("q3_u"),
         F.min("v").alias("min_u"),
         F.max("v").alias("max_u"),
-        F.max("sum_w").alias("sum_u"),
+        F.max("sum_u").alias("sum_u"),
         F.sum(F.col("c") * centred * centred).alias("m2"),
     )
     return _finish_statistics(stats, keys)
@@ -225,22 +223,19 @@ def daily_medians(long: DataFrame, keys: list[str], columns: list[str]) -> DataF
 def sessions_long(sessions: DataFrame, modalities: list[str] | None = None) -> DataFrame:
     """One row per (session, feature) of the accepted sessions; an absent feature gives no row."""
     cols = sessions.columns
-    entries = [
-        F.struct(
-            F.lit(m).alias("m"),
-            F.lit(name).alias("feature_name"),
-            first_present(cols, aliases).alias("value"),
+
+    def features(m: str) -> Column:
+        return F.array(
+            *[
+                F.struct(F.lit(name).alias("feature_name"), first_present(cols, aliases).alias("value"))
+                for name, aliases in fv.MODALITY_FEATURES[m].items()
+            ]
         )
-        for m in (modalities or fv.MODALITIES)
-        for name, aliases in fv.MODALITY_FEATURES[m].items()
-    ]
+
+    # Only the features of the row's own modality are built.
+    own = F.coalesce(*[F.when(F.col("modality") == m, features(m)) for m in modalities or fv.MODALITIES])
     gated = sessions.where(passes_quality(sessions))
-    exploded = gated.select(
-        *DAY,
-        "modality",
-        F.explode(F.filter(F.array(*entries), lambda e: e["value"].isNotNull() & (e["m"] == F.col("modality")))).alias("e"),
-    )
-    return exploded.select(*DAY, "modality", "e.feature_name", "e.value")
+    return gated.select(*DAY, "modality", F.inline(own)).where(F.col("value").isNotNull())
 
 
 def rollup(sessions: DataFrame, modality: str) -> DataFrame:

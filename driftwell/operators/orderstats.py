@@ -31,11 +31,17 @@ def at_rank(rank: Column) -> Column:
 
 
 def ranked(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    by = W.partitionBy(*keys)
+    """Running count, size and value sum of each group.
+
+    All three frames share one partitioning and one order, so they are a single window operator over a single sort.
+    """
+    ordered = W.partitionBy(*keys).orderBy("v")
+    whole = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     return counts.withColumns(
         {
-            "cum": F.sum("c").over(by.orderBy("v").rowsBetween(W.unboundedPreceding, 0)),
-            "n": F.sum("c").over(by),
+            "cum": F.sum("c").over(ordered.rowsBetween(W.unboundedPreceding, 0)),
+            "n": F.sum("c").over(whole),
+            "sum_u": F.sum(F.col("v") * F.col("c")).over(whole),
         }
     )
 

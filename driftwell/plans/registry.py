@@ -36,6 +36,8 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
             raise ValueError(f"duplicate query {name}")
 
         def run(spark: SparkSession, sf: str) -> DataFrame:
+            # The given timestamps carry no zone; reading them as UTC keeps days and epochs the same everywhere.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return plain(fn(spark, sf))
 
         run.__name__ = name

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -24,15 +27,23 @@ def build_session(app: str = "driftwell", master: str | None = None, **conf: str
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one without it."""
+    """A new folder below the shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session whose driver and executors are one process may do without that setting: it gets a temporary folder,
+    removed when the process ends.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"driftwell-{name}-")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix=f"driftwell-{name}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"{folder}/data"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names; a temporary one only where none is set."""
+    """Reliable checkpoint in the shared folder the cluster names; a temporary one only within a single process."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(scratch_folder(df.sparkSession, "checkpoint"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm import mixing, sharding
+from driftwell.llm import debruijn, mixing, sharding, suffixes
 from driftwell.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,15 @@ def op2_sharding(spark: SparkSession, sf: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     laid, pieces, placement = mixing.mix(table(spark, sf, "documents"))
     return mixing.words_taken(laid, pieces, placement).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op8_debruijn(spark: SparkSession, sf: str) -> DataFrame:
+    cut = debruijn.remove_repeats(table(spark, sf, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op9_suffixes(spark: SparkSession, sf: str) -> DataFrame:
+    cut = suffixes.remove_repeats(table(spark, sf, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

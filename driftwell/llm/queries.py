@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm import debruijn, mixing, sharding, suffixes
+from driftwell.llm import debruijn, mixing, sharding, simhash, suffixes
 from driftwell.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,9 @@ def op8_debruijn(spark: SparkSession, sf: str) -> DataFrame:
 def op9_suffixes(spark: SparkSession, sf: str) -> DataFrame:
     cut = suffixes.remove_repeats(table(spark, sf, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm import bpe, debruijn, mixing, sharding, simhash, suffixes
+from driftwell.llm import bpe, debruijn, mixing, sharding, simhash, suffixes, toxicity
 from driftwell.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,16 @@ def op1_bpe(spark: SparkSession, sf: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     found = bpe.decode(bpe.encode(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN), ranks)
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def held_out(doc_id: str) -> Column:
+    """Rows from which no label is learned; a null id has no label and counts as not held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    weights, bias = toxicity.train(docs, labels.where(~held_out("doc_id")))
+    scored = toxicity.score(docs, weights, bias)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

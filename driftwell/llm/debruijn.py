@@ -69,13 +69,16 @@ def compact(rows: DataFrame, name: str, branching: bool) -> DataFrame:
     """(did, rid, run, repeated, open): sources of a path after its first, and first sources of branching paths."""
     rows = shared_table(rows, f"{name}-rows")
     unitigs = rows.groupBy("node", "label").agg(F.min("did").alias("source"), F.max("did").alias("latest"))
+    unitigs = shared_table(unitigs, f"{name}-unitigs")
     repeated = F.col("did") > F.col("source")
     if branching:
         nodes = unitigs.groupBy("node").agg(
             F.count(F.lit(1)).alias("branches"), F.min("source").alias("least"), F.max("latest").alias("most")
         )
-        # An anchor within one document cannot repeat an earlier one.
-        state = unitigs.join(nodes.where("least < most"), "node").select("node", "label", "source", "branches")
+        # An anchor within one document cannot repeat an earlier one.  Aggregates are written before they are joined: only
+        # then can adaptive execution split the join of a frequent anchor.
+        nodes = shared_table(nodes.where("least < most"), f"{name}-nodes")
+        state = unitigs.join(nodes, "node").select("node", "label", "source", "branches")
         opened = (F.col("branches") > 1) & ~repeated
     else:
         state = unitigs.where("source < latest").select("node", "label", "source")
@@ -88,7 +91,8 @@ def repeated_spans(docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> Dat
     """doc_id, text and ``runs``: packed runs of windows of ``words`` words that a smaller doc_id also holds."""
     keyed = keyed_texts(docs)
     shared = anchors(keyed, "words", words, gram, full=False).groupBy("a").agg(F.min("did").alias("least"), F.max("did").alias("most"))
-    found = anchors(keyed, "words", words, gram, full=True).join(shared.where("least < most").select("a"), "a", "left_semi")
+    shared = shared_table(shared.where("least < most").select("a"), "shared-anchors")
+    found = anchors(keyed, "words", words, gram, full=True).join(shared, "a", "left_semi")
     found = shared_table(found.select("did", "rid", "run"), "nodes")
     texts = listed(keyed, found, "candidates")
     active = texts.where("runs is not null")

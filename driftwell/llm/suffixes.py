@@ -67,7 +67,10 @@ def radix_pass(rows: DataFrame, name: str) -> DataFrame:
     """(did, rid, run, repeated, open): blocks found repeated, and blocks that the next pass has to look into."""
     rows = shared_table(rows, f"{name}-rows")
     groups = rows.groupBy("i", "u").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("did", "rid", "run")).alias("one"))
+    groups = shared_table(groups, f"{name}-groups")
     digits = groups.groupBy("i").agg(F.count(F.lit(1)).alias("strings"), F.sum("c").alias("met")).where("met > 1")
+    # Aggregates are written before they are joined: only then can adaptive execution split the join of a frequent digit.
+    digits = shared_table(digits, f"{name}-digits")
     state = groups.join(digits, "i").select("i", "u", "c", "strings", "one")
     me = F.struct("did", "rid", "run")
     marked = rows.join(state, ["i", "u"]).select(
@@ -84,6 +87,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bloc
     """doc_id, text and ``runs``: the packed runs of windows that start elsewhere too (null or empty: none)."""
     keyed = keyed_texts(docs)
     often = anchors(keyed, "bytes", window, gram, full=False).groupBy("a").count().where("count > 1").select("a")
+    often = shared_table(often, "repeated-anchors")  # a side of its own, so that a join task of a frequent anchor can be split
     found = anchors(keyed, "bytes", window, gram, full=True).join(often, "a", "left_semi").select("did", "rid", "run")
     found = shared_table(found, "anchors")
     texts = listed(keyed, found, "candidates")

@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm import bpe, debruijn, mixing, sharding, simhash, suffixes, toxicity
+from driftwell.llm import bpe, debruijn, mixing, sharding, simhash, suffixes, toxicity, warc
 from driftwell.llm.common import table
+from driftwell.session import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +74,10 @@ def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     weights, bias = toxicity.train(docs, labels.where(~held_out("doc_id")))
     scored = toxicity.score(docs, weights, bias)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op3_warc(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_folder(spark, "archives")
+    warc.write_archives(table(spark, sf, "pages"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm import bpe, debruijn, mixing, sharding, simhash, suffixes, toxicity, warc
+from driftwell.llm import bpe, collisions, debruijn, forest, mixing, sharding, simhash, suffixes, toxicity, warc
 from driftwell.llm.common import table
 from driftwell.session import scratch_folder
 
@@ -81,3 +81,13 @@ def op3_warc(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_folder(spark, "archives")
     warc.write_archives(table(spark, sf, "pages"), path)
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op5_forest(spark: SparkSession, sf: str) -> DataFrame:
+    return forest.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+@query
+def op10_collisions(spark: SparkSession, sf: str) -> DataFrame:
+    return collisions.near_duplicates(table(spark, sf, "embeddings"))

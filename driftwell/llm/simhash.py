@@ -170,7 +170,7 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def text_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds: Sequence[int] = (1, 2, 3, 4, 5, 6)) -> DataFrame:
-    """doc_id, rid (hash of the text) and component_id over texts whose sets of word shingles have at least this Jaccard similarity.
+    """doc_id, rid (hash of the text), root (of the group) and component_id over texts whose sets of word shingles have at least this Jaccard similarity.
 
     Candidates are connected by fingerprints of the distinct words, at most 3 bits apart under any of the seeds; within the
     candidate groups, similarity is computed exactly on the shingles, block by block.  Texts without words link to nothing
@@ -224,8 +224,18 @@ def text_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds:
     near = components(stream.mapInArrow(verify, "u long, v long"))
     placed = texts.join(near.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = placed.join(least, "root").select("rid", "component_id")
-    return found.join(labels, "rid").select("doc_id", "rid", "component_id")
+    labels = shared_table(placed.join(least, "root").select("rid", "root", "component_id"), "labels")
+    return found.join(labels, "rid").select("doc_id", "rid", "root", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay when of each group (see ``text_groups``) only the smallest doc_id is kept, null last; of equal
+    rows one stays."""
+    groups = text_groups(docs, words, similarity)
+    last = F.lit(2**63 - 1)
+    stay = groups.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("__did"), F.col("rid").alias("__rid"))).alias("one")).select("one.*")
+    keyed = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), last), "__rid": F.xxhash64("text")})
+    return keyed.join(shared_table(stay, "stay"), ["__did", "__rid"]).dropDuplicates(["__did", "__rid"]).select(*docs.columns)
 
 
 def _similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:

@@ -15,7 +15,7 @@ representative per pass: a group of any size costs map-side counts and a join th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -83,9 +83,9 @@ def radix_pass(rows: DataFrame, name: str) -> DataFrame:
     return shared_table(marked.where("repeated or open"), name)
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """doc_id, text and ``runs``: the packed runs of windows that start elsewhere too (null or empty: none)."""
-    keyed = keyed_texts(docs)
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text, carried and ``runs``: the packed runs of windows that start elsewhere too (null or empty: none)."""
+    keyed = keyed_texts(docs, carry)
     often = anchors(keyed, "bytes", window, gram, full=False).groupBy("a").count().where("count > 1").select("a")
     often = shared_table(often, "repeated-anchors")  # a side of its own, so that a join task of a frequent anchor can be split
     found = anchors(keyed, "bytes", window, gram, full=True).join(often, "a", "left_semi").select("did", "rid", "run")
@@ -102,16 +102,18 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bloc
             again = marked.where("open").groupBy("did", "rid").agg(F.collect_set("run").alias("runs"))
             waiting = active.drop("runs").join(again, ["did", "rid"])
     lists = repeated.groupBy("did", "rid").agg(F.collect_set("run").alias("runs"))
-    spans = active.drop("runs").join(lists, ["did", "rid"], "left").select("doc_id", "text", "runs")
-    return spans.unionByName(texts.where("runs is null").select("doc_id", "text", "runs"))
+    spans = active.drop("runs").join(lists, ["did", "rid"], "left").select("doc_id", "text", "carried", "runs")
+    return spans.unionByName(texts.where("runs is null").select("doc_id", "text", "carried", "runs"))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans (array of start, end in bytes) and kept (binary: the bytes that stay).
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, spans (array of start, end in bytes) and kept (binary: the bytes that stay), and
+    ``carried``, a struct of the columns named in ``carry``.
 
     Null texts are empty; texts shorter than a window keep every byte; repeated rows repeat each other's windows; a null
-    doc_id is a document like any other; columns other than doc_id and text are ignored; no rows give no rows.
+    doc_id is a document like any other; columns other than doc_id and text are ignored unless carried; no rows give no rows.
     """
+    spans_and_texts = repeated_spans(docs, window, gram, block, carry)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,9 +139,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bloc
                 spans.append([{"start": a, "end": b} for a, b in merged])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())],
-                names=["doc_id", "n_bytes", "n_removed", "spans", "kept"],
+                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), batch.column("carried")],
+                names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "carried"],
             )
 
-    schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
-    return repeated_spans(docs, window, gram, block).mapInArrow(cut, schema)
+    carried = spans_and_texts.schema["carried"].dataType.simpleString()
+    schema = f"doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, carried {carried}"
+    return spans_and_texts.mapInArrow(cut, schema)

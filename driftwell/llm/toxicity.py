@@ -10,7 +10,7 @@ at most.  Scoring reads every whole text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -162,11 +162,11 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
     return calibrated([r["text"] for r in rows], np.array([r["toxic"] for r in rows]))
 
 
-def score(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float = 0.5, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, score and offending (array of start and end byte and score of the sentences at or above the threshold).
 
     A text without words (null, empty) has no sentences and scores 0.  A null doc_id and repeated rows are rows like any
-    other; columns other than doc_id and text are ignored; no rows give no rows.
+    other; columns other than doc_id and text are ignored, but those named in ``carry`` are returned; no rows give no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast((weights, bias))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
@@ -187,7 +187,11 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float =
                 for k in np.flatnonzero(p >= threshold).tolist():
                     at = int(own[text[k]] - own[0])
                     spans[text[k]].append({"start": int(start[k]) - at, "end": int(stop[k]) - at, "score": float(p[k])})
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[begin:end], pa.array(scores), pa.array(spans, kind)], names=["doc_id", "score", "offending"])
+                kept = [batch.column(c)[begin:end] for c in names]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(scores), pa.array(spans, kind)], names=[*names, "score", "offending"])
                 begin = end
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, score double, offending array<struct<start:long,end:long,score:double>>")
+    names = ["doc_id", *[c for c in carry if c != "doc_id"]]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c for c in names if c not in ("doc_id", "text")], "text")
+    carried = "".join(f"{c} {texts.schema[c].dataType.simpleString()}, " for c in names)
+    return texts.mapInArrow(scan, f"{carried}score double, offending array<struct<start:long,end:long,score:double>>")

@@ -8,7 +8,7 @@ documents are cut into overlapping pieces, each window lying in one piece.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -194,13 +194,17 @@ def anchors(keyed: DataFrame, kind: str, window: int, gram: int, full: bool) ->
     return keyed.select("did", "rid", "text").mapInArrow(scan, schema)
 
 
-def keyed_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the pair (did, rid) that tells documents apart: id (null: the largest long) and text hash."""
-    return docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("did"), F.xxhash64("text").alias("rid"))
+def keyed_texts(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text and the pair (did, rid) that tells documents apart: id (null: the largest long) and text hash.
+
+    Columns named in ``carry`` are gathered in the struct ``carried``.
+    """
+    carried = F.struct(*carry) if carry else F.lit(None).cast("boolean")
+    return docs.select("doc_id", "text", carried.alias("carried"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("did"), F.xxhash64("text").alias("rid"))
 
 
 def listed(keyed: DataFrame, found: DataFrame, name: str) -> DataFrame:
     """``keyed`` with the packed runs of ``found`` (did, rid, run) gathered per document as ``runs``, null where none."""
     lists = found.groupBy("did", "rid").agg(F.collect_set("run").alias("runs"))
-    joined = keyed.join(lists, ["did", "rid"], "left").select("doc_id", "did", "rid", "text", "runs")
+    joined = keyed.join(lists, ["did", "rid"], "left").select("doc_id", "did", "rid", "text", "carried", "runs")
     return shared_table(joined, name)

@@ -5,8 +5,9 @@
 2. The words go to buckets by hash; there the words of all blocks meet and each distinct word is encoded once.
 3. Their ids return to the blocks, where the positions are filled in order and cut into documents.
 
-Two bytes or so per pre-token and the distinct words of each block are shuffled, never one row per pre-token.  A frequent word
-is sent once per block.
+About twelve bits per pre-token are stored, in a table bucketed by block, so that the return of the ids moves the ids and not
+the positions.  Shuffled are the distinct words of each block and their ids, never one row per pre-token; a frequent word is
+sent once per block.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.llm.common import shared_table
+from driftwell.llm.common import bucketed_table, shared_table
 
 #: Splits text before the merges, as the rank files expect.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BUCKETS = 256
-BLOCK_TOKENS, BLOCK_WORDS = 3_000_000, 600_000
+BLOCK_TOKENS, BLOCK_WORDS = 8_000_000, 800_000
 KNOWN = 1_000_000  # words whose ids a task remembers; beyond, it forgets and encodes anew
 
 
@@ -54,33 +55,39 @@ class _Numbers(dict):
 
 
 def split_blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
-    """(block, doc_ids, counts, places, words): one row per block of documents; words has one blob per bucket."""
+    """(block, doc_ids, counts, places, bucket_of, words): one row per block of documents.
+
+    ``places`` holds the word number of each position, ``bucket_of`` the bucket of each word, ``words`` one blob per bucket.
+    """
 
     def close(block: int, ids: list, counts: list, numbers: dict, places: list) -> pa.RecordBatch:
         import zlib
 
+        flat = np.concatenate(places)
         raw = [w.encode() for w in numbers]
-        bucket = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int64, len(raw))
-        order = np.argsort(bucket, kind="stable")
+        # Numbers by falling frequency leave the upper bytes of most positions at 0.
+        often = np.argsort(-np.bincount(flat, minlength=len(raw)), kind="stable")
         renumbered = np.empty(len(raw), np.uint32)
-        renumbered[order] = np.arange(len(raw), dtype=np.uint32)
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        renumbered[often] = np.arange(len(raw), dtype=np.uint32)
+        bucket = np.fromiter((zlib.crc32(raw[i]) % buckets for i in often.tolist()), np.uint32, len(raw))
         words = []
         compressor = zstandard.ZstdCompressor(level=3)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b in range(buckets):
-            mine = [raw[i] for i in order[cuts[b] : cuts[b + 1]].tolist()]
+            mine = [raw[i] for i in often[order[cuts[b] : cuts[b + 1]]].tolist()]
             lengths = np.fromiter(map(len, mine), "<u4", len(mine))
             words.append(compressor.compress(len(mine).to_bytes(4, "little") + lengths.tobytes() + b"".join(mine)) if mine else None)
-        flat = renumbered[np.concatenate(places)] if len(raw) else np.empty(0, np.uint32)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([block], pa.int64()),
                 pa.array([ids], pa.list_(pa.int64())),
                 pa.array([counts], pa.list_(pa.int64())),
-                pa.array([_packed(flat)], pa.binary()),
+                pa.array([_packed(renumbered[flat])], pa.binary()),
+                pa.array([_packed(bucket)], pa.binary()),
                 pa.array([words], pa.list_(pa.binary())),
             ],
-            names=["block", "doc_ids", "counts", "places", "words"],
+            names=["block", "doc_ids", "counts", "places", "bucket_of", "words"],
         )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +110,7 @@ def split_blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
         if ids:
             yield close(block, ids, counts, numbers, places)
 
-    columns = "block long, doc_ids array<long>, counts array<long>, places binary, words array<binary>"
+    columns = "block long, doc_ids array<long>, counts array<long>, places binary, bucket_of binary, words array<binary>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, columns)
 
 
@@ -154,11 +161,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, buckets: in
     A null or empty text has no ids; a null doc_id and repeated rows are rows like any other; columns other than doc_id and
     text are ignored; no rows give no rows.
     """
-    blocks = shared_table(split_blocks(docs, pattern, buckets), "blocks")
+    blocks = bucketed_table(split_blocks(docs, pattern, buckets), "block", "blocks")
     words = encode_words(blocks, read_ranks(ranks_path))
     gathered = words.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "ids"))).alias("encoded"))
     gathered = shared_table(gathered, "encoded-words")
-    joined = blocks.select("block", "doc_ids", "counts", "places").join(gathered, "block", "left").drop("block")
+    joined = blocks.select("block", "doc_ids", "counts", "places", "bucket_of").join(gathered, "block", "left").drop("block")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,8 +176,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, buckets: in
                     numbers = _unpacked(part["ids"])
                     sizes.append(numbers[: part["n"]])
                     flats.append(numbers[part["n"] :])
-                size, flat = np.concatenate(sizes).astype(np.int64), np.concatenate(flats)
-                begin = np.cumsum(size) - size
+                by_bucket, flat = np.concatenate(sizes).astype(np.int64), np.concatenate(flats)
+                order = np.argsort(_unpacked(batch.column("bucket_of")[row].as_py()), kind="stable")
+                size, begin = np.empty_like(by_bucket), np.empty_like(by_bucket)
+                size[order], begin[order] = by_bucket, np.cumsum(by_bucket) - by_bucket
                 places = _unpacked(batch.column("places")[row].as_py())
                 out, rows, tokens, at, held = [], [], [], 0, 0
                 for doc_id, count in zip(ids, counts, strict=True):

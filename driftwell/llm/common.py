@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _release(spark: SparkSession, path: str) -> None:
+    """Removes ``path`` when the driver ends, and shuffle files of plans that are no longer held now."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back, so that lost executors cost a reread and not a recompute.
 
@@ -27,13 +36,21 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    gc.collect()
-    spark._jvm.System.gc()
+    _release(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed_table(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Like ``shared_table``, but bucketed by ``key``: a join on the key then shuffles the other side only."""
+    spark = df.sparkSession
+    path = scratch_folder(spark, name)
+    table_name = f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table_name)
+    _release(spark, path)
+    return spark.table(table_name)
+
+
 def running_total(df: DataFrame, groups: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Adds ``before`` (sum of ``value`` over earlier rows of the group) and ``position`` (number of earlier rows).
 

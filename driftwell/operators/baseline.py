@@ -248,7 +248,7 @@ def adaptive_baseline(
     """Folds each series' later days into its baseline in date order, skipping poor and outlying days.
 
     Acceptance depends on the state left by the previous day, so this is a JVM-side ``aggregate`` over the (calendar-
-    bounded) array of the series rather than a window function.
+    bounded) array of the series rather than a window function.  A series without later days keeps its state, with 0 updates.
     """
     days = obs.where(finite(F.col("value")).isNotNull()).groupBy(*SERIES).agg(
         F.sort_array(
@@ -276,7 +276,7 @@ def adaptive_baseline(
         )
 
     base = baseline.where("sample_count > 0").select(*SERIES, *BASELINE_COLUMNS, "sample_count", "baseline_version")
-    folded = base.join(days, SERIES).withColumn("s", F.aggregate("days", start, step))
+    folded = base.join(days, SERIES, "left").withColumn("s", F.coalesce(F.aggregate("days", start, step), start))
     return finish_adaptive(folded.withColumn("updates", F.col("s.n") - F.col("sample_count")))
 
 

@@ -53,7 +53,8 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def binary_metrics(df: DataFrame, label: str, score: str, by: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
-    """Accuracy, precision, recall, F1, area under the curve, confusion counts. A zero denominator gives 0."""
+    """Accuracy, precision, recall, F1, area under the curve, confusion counts, sample count and share of positives. A
+    zero denominator gives 0."""
     by = by or []
     c = score_counts(df, label, score, by)
     high = F.col("s") >= threshold
@@ -73,6 +74,8 @@ def binary_metrics(df: DataFrame, label: str, score: str, by: list[str] | None =
         round4(_ratio(tp, tp + fn)).alias("recall"),
         round4(_ratio(2 * tp, 2 * tp + fp + fn)).alias("f1"),
         round4(F.col("auc")).alias("roc_auc"),
+        (tp + fp + tn + fn).alias("n_samples"),
+        round4(_ratio(tp + fn, tp + fp + tn + fn)).alias("class_balance"),
     )
 
 
@@ -121,10 +124,10 @@ def poisson_weight(*seed: Column) -> Column:
 def bootstrap_auc_diff(df: DataFrame, key: str, label: str, score_a: str, score_b: str, n: int = 1000, seed: int = 42) -> DataFrame:
     """Mean and 95 % interval of AUC(a) - AUC(b) over ``n`` Poisson resamples.
 
-    Replicates are generated next to their row and summed map-side per (replicate, model, four-decimal score), so the
-    shuffle carries at most n x 2 x 10,001 sums whatever the number of rows.
+    Replicates are generated next to their row and summed map-side per (replicate, model, score), so the shuffle carries
+    n x 2 sums per distinct score of a task.  Scores are compared as they are: rounding them would make ties.
     """
-    models = F.array(F.struct(F.lit("a").alias("model"), round4(F.col(score_a)).alias("s")), F.struct(F.lit("b").alias("model"), round4(F.col(score_b)).alias("s")))
+    models = F.array(F.struct(F.lit("a").alias("model"), F.col(score_a).cast("double").alias("s")), F.struct(F.lit("b").alias("model"), F.col(score_b).cast("double").alias("s")))
     reps = F.explode(F.sequence(F.lit(1), F.lit(n)))
     drawn = (
         df.select(key, label, score_a, score_b, reps.alias("rep"))
@@ -199,12 +202,11 @@ def missing_sweep(wide: DataFrame, label: str, modalities: list[str]) -> DataFra
     on = {m: F.col(f"on_{m}") * F.col(f"present_{m}") for m in modalities}
     num = sum((F.col(f"p_{m}") * on[m] for m in modalities[1:]), F.col(f"p_{modalities[0]}") * on[modalities[0]])
     den = sum((on[m] for m in modalities[1:]), on[modalities[0]])
-    scored = rows.select("scenario", label, round4(F.when(den > 0, num / den).otherwise(F.lit(0.5))).alias("score"))
+    scored = rows.select("scenario", label, F.when(den > 0, num / den).otherwise(F.lit(0.5)).alias("score"))
     m = binary_metrics(scored, label, "score", ["scenario"]).select("scenario", "roc_auc", "f1")
-    full = m.where("scenario = 'all'").select(F.lit(1).alias("_one"), F.col("roc_auc").alias("_a"), F.col("f1").alias("_f"))
-    return m.withColumn("_one", F.lit(1)).join(F.broadcast(full), "_one").select(
-        "scenario", "roc_auc", "f1", round4(F.col("_a") - F.col("roc_auc")).alias("auc_drop"), round4(F.col("_f") - F.col("f1")).alias("f1_drop")
-    )
+    whole = W.partitionBy(F.lit(0))  # one row per scenario
+    best = {c: F.max(F.when(F.col("scenario") == "all", F.col(c))).over(whole) for c in ("roc_auc", "f1")}
+    return m.select("scenario", "roc_auc", "f1", round4(best["roc_auc"] - F.col("roc_auc")).alias("auc_drop"), round4(best["f1"] - F.col("f1")).alias("f1_drop"))
 
 
 # ---- attribution -----------------------------------------------------------------------------------------------
@@ -213,30 +215,29 @@ FUSION_MODALITIES = ["olfactory", "rbd", "voice", "motor", "retina"]
 GATED_DIMS, DEMO_DIMS = 32, 8
 
 
-def feature_group(index: Column) -> Column:
-    """Group of a fused-vector position: gated representation, demographics, or the presence flag of a modality."""
-    presence = [F.when(index == GATED_DIMS + DEMO_DIMS + i, F.lit(f"presence_{m}")) for i, m in enumerate(FUSION_MODALITIES)]
-    return F.coalesce(F.when(index < GATED_DIMS, "gated"), F.when(index < GATED_DIMS + DEMO_DIMS, "demographic"), *presence)
+def feature_group(index: Column, gated: int = GATED_DIMS) -> Column:
+    """Group of a fused-vector position: gated representation (of ``gated`` dimensions), demographics, or the presence flag
+    of a modality."""
+    presence = [F.when(index == gated + DEMO_DIMS + i, F.lit(f"presence_{m}")) for i, m in enumerate(FUSION_MODALITIES)]
+    return F.coalesce(F.when(index < gated, "gated"), F.when(index < gated + DEMO_DIMS, "demographic"), *presence)
 
 
-def global_importance(shap: DataFrame) -> DataFrame:
+def global_importance(shap: DataFrame, gated: int = GATED_DIMS) -> DataFrame:
     g = shap.groupBy("feature_index").agg(F.avg(F.abs("shap_value")).alias("m"))
     ranked = g.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("m"), "feature_index")))
-    return ranked.select("feature_index", feature_group(F.col("feature_index")).alias("feature_group"), round_half_away(F.col("m"), 6).alias("mean_abs_shap"), "rank")
+    return ranked.select("feature_index", feature_group(F.col("feature_index"), gated).alias("feature_group"), round_half_away(F.col("m"), 6).alias("mean_abs_shap"), "rank")
 
 
-def modality_importance(shap: DataFrame, gates: DataFrame) -> DataFrame:
+def modality_importance(shap: DataFrame, gates: DataFrame, gated: int = GATED_DIMS) -> DataFrame:
     """Share per modality: its presence-flag attribution plus the gated part split by the normalised average gate
     weight; demographics on their own. All tables after the first aggregate have at most six rows."""
-    per = shap.groupBy("feature_index").agg(F.avg(F.abs("shap_value")).alias("m")).withColumn("grp", feature_group(F.col("feature_index")))
+    per = shap.groupBy("feature_index").agg(F.avg(F.abs("shap_value")).alias("m")).withColumn("grp", feature_group(F.col("feature_index"), gated))
     groups = per.groupBy("grp").agg(F.sum("m").alias("m"))
     avg = gates.groupBy("modality").agg(F.avg("weight").alias("w"))
     share = avg.withColumn("share", F.col("w") / F.sum("w").over(W.partitionBy(F.lit(0))))
-    flags = groups.where("grp LIKE 'presence%'").select(F.substring("grp", 10, 20).alias("modality"), F.col("m").alias("flag"))
-    gated = groups.where("grp = 'gated'").select(F.lit(1).alias("_one"), F.col("m").alias("g"))
-    mods = flags.join(share, "modality").withColumn("_one", F.lit(1)).join(F.broadcast(gated), "_one").select(
-        "modality", (F.col("flag") + F.col("g") * F.col("share")).alias("total")
-    )
+    whole_gated = F.max(F.when(F.col("grp") == "gated", F.col("m"))).over(W.partitionBy(F.lit(0)))
+    flags = groups.withColumn("g", whole_gated).where("grp LIKE 'presence%'").select(F.substring("grp", 10, 20).alias("modality"), F.col("m").alias("flag"), "g")
+    mods = flags.join(share, "modality").select("modality", (F.col("flag") + F.col("g") * F.col("share")).alias("total"))
     demo = groups.where("grp = 'demographic'").select(F.lit("demographic_covariates").alias("modality"), F.col("m").alias("total"))
     both = mods.unionByName(demo)
     whole = F.sum("total").over(W.partitionBy(F.lit(0)))
@@ -253,8 +254,8 @@ def local_contributors(shap: DataFrame, k: int = 5) -> DataFrame:
     return ranked.where(F.col("rank") <= k).select("sample_id", "direction", "rank", "feature_index", round_half_away(v, 6).alias("shap_value"))
 
 
-def net_direction(shap: DataFrame, eps: float = 1e-6) -> DataFrame:
-    g = shap.groupBy("sample_id", feature_group(F.col("feature_index")).alias("feature_group")).agg(F.sum("shap_value").alias("net"))
+def net_direction(shap: DataFrame, eps: float = 1e-6, gated: int = GATED_DIMS) -> DataFrame:
+    g = shap.groupBy("sample_id", feature_group(F.col("feature_index"), gated).alias("feature_group")).agg(F.sum("shap_value").alias("net"))
     return g.select("sample_id", "feature_group", F.when(F.col("net") > eps, "positive").when(F.col("net") < -eps, "negative").otherwise("mixed").alias("direction"))
 
 

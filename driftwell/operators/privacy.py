@@ -64,15 +64,26 @@ def consent_snapshot(log: DataFrame, types: list[str]) -> DataFrame:
     )
 
 
+#: Tables that an erasure purges; consents stay for the audit trail and participants are marked as deleted.
+PURGED = ("typing_sessions", "voice_sessions", "motor_sessions", "visual_sessions", "sleep_sessions", "daily_deviations", "mpf_predictions", "daily_features", "personal_baselines")
+
+
 def erase(tables: dict[str, DataFrame], requests: DataFrame, key: str = "participant_id") -> tuple[dict[str, DataFrame], DataFrame]:
-    """Tables without the rows of the requesting participants, and purge counts per (participant, table)."""
+    """All tables, those to purge without the rows of the requesting participants, and purge counts per (participant, table).
+
+    Rows are counted per participant map-side before the requests are joined, so a participant of any size is one row.
+    """
     ids = requests.select(key).distinct()
-    kept = {name: df.join(ids, key, "left_anti") for name, df in tables.items()}
-    counts = [
-        df.join(ids, key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("purged")).select(key, F.lit(name).alias("table_name"), "purged")
-        for name, df in tables.items()
-    ]
-    return kept, reduce(DataFrame.unionByName, counts)
+    kept = {name: df.join(ids, key, "left_anti") if name in PURGED else df for name, df in tables.items()}
+    owned = [df.select(key, F.lit(name).alias("table_name")) for name, df in tables.items() if name in PURGED]
+    counts = reduce(DataFrame.unionByName, owned).groupBy(key, "table_name").agg(F.count(F.lit(1)).alias("purged"))
+    return kept, counts.join(ids, key, "left_semi").select(key, "table_name", "purged")
+
+
+def erasure_audit(requests: DataFrame, version: str = "1.0.0", key: str = "participant_id") -> DataFrame:
+    """The consent records that document erasures: one granted 'deletion' record per requesting participant."""
+    first = requests.groupBy(key).agg(F.min("requested_at").alias("timestamp"))
+    return first.select(key, F.lit("deletion").alias("consent_type"), F.lit(version).alias("consent_version"), F.lit(True).alias("granted"), "timestamp", F.lit(None).cast("timestamp").alias("revoked_at"))
 
 
 def soft_delete(participants: DataFrame, requests: DataFrame, key: str = "participant_id") -> DataFrame:

@@ -44,8 +44,8 @@ def invalid_labels(df: DataFrame, column: str, allowed: list) -> DataFrame:
     return bad.groupBy(F.col(column).alias("label")).agg(F.count(F.lit(1)).alias("occurrences"))
 
 
-def missingness(df: DataFrame, threshold: float = 0.5, columns: list[str] | None = None) -> DataFrame:
-    """Null ratio per column in one pass; NaN counts as missing."""
+def missingness(df: DataFrame, threshold: float = 0.5, columns: list[str] | None = None, total: str | None = None) -> DataFrame:
+    """Null ratio per column in one pass; NaN counts as missing.  ``total`` names a column for the number of rows."""
     cols = columns or df.columns
     kinds = dict(df.dtypes)
 
@@ -57,7 +57,7 @@ def missingness(df: DataFrame, threshold: float = 0.5, columns: list[str] | None
     rows = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("nulls"), F.col("_n").alias("n")) for c in cols]
     ratio = F.when(F.col("n") > 0, F.col("nulls") / F.col("n")).otherwise(F.lit(0.0))
     return wide.select(F.inline(F.array(*rows))).select(
-        "column_name", "nulls", round4(ratio).alias("null_ratio"), (ratio > threshold).alias("flagged")
+        "column_name", "nulls", round4(ratio).alias("null_ratio"), (ratio > threshold).alias("flagged"), *([F.col("n").alias(total)] if total else [])
     )
 
 
@@ -123,9 +123,9 @@ def integrity_report(df: DataFrame, required: list[str], key: list[str], label:
 
 def profile(df: DataFrame) -> DataFrame:
     """Rows, columns, and nulls per column."""
-    return missingness(df).withColumns(
+    return missingness(df, total="n_rows").withColumns(
         {"n_columns": F.lit(len(df.columns)).cast("long")}
-    ).select("column_name", "nulls", "null_ratio", "n_columns")
+    ).select("column_name", "nulls", "null_ratio", "n_rows", "n_columns")
 
 
 def range_violations(df: DataFrame, ranges: dict[str, tuple[float, float]], max_missing: float = 0.5) -> DataFrame:

@@ -513,10 +513,12 @@ def tremor_spectrum(acc: DataFrame, key: str = KEY, rate_hz: float = 50.0, chunk
     """Dominant 3-12 Hz frequency, band-power ratios of the Hann-weighted signal and true band RMS.
 
     Each sample is multiplied with the bins of 0.5-20 Hz of its zero-padded length and the products are summed map-side
-    per (recording, bin); total power comes from Parseval, so no bin outside the bands is computed.
+    per (recording, bin); total power comes from Parseval, so no bin outside the bands is computed.  A recording of fewer than
+    10 samples has null features and the status 'insufficient_samples'.
     """
     sig = with_magnitude(acc)
-    stats = signal_moments(sig, key, "mag").where("n_samples >= 10").withColumn("size", F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n_samples").cast("double")))))
+    moments = signal_moments(sig, key, "mag")
+    stats = moments.where("n_samples >= 10").withColumn("size", F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n_samples").cast("double")))))
     seq = sequenced(sig.select(key, "t_ms", "mag", *([tie] if tie else [])), [key], "t_ms", chunk, tie=tie).join(stats, key)
     i = _d("idx")
     dev = F.col("mag") - F.col("mean")
@@ -543,10 +545,12 @@ def tremor_spectrum(acc: DataFrame, key: str = KEY, rate_hz: float = 50.0, chunk
         F.sum(F.when(inside, F.col("raw"))).alias("band"),
         *[F.coalesce(F.sum(F.when((F.col("freq") >= lo) & (F.col("freq") < hi), F.col("power"))), F.lit(0.0)).alias(name) for name, lo, hi in TREMOR_BANDS],
     )
-    return g.join(total, key).select(
+    ratio = [F.when(F.col("total") > 0, round4(F.col(name) / F.col("total"))).when(F.col("total").isNotNull(), F.lit(0.0)).alias(name) for name, _, _ in TREMOR_BANDS]
+    return moments.select(key, F.col("n_samples").alias("_n")).join(g.join(total, key), key, "left").select(
         key,
+        F.when(F.col("_n") < 10, "insufficient_samples").otherwise("ok").alias("status"),
         round_half_away(F.col("dominant"), 3).alias("dominant_frequency"),
         round4(F.col("peak")).alias("peak_power"),
         round4(F.sqrt(F.col("band") / F.col("n_samples"))).alias("tremor_amplitude"),
-        *[F.when(F.col("total") > 0, round4(F.col(name) / F.col("total"))).otherwise(F.lit(0.0)).alias(name) for name, _, _ in TREMOR_BANDS],
+        *ratio,
     )

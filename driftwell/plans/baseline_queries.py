@@ -138,7 +138,8 @@ fold AS (
   SELECT * FROM f),
 last AS (SELECT f.*, CASE WHEN mad > 0 THEN mad WHEN std > 0 THEN std ELSE 0.001::DOUBLE END AS u
          FROM fold f QUALIFY row_number() OVER (PARTITION BY f.participant_id ORDER BY i DESC) = 1),
-folded AS (SELECT l.*, b.sample_count AS n0 FROM last l JOIN baseline b USING (participant_id) WHERE l.i > 0)"""
+every AS (SELECT l.*, b.sample_count AS n0 FROM last l JOIN baseline b USING (participant_id)),
+folded AS (SELECT * FROM every WHERE i > 0)"""
 
 
 @query(
@@ -149,7 +150,7 @@ SELECT participant_id, 'all' AS modality, 'value' AS feature_name, mean AS basel
        CASE WHEN mean <> 0 THEN abs({r4("(std/mean)")}) ELSE 0e0 END AS coefficient_of_variation,
        {r4("(median-3*u)")} AS lower_bound, {r4("(median+3*u)")} AS upper_bound,
        '1.0.' || CAST(n - n0 AS VARCHAR) AS baseline_version, n AS sample_count, lowq AS rejected_low_quality, outl AS rejected_outlier
-FROM folded""",
+FROM every WHERE n0 > 0""",
 )
 def adaptive_baseline(spark, sf):
     h, b = tb.calibrated(spark, sf)

@@ -133,18 +133,18 @@ def concat_baseline(spark, sf):
 
 
 def _scores(spark, sf):
-    """Long table of one pseudo-probability per modality: (1 + first dimension of its block) / 2."""
+    """Long table of one pseudo-probability per modality: (1 + mean of the dimensions of its block) / 2."""
     c = cohort(spark, sf)
     rows = [
-        F.struct(F.lit(m).alias("modality"), ((1 + F.col("embedding")[a].cast("double")) / 2).alias("p"), F.col(f"present_{m}").alias("present"))
-        for m, (a, _) in BLOCKS.items()
+        F.struct(F.lit(m).alias("modality"), ((1 + sum((F.col("embedding")[j].cast("double") for j in range(a + 1, b + 1)), F.col("embedding")[a].cast("double")) / (b - a + 1)) / 2).alias("p"), F.col(f"present_{m}").alias("present"))
+        for m, (a, b) in BLOCKS.items()
     ]
     return c.select("vec_id", "y", F.inline(F.array(*rows)))
 
 
 SCORES = "sc AS (" + " UNION ALL ".join(
-    f"SELECT vec_id, CASE WHEN label < 5 THEN 1 ELSE 0 END AS y, '{m}' AS modality, (1+CAST(embedding[{a + 1}] AS DOUBLE))/2 AS p, {_present(i)} AS present FROM embeddings"
-    for i, (m, (a, _)) in enumerate(BLOCKS.items())
+    f"SELECT vec_id, CASE WHEN label < 5 THEN 1 ELSE 0 END AS y, '{m}' AS modality, (1+({'+'.join(f'CAST(embedding[{j + 1}] AS DOUBLE)' for j in range(a, b + 1))})/{b - a + 1})/2 AS p, {_present(i)} AS present FROM embeddings"
+    for i, (m, (a, b)) in enumerate(BLOCKS.items())
 ) + ")"
 
 
@@ -177,7 +177,7 @@ def presence(spark, sf):
 def score_batch(spark, sf):
     wide, cols = _features(spark, sf)
     all_cols = [c for cs in cols.values() for c in cs]
-    model = Pipeline(stages=[*md.feature_stages(all_cols), LogisticRegression(labelCol="y", maxIter=20)]).fit(wide.where("split = 'train'"))
+    model = Pipeline(stages=[*md.feature_stages(all_cols), LogisticRegression(labelCol="y", maxIter=100)]).fit(wide.where("split = 'train'"))
     return md.score_batch(wide, model, MODS).select("vec_id", "n_present", "status", "risk_score")
 
 
@@ -198,7 +198,7 @@ cu AS (SELECT *, coalesce(sum(pos) OVER w, 0) AS pb, coalesce(sum(neg) OVER w, 0
     f"""WITH {CURVE}, c AS (SELECT CAST(sum(y) FILTER (s >= 0.5) AS BIGINT) AS tp, CAST(sum(1-y) FILTER (s >= 0.5) AS BIGINT) AS fp, CAST(sum(1-y) FILTER (s < 0.5) AS BIGINT) AS tn, CAST(sum(y) FILTER (s < 0.5) AS BIGINT) AS fn FROM os),
 a AS (SELECT CAST(sum(pos*(2*nb+neg)) AS DOUBLE)/(2*CAST(max(pp) AS DOUBLE)*CAST(max(nn) AS DOUBLE)) AS auc FROM cu)
 SELECT tp, fp, tn, fn, {r4("((tp+tn)/CAST(tp+fp+tn+fn AS DOUBLE))")} AS accuracy, {r4("(tp/CAST(tp+fp AS DOUBLE))")} AS precision, {r4("(tp/CAST(tp+fn AS DOUBLE))")} AS recall,
-  {r4("(2*tp/CAST(2*tp+fp+fn AS DOUBLE))")} AS f1, {r4("auc")} AS roc_auc FROM c, a""",
+  {r4("(2*tp/CAST(2*tp+fp+fn AS DOUBLE))")} AS f1, {r4("auc")} AS roc_auc, tp+fp+tn+fn AS n_samples, {r4("((tp+fn)/CAST(tp+fp+tn+fn AS DOUBLE))")} AS class_balance FROM c, a""",
 )
 def binary_metrics(spark, sf):
     return ev.binary_metrics(_order_scores(spark, sf), "y", "s")
@@ -213,7 +213,7 @@ _w = " + ".join(f"CASE WHEN u >= {c!r}::DOUBLE THEN 1 ELSE 0 END" for c in _cdf)
 
 @query(
     "I13_bootstrap_auc_diff",
-    f"""WITH b AS (SELECT doc_id, toxic AS y, {r4("least(n_chars/2e4, 1e0)")} AS a FROM documents JOIN labels USING (doc_id)),
+    f"""WITH b AS (SELECT doc_id, toxic AS y, least(n_chars/2e4, 1e0) AS a FROM documents JOIN labels USING (doc_id)),
 r AS (SELECT y, a, rep, CAST(CAST('0x' || substr(md5(doc_id || ':' || rep || ':42'), 1, 8) AS BIGINT) AS DOUBLE)/4294967296e0 AS u FROM b, (SELECT unnest(range(1, 1001)) AS rep)),
 w AS (SELECT y, a, rep, {_w} AS w FROM r),
 c AS (SELECT rep, a AS s, sum(w*y) AS pos, sum(w*(1-y)) AS neg FROM w WHERE w > 0 GROUP BY ALL),
@@ -251,7 +251,7 @@ _wide = ", ".join(f"max(p) FILTER (modality = '{m}') AS p_{m}, max(present) FILT
 @query(
     "I16_missing_sweep",
     f"""WITH {SCORES}, w AS (SELECT vec_id, y, {_wide} FROM sc GROUP BY ALL), sn(scenario, {", ".join(f"on_{m}" for m in MODS)}) AS (VALUES {_scen}),
-r AS (SELECT scenario, y, CASE WHEN {_den} > 0 THEN ({_num})/({_den}) ELSE 0.5::DOUBLE END AS raw FROM w, sn), q AS (SELECT scenario, y, {r4("raw")} AS s FROM r),
+r AS (SELECT scenario, y, CASE WHEN {_den} > 0 THEN ({_num})/({_den}) ELSE 0.5::DOUBLE END AS raw FROM w, sn), q AS (SELECT scenario, y, raw AS s FROM r),
 ct AS (SELECT scenario, s, sum(y) AS pos, sum(1-y) AS neg FROM q GROUP BY ALL),
 cu AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY scenario ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM ct),
 m AS (SELECT scenario, CAST(sum(pos*(2*nb+neg)) AS DOUBLE)/(2*CAST(sum(pos) AS DOUBLE)*CAST(sum(neg) AS DOUBLE)) AS auc, coalesce(sum(pos) FILTER (s >= 0.5), 0) AS tp, coalesce(sum(neg) FILTER (s >= 0.5), 0) AS fp, coalesce(sum(pos) FILTER (s < 0.5), 0) AS fn FROM cu GROUP BY ALL),
@@ -270,19 +270,22 @@ def gate_summary(spark, sf):
     return ev.gate_summary(_gates(spark, sf))
 
 
+GATED = 51  # with 8 demographic dimensions and 5 presence flags, all 64 dimensions of the table
+
+
 def _shap(spark, sf):
-    """The first 45 embedding dimensions stand for the attribution of the 45 fused features."""
+    """The embedding dimensions stand for the attribution of a fused vector with 51 gated dimensions."""
     e = tb.table(spark, sf, "embeddings")
-    return e.select(F.col("vec_id").alias("sample_id"), F.posexplode(F.slice("embedding", 1, 45)).alias("feature_index", "v")).select("sample_id", "feature_index", F.col("v").cast("double").alias("shap_value"))
+    return e.select(F.col("vec_id").alias("sample_id"), F.posexplode("embedding").alias("feature_index", "v")).select("sample_id", "feature_index", F.col("v").cast("double").alias("shap_value"))
 
 
-_grp = "CASE WHEN feature_index < 32 THEN 'gated' WHEN feature_index < 40 THEN 'demographic' " + " ".join(f"WHEN feature_index = {40 + i} THEN 'presence_{m}'" for i, m in enumerate(MODS)) + " END"
-SHAP = f"""sh0 AS (SELECT vec_id AS sample_id, unnest(range(45)) AS feature_index, CAST(unnest(embedding[1:45]) AS DOUBLE) AS shap_value FROM embeddings), sh AS (SELECT *, {_grp} AS feature_group FROM sh0)"""
+_grp = "CASE WHEN feature_index < 51 THEN 'gated' WHEN feature_index < 59 THEN 'demographic' " + " ".join(f"WHEN feature_index = {59 + i} THEN 'presence_{m}'" for i, m in enumerate(MODS)) + " END"
+SHAP = f"""sh0 AS (SELECT vec_id AS sample_id, unnest(range(64)) AS feature_index, CAST(unnest(embedding) AS DOUBLE) AS shap_value FROM embeddings), sh AS (SELECT *, {_grp} AS feature_group FROM sh0)"""
 
 
 @query("I18_global_importance", f"WITH {SHAP}, g AS (SELECT feature_index, feature_group, avg(abs(shap_value)) AS m FROM sh GROUP BY ALL) SELECT feature_index, feature_group, {rn('m', 6)} AS mean_abs_shap, row_number() OVER (ORDER BY m DESC, feature_index) AS rank FROM g")
 def global_importance(spark, sf):
-    return ev.global_importance(_shap(spark, sf))
+    return ev.global_importance(_shap(spark, sf), GATED)
 
 
 @query(
@@ -293,7 +296,7 @@ UNION ALL SELECT 'demographic_covariates', m FROM g WHERE feature_group = 'demog
 SELECT modality, {rn("total", 6)} AS mean_abs_shap, {rn("(1e2*total/(SELECT sum(total) FROM t))", 2)} AS percent FROM t""",
 )
 def modality_importance(spark, sf):
-    return ev.modality_importance(_shap(spark, sf), _gates(spark, sf))
+    return ev.modality_importance(_shap(spark, sf), _gates(spark, sf), GATED)
 
 
 @query("I20_local_contributors", f"WITH {SHAP}, r AS (SELECT *, CASE WHEN shap_value > 0 THEN 'positive' ELSE 'negative' END AS direction FROM sh WHERE shap_value <> 0), k AS (SELECT *, row_number() OVER (PARTITION BY sample_id, direction ORDER BY abs(shap_value) DESC, feature_index) AS rank FROM r) SELECT sample_id, direction, rank, feature_index, {rn('shap_value', 6)} AS shap_value FROM k WHERE rank <= 5")
@@ -303,7 +306,7 @@ def local_contributors(spark, sf):
 
 @query("I20_net_direction", f"WITH {SHAP}, g AS (SELECT sample_id, feature_group, sum(shap_value) AS net FROM sh GROUP BY ALL) SELECT sample_id, feature_group, CASE WHEN net > 1e-6 THEN 'positive' WHEN net < -1e-6 THEN 'negative' ELSE 'mixed' END AS direction FROM g")
 def net_direction(spark, sf):
-    return ev.net_direction(_shap(spark, sf))
+    return ev.net_direction(_shap(spark, sf), gated=GATED)
 
 
 @query("I21_stability", "SELECT o_custkey, count(*) AS runs, max(o_totalprice) - min(o_totalprice) AS spread, max(o_totalprice) - min(o_totalprice) <= 1e-5 AS stable FROM orders GROUP BY o_custkey")

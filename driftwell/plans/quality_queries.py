@@ -140,7 +140,7 @@ def integrity_report(spark, sf):
     return dq.integrity_report(_blanked(spark, sf), ["l_orderkey", "l_tax", "l_weight"], ["l_orderkey"], "l_returnflag", ["A", "R"])
 
 
-@query("B9_profile", f"WITH {BLANKED} SELECT column_name, nulls, null_ratio, n_columns FROM ({_missing_sql(', CAST(6 AS BIGINT) AS n_columns')})")
+@query("B9_profile", f"WITH {BLANKED} SELECT column_name, nulls, null_ratio, n_rows, n_columns FROM ({_missing_sql(', count(*) AS n_rows, CAST(6 AS BIGINT) AS n_columns')})")
 def profile(spark, sf):
     return dq.profile(_blanked(spark, sf))
 

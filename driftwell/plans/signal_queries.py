@@ -281,7 +281,7 @@ a AS (SELECT *, 2*pi()*((i*bin) % size)/size AS an FROM e),
 p AS (SELECT session_id, n, size, bin, bin*5e1/size AS fq, 2*(pow(sum(w*cos(an)),2)+pow(sum(w*sin(an)),2))/size AS pw, 2*(pow(sum(d*cos(an)),2)+pow(sum(d*sin(an)),2))/size AS rw FROM a GROUP BY session_id, n, size, bin),
 tt AS (SELECT session_id, sum(w*w) AS total FROM h GROUP BY ALL),
 g AS (SELECT session_id, n, arg_max(fq, pw) FILTER (fq BETWEEN 3 AND 12) AS dom, max(pw) FILTER (fq BETWEEN 3 AND 12) AS pk, sum(rw) FILTER (fq BETWEEN 3 AND 12) AS bd, {_ratio} FROM p GROUP BY ALL)
-SELECT session_id, {rn("dom", 3)} AS dominant_frequency, {r4("pk")} AS peak_power, {r4("sqrt(bd/n)")} AS tremor_amplitude, {_out} FROM g JOIN tt USING (session_id)""",
+SELECT session_id, CASE WHEN st.n < 10 THEN 'insufficient_samples' ELSE 'ok' END AS status, {rn("dom", 3)} AS dominant_frequency, {r4("pk")} AS peak_power, {r4("sqrt(bd/g.n)")} AS tremor_amplitude, {_out} FROM st LEFT JOIN g USING (session_id) LEFT JOIN tt USING (session_id)""",
 )
 def tremor_spectrum(spark, sf):
     return sg.tremor_spectrum(_acc(spark, sf), **OPT)

@@ -8,6 +8,7 @@ from driftwell.operators import cohort as co
 from driftwell.operators import daily as dy
 from driftwell.operators import privacy as pv
 from driftwell.operators import sync as sy
+from driftwell.operators import trend as tr
 from driftwell.plans import tables as tb
 from driftwell.plans.daily_queries import STATUS
 from driftwell.plans.quality_queries import _errs
@@ -188,22 +189,27 @@ def consent_snapshot(spark, sf):
 def _owned(spark, sf):
     s = tb.sessions(spark, sf).select("participant_id", "event_id", "modality", "value")
     tables = {f"{m}_sessions": s.where(F.col("modality") == m) for m in tb.EVENT_MODALITY.values()}
+    hub, base = tb.calibrated(spark, sf)
+    tables["daily_features"] = hub.select("participant_id", "date", "value")
+    tables["personal_baselines"] = base.select("participant_id", "baseline_median")
+    tables["daily_deviations"] = tr.deviation_record(tr.deviation(hub, base)).select("participant_id", "date", "deviation_score")
     tables["consent_records"] = _consents(spark, sf)
-    tables["predictions"] = tb.table(spark, sf, "orders").select(F.col("o_custkey").alias("participant_id"), "o_orderkey", "o_totalprice")
+    tables["mpf_predictions"] = tb.table(spark, sf, "orders").select(F.col("o_custkey").alias("participant_id"), "o_orderkey", "o_totalprice")
     tables["participants"] = tb.table(spark, sf, "customer").select(F.col("c_custkey").alias("participant_id"), "c_name")
     return tables
 
 
-OWNED = f"""{SESSIONS}, {CONSENT}, owned AS (SELECT participant_id, modality || '_sessions' AS t FROM sessions UNION ALL SELECT participant_id, 'consent_records' FROM log
-  UNION ALL SELECT o_custkey, 'predictions' FROM orders UNION ALL SELECT c_custkey, 'participants' FROM customer)"""
+OWNED = f"""{zscore_ctes()}, {CONSENT}, owned AS (SELECT participant_id, modality || '_sessions' AS t FROM sessions UNION ALL SELECT participant_id, 'consent_records' FROM log
+  UNION ALL SELECT participant_id, 'daily_features' FROM hub UNION ALL SELECT participant_id, 'personal_baselines' FROM baseline UNION ALL SELECT participant_id, 'daily_deviations' FROM dev
+  UNION ALL SELECT o_custkey, 'mpf_predictions' FROM orders UNION ALL SELECT c_custkey, 'participants' FROM customer)"""
 
 
-@query("H12_erase_counts", f"WITH {OWNED}, {REQUESTS} SELECT participant_id, t AS table_name, count(*) AS purged FROM owned WHERE participant_id IN (SELECT participant_id FROM req WHERE consent_type = 'all') GROUP BY ALL")
+@query("H12_erase_counts", f"WITH {OWNED}, {REQUESTS} SELECT participant_id, t AS table_name, count(*) AS purged FROM owned WHERE t NOT IN ('consent_records', 'participants') AND participant_id IN (SELECT participant_id FROM req WHERE consent_type = 'all') GROUP BY ALL")
 def erase_counts(spark, sf):
     return pv.erase(_owned(spark, sf), _requests(spark, sf).where("consent_type = 'all'"))[1]
 
 
-@query("H12_erase_remaining", f"WITH {OWNED}, {REQUESTS} SELECT t AS table_name, count(*) AS remaining FROM owned WHERE participant_id NOT IN (SELECT participant_id FROM req WHERE consent_type = 'all') GROUP BY ALL")
+@query("H12_erase_remaining", f"WITH {OWNED}, {REQUESTS} SELECT t AS table_name, count(*) AS remaining FROM owned WHERE t IN ('consent_records', 'participants') OR participant_id NOT IN (SELECT participant_id FROM req WHERE consent_type = 'all') GROUP BY ALL")
 def erase_remaining(spark, sf):
     from functools import reduce
 
@@ -211,13 +217,19 @@ def erase_remaining(spark, sf):
     return reduce(lambda a, b: a.unionByName(b), [df.groupBy(F.lit(n).alias("table_name")).agg(F.count(F.lit(1)).alias("remaining")) for n, df in kept.items()])
 
 
+@query("H12_erasure_audit", f"WITH {REQUESTS} SELECT participant_id, 'deletion' AS consent_type, '1.0.0' AS consent_version, TRUE AS granted, CAST(CAST(min(requested_at) AS DATE) AS VARCHAR) AS recorded_on FROM req WHERE consent_type = 'all' GROUP BY participant_id")
+def erasure_audit(spark, sf):
+    out = pv.erasure_audit(_requests(spark, sf).where("consent_type = 'all'"))
+    return out.select("participant_id", "consent_type", "consent_version", "granted", F.to_date("timestamp").alias("recorded_on"))
+
+
 @query("H12_soft_delete", f"WITH {REQUESTS} SELECT c_custkey AS participant_id, CAST(CAST(requested_at AS DATE) AS VARCHAR) AS deleted_on, requested_at IS NOT NULL AS is_deleted FROM customer LEFT JOIN (SELECT * FROM req WHERE consent_type = 'all') r ON r.participant_id = c_custkey")
 def soft_delete(spark, sf):
     out = pv.soft_delete(_owned(spark, sf)["participants"], _requests(spark, sf).where("consent_type = 'all'"))
     return out.select("participant_id", F.to_date("deleted_at").alias("deleted_on"), "is_deleted")
 
 
-SECTIONS = [f"{m}_sessions" for m in tb.EVENT_MODALITY.values()] + ["consent_records", "predictions", "participants"]
+SECTIONS = [f"{m}_sessions" for m in tb.EVENT_MODALITY.values()] + ["daily_features", "personal_baselines", "daily_deviations", "consent_records", "mpf_predictions", "participants"]
 
 
 @query("H13_export_summary", f"WITH {OWNED} SELECT participant_id, " + ", ".join(f"count(*) FILTER (t = '{s}') AS total_{s}" for s in SECTIONS) + " FROM owned GROUP BY ALL")
@@ -243,8 +255,6 @@ SELECT c_custkey AS participant_id, coalesce(d.n, 0) AS total_collection_days, c
 FROM customer LEFT JOIN d ON d.participant_id = c_custkey LEFT JOIN e ON e.participant_id = c_custkey LEFT JOIN last l ON l.participant_id = c_custkey""",
 )
 def dashboard_summary(spark, sf):
-    from driftwell.operators import trend as tr
-
     hub, base = tb.calibrated(spark, sf)
     dev = tr.deviation_record(tr.deviation(hub, base))
     o = tb.table(spark, sf, "orders")
@@ -264,10 +274,10 @@ def _cohort(spark, sf):
 
 @query(
     "H16_cohort_list",
-    f"WITH {COHORT} SELECT participant_id, risk_index, risk_class FROM c WHERE risk_class = 'elevated' AND (lower(c_name) LIKE '%build%' OR lower(c_mktsegment) LIKE '%build%' OR CAST(participant_id AS VARCHAR) LIKE '%build%') ORDER BY risk_index DESC, participant_id LIMIT 50",
+    f"WITH {COHORT} SELECT participant_id, risk_index, risk_class FROM c WHERE risk_class = 'elevated' AND (lower(c_name) LIKE '%build%' OR lower(c_mktsegment) LIKE '%build%' OR CAST(participant_id AS VARCHAR) LIKE '%build%')",
 )
 def cohort_list(spark, sf):
-    out = co.cohort_list(_cohort(spark, sf), "elevated", None, " Build ", ["c_name", "c_mktsegment", "participant_id"], "risk-desc", 50)
+    out = co.cohort_list(_cohort(spark, sf), "elevated", None, " Build ", ["c_name", "c_mktsegment", "participant_id"], "risk-desc")
     return out.select("participant_id", "risk_index", "risk_class")
 
 

@@ -1,8 +1,7 @@
 """Column expressions for the four-decimal arithmetic used by every operator.
 
-Sums and medians run on *micro units* (BIGINT = value x 1e6).  Integer sums do not depend on the order in which
-tasks finish, so a retried or re-partitioned job returns bit-identical results, and a median of two integers is
-exact before it is rounded.
+Values stay doubles: ranks, medians and quartiles need nothing else.  Sums go through ``exact_sum``, whose decimal
+arithmetic does not depend on the order in which tasks finish, so a retried or re-partitioned job returns the same bits.
 """
 
 from __future__ import annotations
@@ -11,13 +10,18 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 
 def round_half_away(x: Column, digits: int) -> Column:
-    """Half-away-from-zero rounding without the BigDecimal detour that ``round`` takes on doubles."""
+    """Half-away-from-zero rounding without the BigDecimal detour that ``round`` takes on doubles.
+
+    A value of 2^53 or more units has no such digits and is returned as it is.
+    """
     scale = F.lit(float(10**digits))
     magnitude = F.floor(F.abs(x) * scale + F.lit(0.5))
-    return F.when(x < 0, -magnitude).otherwise(magnitude) / scale
+    rounded = F.when(x < 0, -magnitude).otherwise(magnitude) / scale
+    return F.when(F.abs(x) * scale >= F.lit(float(2**53)), x.cast("double")).otherwise(rounded)
 
 
 def round4(x: Column) -> Column:
@@ -30,14 +34,18 @@ def finite(x: Column) -> Column:
     return F.when(F.abs(d) < F.lit(float("inf")), d)
 
 
-def micro(x: Column) -> Column:
-    return F.floor(finite(x) * F.lit(1e6) + F.lit(0.5)).cast("long")
+def exact_sum(v: Column, over: WindowSpec | None = None) -> Column:
+    """Sum (or window sum) of doubles in decimal arithmetic with 12 fractional digits, as a double.
+
+    Groups whose largest magnitude lies outside [0.001, 1e14), where 12 digits would cut or overflow, are summed as doubles.
+    """
 
+    def scoped(c: Column) -> Column:
+        return c if over is None else c.over(over)
 
-def from_micro(x: Column) -> Column:
-    """Micro units back to a value rounded to four decimals."""
-    magnitude = F.floor(F.abs(x.cast("double")) / F.lit(100.0) + F.lit(0.5))
-    return F.when(x < 0, -magnitude).otherwise(magnitude) / F.lit(1e4)
+    largest = scoped(F.max(F.abs(v)))
+    exact = scoped(F.try_sum(v.try_cast("decimal(38,12)"))).cast("double")
+    return F.when((largest >= 1e-3) & (largest < 1e14), exact).otherwise(scoped(F.sum(v)))
 
 
 def clamp(x: Column, lo: float, hi: float) -> Column:
@@ -63,21 +71,21 @@ def null_safe_sum(cols: list[Column]) -> Column:
     return F.when(F.coalesce(*cols).isNotNull(), total)
 
 
-# ---- order statistics over a sorted array of micro units -------------------------------------------------------
+# ---- order statistics over a sorted array -------------------------------------------------------
 
 def _at(arr: Column, index: Column) -> Column:
     return F.get(arr, index.cast("int"))
 
 
 def sorted_median(arr: Column) -> Column:
-    """Median (micro units, double) of an ascending array."""
+    """Median of an ascending array."""
     n = F.size(arr)
     lo, hi = F.floor((n - 1) / 2), F.floor(n / 2)
     return (_at(arr, lo) + _at(arr, hi)) / F.lit(2.0)
 
 
 def sorted_quantile(arr: Column, q: float) -> Column:
-    """Linear-interpolation quantile (micro units, double) of an ascending array."""
+    """Linear-interpolation quantile of an ascending array."""
     pos = (F.size(arr) - 1) * F.lit(q)
     lo, hi = F.floor(pos), F.ceil(pos)
     low = _at(arr, lo).cast("double")

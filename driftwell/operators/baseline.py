@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from driftwell.functions import fixed_values as fv
 from driftwell.functions.numeric import (
     clamp,
+    exact_sum,
     finite,
-    from_micro,
-    micro,
     round4,
     round_half_away,
     sorted_median,
@@ -45,10 +44,10 @@ def feature_series(daily: DataFrame, min_quality: float = fv.MIN_QUALITY) -> Dat
 
 
 def _collected(hub: DataFrame, keys: list[str]) -> DataFrame:
-    v = micro(F.col("value"))
+    v = finite(F.col("value"))
     return hub.groupBy(*keys).agg(
         F.sort_array(F.collect_list(v)).alias("arr"),
-        F.sum(v).alias("sum_u"),
+        exact_sum(v).alias("sum"),
         F.stddev_samp(finite(F.col("value"))).alias("sd"),
         F.min("date").alias("baseline_start_date"),
         F.max("date").alias("baseline_end_date"),
@@ -66,24 +65,24 @@ def baseline_stats(hub: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     g = g.withColumns(
         {
             "sample_count": n,
-            "baseline_mean": F.when(some, from_micro(F.col("sum_u") / n)),
-            "baseline_median": F.when(some, from_micro(sorted_median(F.col("arr")))),
+            "baseline_mean": F.when(some, round4(F.col("sum") / n)),
+            "baseline_median": F.when(some, round4(sorted_median(F.col("arr")))),
             "baseline_std": F.when(some, round4(F.coalesce(F.col("sd"), F.lit(0.0)))),
-            "q1": F.when(some, from_micro(sorted_quantile(F.col("arr"), 0.25))),
-            "q3": F.when(some, from_micro(sorted_quantile(F.col("arr"), 0.75))),
+            "q1": F.when(some, round4(sorted_quantile(F.col("arr"), 0.25))),
+            "q3": F.when(some, round4(sorted_quantile(F.col("arr"), 0.75))),
         }
     )
-    centre = micro(F.col("baseline_median"))
+    centre = F.col("baseline_median")
     spread = F.sort_array(F.transform("arr", lambda v: F.abs(v - centre)))
     return g.withColumns(
         {
-            "baseline_mad": F.when(some, from_micro(sorted_median(spread))),
+            "baseline_mad": F.when(some, round4(sorted_median(spread))),
             "iqr": round4(F.col("q3") - F.col("q1")),
             "coefficient_of_variation": F.when(
                 F.col("baseline_mean") != 0, round4(F.abs(F.col("baseline_std") / F.col("baseline_mean")))
             ).when(some, F.lit(0.0)),
         }
-    ).drop("arr", "sum_u", "sd")
+    ).drop("arr", "sum", "sd")
 
 
 def mad(hub: DataFrame, keys: list[str] = SERIES) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.functions import fixed_values as fv
-from driftwell.functions.numeric import clamp, first_present, from_micro, micro, round4, round_half_away
+from driftwell.functions.numeric import clamp, exact_sum, finite, first_present, round4, round_half_away
 from driftwell.operators import orderstats as osx
 
 DAY = ["participant_id", "date"]
@@ -63,21 +63,21 @@ def modality_status(sessions: DataFrame, threshold: float = fv.MIN_QUALITY) -> D
     gated = quality_gate(sessions, threshold)
     counts = osx.value_counts(gated, [*keys, "accepted"], F.col("effective_quality"))
     per_flag = osx.ranked(counts, [*keys, "accepted"]).groupBy(*keys, "accepted").agg(
-        F.max("n").alias("n"), osx.median_expr().alias("median_u")
+        F.max("n").alias("n"), osx.median_expr().alias("median_value")
     )
     ok = F.col("accepted")
     return (
         per_flag.groupBy(*keys)
         .agg(
-            F.max(F.when(ok, F.col("median_u"))).alias("ok_u"),
-            F.max(F.when(~ok, F.col("median_u"))).alias("low_u"),
+            F.max(F.when(ok, F.col("median_value"))).alias("ok_median"),
+            F.max(F.when(~ok, F.col("median_value"))).alias("low_median"),
             F.coalesce(F.max(F.when(ok, F.col("n"))), F.lit(0)).cast("long").alias("passed_count"),
             F.sum("n").alias("total_count"),
         )
         .select(
             *keys,
             F.when(F.col("passed_count") > 0, "valid").otherwise("low_quality").alias("status"),
-            from_micro(F.coalesce("ok_u", "low_u")).alias("quality_score"),
+            round4(F.coalesce("ok_median", "low_median")).alias("quality_score"),
             "passed_count",
             "total_count",
             (F.col("total_count") - F.col("passed_count")).alias("rejected_count"),
@@ -131,14 +131,14 @@ def overall_quality(status: DataFrame) -> DataFrame:
 
 # ---- per-feature statistics ------------------------------------------------------------------------------------
 
-def hinge_iqr_expr(n: Column, q1_u: Column, q3_u: Column, min_u: Column, max_u: Column) -> Column:
+def hinge_iqr_expr(n: Column, q1_value: Column, q3_value: Column, min_value: Column, max_value: Column) -> Column:
     """IQR between hinges rounded to four decimals; the range for two values, 0 for fewer."""
-    spread = round4(F.greatest(from_micro(q3_u) - from_micro(q1_u), F.lit(0.0)))
-    return F.when(n < 2, F.lit(0.0)).when(n == 2, from_micro(max_u - min_u)).otherwise(spread)
+    spread = round4(F.greatest(round4(q3_value) - round4(q1_value), F.lit(0.0)))
+    return F.when(n < 2, F.lit(0.0)).when(n == 2, round4(max_value - min_value)).otherwise(spread)
 
 
 def _finish_statistics(df: DataFrame, keys: list[str]) -> DataFrame:
-    mean = F.col("sum_u") / F.col("n") / F.lit(1e6)
+    mean = F.col("sum") / F.col("n")
     std = F.when(F.col("n") < 2, F.lit(0.0)).otherwise(F.sqrt(F.col("m2") / (F.col("n") - 1)))
     return (
         df.withColumns({"mean": mean, "std": std})
@@ -146,13 +146,13 @@ def _finish_statistics(df: DataFrame, keys: list[str]) -> DataFrame:
         .select(
             *keys,
             "n",
-            from_micro(F.col("median_u")).alias("median"),
-            hinge_iqr_expr(*[F.col(c) for c in ("n", "q1_u", "q3_u", "min_u", "max_u")]).alias("iqr"),
+            round4(F.col("median_value")).alias("median"),
+            hinge_iqr_expr(*[F.col(c) for c in ("n", "q1_value", "q3_value", "min_value", "max_value")]).alias("iqr"),
             "mean",
             "std",
             "cv",
-            "min_u",
-            "max_u",
+            "min_value",
+            "max_value",
         )
     )
 
@@ -163,16 +163,16 @@ def day_statistics(long: DataFrame, keys: list[str]) -> DataFrame:
     The deviation is taken about the group mean inside the window that ranks the values, so one pass serves all.
     """
     ranked = osx.ranked(osx.value_counts(long, keys, F.col("value")), keys)
-    centred = (F.col("v") - F.col("sum_u") / F.col("n")) / F.lit(1e6)
+    centred = F.col("v") - F.col("sum") / F.col("n")
     q1, q3 = osx.hinge_quartiles()
     stats = ranked.groupBy(*keys).agg(
         F.max("n").alias("n"),
-        osx.median_expr().alias("median_u"),
-        q1.alias("q1_u"),
-        q3.alias("q3_u"),
-        F.min("v").alias("min_u"),
-        F.max("v").alias("max_u"),
-        F.max("sum_u").alias("sum_u"),
+        osx.median_expr().alias("median_value"),
+        q1.alias("q1_value"),
+        q3.alias("q3_value"),
+        F.min("v").alias("min_value"),
+        F.max("v").alias("max_value"),
+        F.max("sum").alias("sum"),
         F.sum(F.col("c") * centred * centred).alias("m2"),
     )
     return _finish_statistics(stats, keys)
@@ -182,7 +182,7 @@ def disagreement(stats: DataFrame) -> DataFrame:
     """Flags groups whose sessions disagree: high CV, high relative IQR, or two sessions far apart."""
     iqr_rel = F.when(F.coalesce(F.col("median"), F.lit(0.0)) != 0, F.abs(F.col("iqr") / F.col("median"))).otherwise(F.lit(0.0))
     range_rel = F.when(
-        F.col("mean") != 0, (F.col("max_u") - F.col("min_u")) / F.lit(1e6) / F.abs(F.col("mean"))
+        F.col("mean") != 0, (F.col("max_value") - F.col("min_value")) / F.abs(F.col("mean"))
     ).otherwise(F.lit(0.0))
     out = stats.withColumns({"iqr_relative": iqr_rel, "range_relative": range_rel})
     flagged = (F.col("n") >= 2) & (
@@ -210,10 +210,10 @@ def daily_medians(long: DataFrame, keys: list[str], columns: list[str]) -> DataF
     )
     by = [*keys, "_col"]
     med = osx.ranked(osx.value_counts(melted, by, F.col("_val")), by).groupBy(*by).agg(
-        osx.median_expr().alias("u"), F.max("n").alias("n")
+        osx.median_expr().alias("m"), F.max("n").alias("n")
     )
     return med.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_col") == c, from_micro(F.col("u")))).alias(c) for c in columns],
+        *[F.max(F.when(F.col("_col") == c, round4(F.col("m")))).alias(c) for c in columns],
         F.max("n").alias("n_sessions"),
     )
 
@@ -309,12 +309,12 @@ def participant_rollup(
     Ties of the label go to the smallest one.
     """
     if strategy == "mean":
-        out = df.groupBy(key).agg(*[(F.sum(micro(F.col(f))) / F.count(micro(F.col(f))) / 1e6).alias(f) for f in features])
+        out = df.groupBy(key).agg(*[(exact_sum(finite(F.col(f))) / F.count(finite(F.col(f)))).alias(f) for f in features])
     else:
         entries = [F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("value")) for f in features]
         long = df.select(key, F.inline(F.array(*entries)))
         ranked = osx.ranked(osx.value_counts(long, [key, "f"], F.col("value")), [key, "f"])
-        medians = ranked.groupBy(key, "f").agg((osx.median_expr() / 1e6).alias("median"))
+        medians = ranked.groupBy(key, "f").agg(osx.median_expr().alias("median"))
         out = medians.groupBy(key).agg(*[F.max(F.when(F.col("f") == f, F.col("median"))).alias(f) for f in features])
     if label is None:
         return out

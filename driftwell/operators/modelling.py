@@ -68,7 +68,7 @@ def fit_preprocessors(train: DataFrame) -> DataFrame:
     """
     keys = ["modality", "feature"]
     counts = osx.value_counts(train, keys, F.col("value"))
-    median = osx.ranked(counts, keys).groupBy(*keys).agg((osx.median_expr() / 1e6).alias("median"))
+    median = osx.ranked(counts, keys).groupBy(*keys).agg(osx.median_expr().alias("median"))
     rows = train.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.count("value").alias("known"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
     p = median.join(rows, keys)
     gap = F.col("rows") - F.col("known")

@@ -13,12 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftwell.functions.numeric import micro
+from driftwell.functions.numeric import exact_sum, finite
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
     return (
-        df.select(*keys, micro(value).alias("v"))
+        df.select(*keys, finite(value).alias("v"))
         .where(F.col("v").isNotNull())
         .groupBy(*keys, "v")
         .agg(F.count(F.lit(1)).alias("c"))
@@ -41,13 +41,13 @@ def ranked(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
         {
             "cum": F.sum("c").over(ordered.rowsBetween(W.unboundedPreceding, 0)),
             "n": F.sum("c").over(whole),
-            "sum_u": F.sum(F.col("v") * F.col("c")).over(whole),
+            "sum": exact_sum(F.col("v") * F.col("c"), whole),
         }
     )
 
 
 def middle(lo_rank: Column, size: Column) -> Column:
-    """Aggregate: median of the ``size`` values that start at ``lo_rank`` (micro units)."""
+    """Aggregate: median of the ``size`` values that start at ``lo_rank``."""
     a = at_rank(lo_rank + F.floor((size - 1) / 2))
     b = at_rank(lo_rank + F.floor(size / 2))
     return F.when(F.max(size) > 0, (a + b) / F.lit(2.0))
@@ -63,13 +63,17 @@ def hinge_quartiles() -> tuple[Column, Column]:
     return middle(F.lit(0), half), middle(F.col("n") - half, half)
 
 
-def global_median(df: DataFrame, value: Column, block_width: int = 1_000_000) -> DataFrame:
+def global_median(df: DataFrame, value: Column, blocks: int = 256) -> DataFrame:
     """One-row median of a whole column without sorting it in one task.
 
-    Distinct values are folded into blocks of ``block_width`` micro units; only the (at most two) blocks that hold a
-    middle rank are ranked, and the prefix sum runs over the block totals alone.
+    Distinct values are folded into ``blocks`` ranges cut at approximate quantiles, so a block holds about a ``blocks``-th of
+    the rows whatever their distribution; only the (at most two) blocks that hold a middle rank are ranked, and the prefix
+    sum runs over the block totals alone.
     """
-    counts = value_counts(df, [], value).withColumn("block", F.floor(F.col("v") / F.lit(float(block_width))))
+    counts = value_counts(df, [], value)
+    cuts = counts.agg(F.percentile_approx("v", [i / blocks for i in range(1, blocks)], 10_000).alias("cuts")).first()["cuts"] or []
+    edges = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    counts = counts.withColumn("block", F.size(F.filter(edges, lambda c: c <= F.col("v"))))
     whole = W.partitionBy(F.lit(0))
     lo, hi = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
     prefix = (
@@ -86,7 +90,7 @@ def global_median(df: DataFrame, value: Column, block_width: int = 1_000_000) ->
             ((F.col("before") <= lo) & (F.col("upto") > lo)) | ((F.col("before") <= hi) & (F.col("upto") > hi))
         )
     )
-    opened = counts.join(F.broadcast(prefix), "block")
+    opened = counts.join(F.broadcast(prefix), "block")  # two rows at most
     running = F.sum("c").over(W.partitionBy("block").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
     opened = opened.withColumn("cum", F.col("before") + running)
-    return opened.agg(((at_rank(lo) + at_rank(hi)) / F.lit(2e6)).alias("median"))
+    return opened.agg(((at_rank(lo) + at_rank(hi)) / F.lit(2.0)).alias("median"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.functions import fixed_values as fv
-from driftwell.functions.numeric import finite, from_micro, reasons, round4
+from driftwell.functions.numeric import finite, reasons, round4
 from driftwell.operators import orderstats as osx
 
 
@@ -167,8 +167,8 @@ def trial_qc(
         key, F.inline(F.array(*[F.struct(F.lit(t).alias("total"), F.col(t).cast("double").alias("value")) for t in totals]))
     )
     by = [key, "total"]
-    medians = osx.ranked(osx.value_counts(force, by, F.col("value")), by).groupBy(*by).agg(osx.median_expr().alias("u"))
-    wide = medians.groupBy(key).agg(*[F.max(F.when(F.col("total") == t, from_micro(F.col("u")))).alias(f"median_{t}") for t in totals])
+    medians = osx.ranked(osx.value_counts(force, by, F.col("value")), by).groupBy(*by).agg(osx.median_expr().alias("m"))
+    wide = medians.groupBy(key).agg(*[F.max(F.when(F.col("total") == t, round4(F.col("m")))).alias(f"median_{t}") for t in totals])
     expected = F.floor(F.col("duration") * rate_hz)
     deviation = F.abs(F.col("n_samples") - expected) / F.greatest(expected, F.lit(1))
     issues = [(((F.col("n_samples") > 1) & (F.col("duration") < min_seconds)), "duration")]

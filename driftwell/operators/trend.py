@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftwell.functions import fixed_values as fv
-from driftwell.functions.numeric import clamp, finite, from_micro, micro, round4, round_half_away
+from driftwell.functions.numeric import clamp, exact_sum, finite, round4, round_half_away
 from driftwell.operators.baseline import SERIES, with_baseline
 
 
@@ -173,10 +173,10 @@ def rolling7_columns(keys: list[str] = SERIES) -> dict[str, Column]:
     v, q = finite(F.col("value")), finite(F.col("quality_score"))
     n = F.count(v).over(w)
     return {
-        "seven_day_average": F.when(n > 0, from_micro(F.sum(micro(v)).over(w) / n)),
+        "seven_day_average": F.when(n > 0, round4(exact_sum(v, w) / n)),
         "seven_day_variability": F.when(n == 1, F.lit(0.0)).when(n > 1, round4(F.stddev_samp(v).over(w))),
         "data_quality": F.coalesce(
-            clamp(from_micro(F.sum(micro(q)).over(w) / F.count(q).over(w)), 0, 1), F.lit(0.0)
+            clamp(round4(exact_sum(q, w) / F.count(q).over(w)), 0, 1), F.lit(0.0)
         ),
     }
 
@@ -185,16 +185,16 @@ def slope14_column(keys: list[str] = SERIES) -> Column:
     """Least-squares slope of the last 14 rows against their position; null values keep their position.
 
     The slope does not change when positions are shifted, so the global row number serves as position (column
-    ``rn``). All sums are integers.
+    ``rn``). All sums are independent of the order of rows.
     """
     w = by_date(keys).rowsBetween(-13, 0)
-    v = micro(F.col("value"))
+    v = finite(F.col("value"))
     x = F.when(v.isNotNull(), F.col("rn").cast("long"))
     n = F.count(v).over(w)
-    sx, sy = F.sum(x).over(w), F.sum(v).over(w)
-    sxy, sxx = F.sum(x * v).over(w), F.sum(x * x).over(w)
+    sx, sy = F.sum(x).over(w), exact_sum(v, w)
+    sxy, sxx = exact_sum(x * v, w), F.sum(x * x).over(w)
     den = n * sxx - sx * sx
-    return F.when((n >= 2) & (den != 0), round4((n * sxy - sx * sy) / den / F.lit(1e6))).otherwise(F.lit(0.0))
+    return F.when((n >= 2) & (den != 0), round4((n * sxy - sx * sy) / den)).otherwise(F.lit(0.0))
 
 
 def missing14_column(keys: list[str] = SERIES) -> Column:

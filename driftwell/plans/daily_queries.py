@@ -9,18 +9,18 @@ from driftwell.functions.numeric import round4
 from driftwell.operators import daily as dy
 from driftwell.plans import tables as tb
 from driftwell.plans.registry import query
-from driftwell.plans.sqltext import SESSIONS, fm, med, mi, r4, rn
+from driftwell.plans.sqltext import SESSIONS, exact, mdn, med, r4, rn
 
 STATUS = f"""{SESSIONS},
 st AS (
   SELECT participant_id, date, modality, count(*) AS total_count,
          count(*) FILTER (quality_score >= 0.5) AS passed_count,
-         median({mi('quality_score')}) FILTER (quality_score >= 0.5) AS ok_u,
-         median({mi('quality_score')}) FILTER (quality_score < 0.5) AS low_u
+         {mdn('quality_score', ' FILTER (quality_score >= 0.5)')} AS ok_u,
+         {mdn('quality_score', ' FILTER (quality_score < 0.5)')} AS low_u
   FROM sessions GROUP BY ALL),
 status AS (
   SELECT participant_id, date, modality, CASE WHEN passed_count > 0 THEN 'valid' ELSE 'low_quality' END AS status,
-         {fm("coalesce(ok_u, low_u)")} AS quality_score, passed_count, total_count,
+         {r4("coalesce(ok_u, low_u)")} AS quality_score, passed_count, total_count,
          total_count - passed_count AS rejected_count
   FROM st)"""
 
@@ -65,22 +65,22 @@ long AS (
 
 _q1 = "list_sort(arr)[1:len(arr)//2]"
 STATS = f"""g0 AS (
-  SELECT participant_id, date, modality, feature_name, list_sort(list({mi('value')})) AS arr, avg(value) AS mean_raw,
+  SELECT participant_id, date, modality, feature_name, list_sort(list(CAST(value AS DOUBLE))) AS arr, {exact('value')} AS total, avg(value) AS mean_raw,
          stddev_samp(value) AS sd
   FROM long GROUP BY ALL),
 g1 AS (
   SELECT *, len(arr) AS n, arr[1:len(arr)//2] AS lower_half, arr[len(arr)-len(arr)//2+1:len(arr)] AS upper_half,
-         CAST(list_sum(arr) AS DOUBLE)/len(arr)/1e6 AS mean
+         total/len(arr) AS mean
   FROM g0),
 g2 AS (
-  SELECT *, {fm(med("arr"))} AS median,
-         CASE WHEN n < 2 THEN 0e0 WHEN n = 2 THEN {fm("(arr[2]-arr[1])")}
-              ELSE {r4(f"greatest({fm(med('upper_half'))}-{fm(med('lower_half'))}, 0e0)")} END AS iqr,
+  SELECT *, {r4(med("arr"))} AS median,
+         CASE WHEN n < 2 THEN 0e0 WHEN n = 2 THEN {r4("(arr[2]-arr[1])")}
+              ELSE {r4(f"greatest({r4(med('upper_half'))}-{r4(med('lower_half'))}, 0e0)")} END AS iqr,
          CASE WHEN n > 1 AND mean <> 0 THEN abs(sd/mean) ELSE 0e0 END AS cv
   FROM g1),
 g3 AS (
   SELECT *, CASE WHEN median <> 0 THEN abs(iqr/median) ELSE 0e0 END AS iqr_rel,
-         CASE WHEN mean <> 0 THEN (arr[n]-arr[1])/1e6/abs(mean) ELSE 0e0 END AS range_rel
+         CASE WHEN mean <> 0 THEN (arr[n]-arr[1])/abs(mean) ELSE 0e0 END AS range_rel
   FROM g2),
 stats AS (
   SELECT *, n >= 2 AND (cv > 0.35::DOUBLE OR iqr_rel > 0.40::DOUBLE OR (n = 2 AND range_rel > 0.5)) AS disagree FROM g3)"""
@@ -115,7 +115,7 @@ def overall_quality(spark, sf):
 @query(
     "E5_daily_median",
     f"""WITH {SESSIONS}
-SELECT participant_id, modality, CAST(date AS VARCHAR) AS date, {fm(f"median({mi('value')})")} AS value, count(*) AS n_sessions
+SELECT participant_id, modality, CAST(date AS VARCHAR) AS date, {r4(mdn("value"))} AS value, count(*) AS n_sessions
 FROM sessions WHERE quality_score >= 0.5 GROUP BY ALL""",
 )
 def daily_median(spark, sf):
@@ -230,7 +230,7 @@ def daily_vector(spark, sf):
     f"""WITH {SESSIONS},
 votes AS (SELECT participant_id, modality, count(*) AS n FROM sessions GROUP BY ALL),
 modal AS (SELECT participant_id, modality FROM votes QUALIFY row_number() OVER (PARTITION BY participant_id ORDER BY n DESC, modality) = 1),
-m AS (SELECT participant_id, CAST(sum({mi('value')}) AS DOUBLE)/count(*)/1e6 AS value_mean, median({mi('value')})/1e6 AS value_median,
+m AS (SELECT participant_id, {exact('value')}/count(*) AS value_mean, {mdn('value')} AS value_median,
              CAST(sum(k) AS DOUBLE)/count(*) AS k_mean
       FROM sessions GROUP BY ALL)
 SELECT participant_id, {r4("value_mean")} AS value_mean, {r4("k_mean")} AS k_mean, {r4("value_median")} AS value_median, modality

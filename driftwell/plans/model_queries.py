@@ -13,7 +13,7 @@ from driftwell.operators import evaluation as ev
 from driftwell.operators import modelling as md
 from driftwell.plans import tables as tb
 from driftwell.plans.registry import query
-from driftwell.plans.sqltext import mi, r4, rn
+from driftwell.plans.sqltext import mdn, r4, rn
 
 MODS = ev.FUSION_MODALITIES
 # Modality -> first and last embedding dimension.
@@ -67,7 +67,7 @@ def _train_long(spark, sf):
 
 
 PARAMS = f"""{LONG}, {SPLIT}, tr AS (SELECT lc.* FROM lc JOIN split USING (vec_id) WHERE split = 'train'),
-md AS (SELECT modality, feature, median({mi('value')})/1e6 AS median FROM tr GROUP BY ALL),
+md AS (SELECT modality, feature, {mdn('value', ' FILTER (value IS NOT NULL)')} AS median FROM tr GROUP BY ALL),
 pa AS (SELECT modality, feature, md.median, avg(coalesce(value, md.median)) AS mean, stddev_pop(coalesce(value, md.median)) AS std FROM tr JOIN md USING (modality, feature) GROUP BY ALL)"""
 
 

@@ -10,7 +10,7 @@ from driftwell.operators import daily as dy
 from driftwell.operators import quality as dq
 from driftwell.plans import tables as tb
 from driftwell.plans.registry import query
-from driftwell.plans.sqltext import SESSIONS, fm, mi, r4
+from driftwell.plans.sqltext import SESSIONS, mdn, r4
 
 # Lineitem with some values blanked, so that the missingness checks have something to find.
 BLANKED = """li AS (SELECT l_orderkey, l_linenumber, nullif(l_discount, 0.05::DOUBLE) AS l_discount,
@@ -165,7 +165,7 @@ TRIAL = f"""{SESSIONS},
 smp AS (SELECT participant_id AS trial, CAST(floor(epoch(ts)/3600) AS BIGINT) AS time, CASE WHEN k < 55 THEN NULL ELSE CAST(k AS DOUBLE) END AS l1,
   CASE WHEN k < 40 THEN NULL ELSE value END AS r1, value-29.5::DOUBLE AS total_left, CASE WHEN k < 30 THEN 0e0 ELSE k/1e2 END AS total_right FROM sessions),
 q AS (SELECT trial, count(*) AS n_samples, CAST(max(time)-min(time) AS BIGINT) AS duration, (count(*)-count(l1))/CAST(count(*) AS DOUBLE) AS nl, (count(*)-count(r1))/CAST(count(*) AS DOUBLE) AS nr,
-  {fm(f"median({mi('total_left')})")} AS ml, {fm(f"median({mi('total_right')})")} AS mr FROM smp GROUP BY ALL)"""
+  {r4(mdn("total_left"))} AS ml, {r4(mdn("total_right"))} AS mr FROM smp GROUP BY ALL)"""
 
 
 @query(

@@ -7,19 +7,22 @@ from driftwell.plans.tables import CALIBRATION_END, EVENT_MODALITY
 
 def rn(e: str, digits: int) -> str:
     s = f"1e{digits}"
-    return f"(sign({e})*CAST(floor(abs({e})*{s}+0.5) AS BIGINT)/{s})"
+    return f"(CASE WHEN abs({e})*{s} >= 9007199254740992e0 THEN CAST({e} AS DOUBLE) ELSE sign({e})*TRY_CAST(floor(abs({e})*{s}+0.5) AS BIGINT)/{s} END)"
 
 
 def r4(e: str) -> str:
     return rn(e, 4)
 
 
-def mi(e: str) -> str:
-    return f"CAST(floor(({e})*1e6+0.5) AS BIGINT)"
+def exact(e: str, over: str = "") -> str:
+    """Sum of doubles in decimal arithmetic."""
+    return f"CAST(sum(CAST(CAST(CAST({e} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,12))){over} AS DOUBLE)"
 
 
-def fm(e: str) -> str:
-    return f"(sign({e})*CAST(floor(abs(CAST({e} AS DOUBLE))/1e2+0.5) AS BIGINT)/1e4)"
+def mdn(e: str, only: str = "") -> str:
+    """Median of a group: half the sum of its middle values."""
+    arr = f"list_sort(list(CAST({e} AS DOUBLE)){only})"
+    return med(arr)
 
 
 def med(arr: str) -> str:
@@ -43,7 +46,7 @@ SESSIONS = f"""sessions AS (
 HUB = f"""{SESSIONS},
 hub AS (
   SELECT participant_id, 'all' AS modality, 'value' AS feature_name, date,
-         {fm(f"median({mi('value')})")} AS value, {fm(f"median({mi('quality_score')})")} AS quality_score,
+         {r4(mdn("value"))} AS value, {r4(mdn("quality_score"))} AS quality_score,
          count(*) AS n_sessions
   FROM sessions WHERE quality_score >= 0.5 GROUP BY participant_id, date)"""
 
@@ -54,20 +57,20 @@ HUB_BY_MODALITY = HUB.replace("'all' AS modality", "modality").replace("GROUP BY
 def baseline_ctes(hub: str = HUB, where: str = f"date <= DATE '{CALIBRATION_END}'", min_days: int = 14) -> str:
     return f"""{hub},
 b0 AS (
-  SELECT participant_id, modality, feature_name, list_sort(list({mi('value')})) AS arr, sum({mi('value')}) AS sum_u,
+  SELECT participant_id, modality, feature_name, list_sort(list(CAST(value AS DOUBLE))) AS arr, {exact("value")} AS total,
          stddev_samp(value) AS sd, min(date) AS baseline_start_date, max(date) AS baseline_end_date
   FROM hub WHERE {where} GROUP BY ALL),
 b1 AS (
-  SELECT *, len(arr) AS sample_count, {fm("(CAST(sum_u AS DOUBLE)/len(arr))")} AS baseline_mean,
-         {fm(med("arr"))} AS baseline_median, {r4("coalesce(sd,0e0)")} AS baseline_std,
-         {fm(quant("arr", 0.25))} AS q1, {fm(quant("arr", 0.75))} AS q3
+  SELECT *, len(arr) AS sample_count, {r4("(total/len(arr))")} AS baseline_mean,
+         {r4(med("arr"))} AS baseline_median, {r4("coalesce(sd,0e0)")} AS baseline_std,
+         {r4(quant("arr", 0.25))} AS q1, {r4(quant("arr", 0.75))} AS q3
   FROM b0),
 b2 AS (
-  SELECT *, list_sort([abs(v - {mi('baseline_median')}) for v in arr]) AS dev, {r4("(q3-q1)")} AS iqr,
+  SELECT *, list_sort([abs(v - baseline_median) for v in arr]) AS dev, {r4("(q3-q1)")} AS iqr,
          CASE WHEN baseline_mean <> 0 THEN {r4("(baseline_std/baseline_mean)")} ELSE 0 END AS cv0
   FROM b1),
 b3 AS (
-  SELECT *, {fm(med("dev"))} AS baseline_mad, abs(cv0) AS coefficient_of_variation FROM b2),
+  SELECT *, {r4(med("dev"))} AS baseline_mad, abs(cv0) AS coefficient_of_variation FROM b2),
 b4 AS (
   SELECT *, CASE WHEN baseline_mad > 0 THEN baseline_mad WHEN baseline_std > 0 THEN baseline_std ELSE 0.001::DOUBLE END AS unit,
          CASE WHEN baseline_mad > 0 THEN baseline_mad WHEN baseline_std > 0 THEN {r4("(baseline_std*0.6745::DOUBLE)")} ELSE 0.001::DOUBLE END AS disp

@@ -9,7 +9,7 @@ from driftwell.operators import projections as pj
 from driftwell.plans import tables as tb
 from driftwell.plans.baseline_queries import ADAPTIVE, AFTER
 from driftwell.plans.registry import query
-from driftwell.plans.sqltext import SESSIONS, fm, mi
+from driftwell.plans.sqltext import SESSIONS, mdn, r4
 from driftwell.plans.trend_queries import LONGITUDINAL, TREND
 from driftwell.session import scratch_folder
 from driftwell.streaming import jobs
@@ -68,7 +68,7 @@ def _medians(spark, sf):
 
 @query(
     "S2_daily_medians",
-    f"""WITH {SESSIONS} SELECT participant_id, modality, CAST(date AS VARCHAR) AS date, {fm(f"median({mi('value')})")} AS value, count(*) AS n_sessions
+    f"""WITH {SESSIONS} SELECT participant_id, modality, CAST(date AS VARCHAR) AS date, {r4(mdn("value"))} AS value, count(*) AS n_sessions
 FROM sessions WHERE quality_score >= 0.5 GROUP BY participant_id, modality, date""",
 )
 def daily_medians(spark, sf):

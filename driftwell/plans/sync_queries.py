@@ -13,7 +13,7 @@ from driftwell.plans import tables as tb
 from driftwell.plans.daily_queries import STATUS
 from driftwell.plans.quality_queries import _errs
 from driftwell.plans.registry import query
-from driftwell.plans.sqltext import HUB, SESSIONS, baseline_ctes, mi, r4, rn, zscore_ctes
+from driftwell.plans.sqltext import HUB, SESSIONS, baseline_ctes, r4, rn, zscore_ctes
 
 # Uploads: a session is one participant, day and modality, so a session sent several times that day repeats its key.
 QUEUE = f"""{SESSIONS}, queue AS (SELECT event_id AS id, participant_id, participant_id || '-' || modality || '-' || CAST(date AS VARCHAR) AS session_id, ts AS timestamp,

@@ -8,7 +8,7 @@ from driftwell.functions.numeric import round4
 from driftwell.operators import trend as tr
 from driftwell.plans import tables as tb
 from driftwell.plans.registry import query
-from driftwell.plans.sqltext import DEVIATION_LABEL, HUB, HUB_BY_MODALITY, SESSIONS, fm, mi, r4, rn, zscore_ctes
+from driftwell.plans.sqltext import DEVIATION_LABEL, HUB, HUB_BY_MODALITY, SESSIONS, exact, r4, rn, zscore_ctes
 
 KEYS = "PARTITION BY participant_id, modality, feature_name ORDER BY date"
 Z = zscore_ctes()
@@ -113,16 +113,16 @@ W7, W14 = f"({KEYS} ROWS 6 PRECEDING)", f"({KEYS} ROWS 13 PRECEDING)"
 
 
 def _rolling(src: str) -> str:
-    mean7, q7 = f"CAST(sum({mi('value')}) OVER {W7} AS DOUBLE)/count(value) OVER {W7}", f"CAST(sum({mi('quality_score')}) OVER {W7} AS DOUBLE)/count(quality_score) OVER {W7}"
+    mean7, q7 = f"{exact('value', f' OVER {W7}')}/count(value) OVER {W7}", f"{exact('quality_score', f' OVER {W7}')}/count(quality_score) OVER {W7}"
     return f"""w0 AS (SELECT *, row_number() OVER ({KEYS}) AS rn FROM {src}),
 w1 AS (SELECT *, {mean7} AS m7, count(value) OVER {W7} AS n7, stddev_samp(value) OVER {W7} AS s7, {q7} AS q7,
-       count(value) OVER {W14} AS n14, sum(CASE WHEN value IS NOT NULL THEN rn END) OVER {W14} AS sx, sum({mi('value')}) OVER {W14} AS sy,
-       sum(rn*{mi('value')}) OVER {W14} AS sxy, sum(CASE WHEN value IS NOT NULL THEN rn*rn END) OVER {W14} AS sxx
+       count(value) OVER {W14} AS n14, sum(CASE WHEN value IS NOT NULL THEN rn END) OVER {W14} AS sx, {exact('value', f' OVER {W14}')} AS sy,
+       {exact('rn*value', f' OVER {W14}')} AS sxy, sum(CASE WHEN value IS NOT NULL THEN rn*rn END) OVER {W14} AS sxx
   FROM w0),
-w2 AS (SELECT *, CASE WHEN n7 > 0 THEN {fm("m7")} END AS seven_day_average,
+w2 AS (SELECT *, CASE WHEN n7 > 0 THEN {r4("m7")} END AS seven_day_average,
        CASE WHEN n7 = 1 THEN 0e0 WHEN n7 > 1 THEN {r4("s7")} END AS seven_day_variability,
-       coalesce(least(greatest({fm("q7")}, 0e0), 1e0), 0e0) AS data_quality,
-       CASE WHEN n14 >= 2 AND n14*sxx-sx*sx <> 0 THEN {r4("(CAST(n14*sxy-sx*sy AS DOUBLE)/CAST(n14*sxx-sx*sx AS DOUBLE)/1e6)")} ELSE 0e0 END AS fourteen_day_trend,
+       coalesce(least(greatest({r4("q7")}, 0e0), 1e0), 0e0) AS data_quality,
+       CASE WHEN n14 >= 2 AND n14*sxx-sx*sx <> 0 THEN {r4("(CAST(n14*sxy-sx*sy AS DOUBLE)/CAST(n14*sxx-sx*sx AS DOUBLE))")} ELSE 0e0 END AS fourteen_day_trend,
        {r4("((14-n14)/14e0)")} AS missingness
   FROM w1)"""
 

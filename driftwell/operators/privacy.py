@@ -64,18 +64,18 @@ def consent_snapshot(log: DataFrame, types: list[str]) -> DataFrame:
     )
 
 
-#: Tables that an erasure purges; consents stay for the audit trail and participants are marked as deleted.
-PURGED = ("typing_sessions", "voice_sessions", "motor_sessions", "visual_sessions", "sleep_sessions", "daily_deviations", "mpf_predictions", "daily_features", "personal_baselines")
+#: Tables that an erasure leaves: consents stay for the audit trail, participants are marked as deleted.
+RETAINED = ("consent_records", "participants")
 
 
 def erase(tables: dict[str, DataFrame], requests: DataFrame, key: str = "participant_id") -> tuple[dict[str, DataFrame], DataFrame]:
-    """All tables, those to purge without the rows of the requesting participants, and purge counts per (participant, table).
+    """All tables, those that are not retained without the rows of the requesting participants, and purge counts per (participant, table).
 
     Rows are counted per participant map-side before the requests are joined, so a participant of any size is one row.
     """
     ids = requests.select(key).distinct()
-    kept = {name: df.join(ids, key, "left_anti") if name in PURGED else df for name, df in tables.items()}
-    owned = [df.select(key, F.lit(name).alias("table_name")) for name, df in tables.items() if name in PURGED]
+    kept = {name: df.join(ids, key, "left_anti") if name not in RETAINED else df for name, df in tables.items()}
+    owned = [df.select(key, F.lit(name).alias("table_name")) for name, df in tables.items() if name not in RETAINED]
     counts = reduce(DataFrame.unionByName, owned).groupBy(key, "table_name").agg(F.count(F.lit(1)).alias("purged"))
     return kept, counts.join(ids, key, "left_semi").select(key, "table_name", "purged")
 

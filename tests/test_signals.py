@@ -89,3 +89,11 @@ def test_typing_intervals(spark):
     assert row["mean_inter_key_interval"] == 333.33 and row["typing_speed"] == 4.0
     assert row["pause_rate"] == 60.0 and row["correction_rate"] == 60.0
     assert row["std_inter_key_interval"] == pytest.approx(np.std([100, 200, 700], ddof=1), abs=0.01)
+
+
+def test_a_short_recording_is_reported(spark):
+    rows = [("long", 20.0 * i, math.sin(2 * math.pi * 5 * 0.02 * i), 0.0, 0.0) for i in range(128)] + [("short", 20.0 * i, 1.0, 0.0, 0.0) for i in range(6)]
+    df = spark.createDataFrame(rows, "session_id string, t_ms double, ax double, ay double, az double")
+    got = {r["session_id"]: r for r in sg.tremor_spectrum(df, chunk=1000.0).collect()}
+    assert got["long"]["status"] == "ok"
+    assert got["short"]["status"] == "insufficient_samples" and got["short"]["dominant_frequency"] is None

@@ -74,6 +74,16 @@ def test_erasure_touches_only_the_requesting_participant(spark):
     assert sorted(map(tuple, counts.select("table_name", "purged").collect())) == [("a", 2), ("b", 2)]
 
 
+def test_erasure_keeps_consents_and_leaves_an_audit_record(spark):
+    tables = {n: spark.createDataFrame([(1, n), (2, n)], "participant_id long, v string") for n in ("daily_features", "consent_records", "participants")}
+    req = spark.createDataFrame([(1, dt.datetime(2024, 1, 5)), (1, dt.datetime(2024, 1, 3))], "participant_id long, requested_at timestamp")
+    kept, counts = pv.erase(tables, req)
+    assert {n: df.count() for n, df in kept.items()} == {"daily_features": 1, "consent_records": 2, "participants": 2}
+    assert [tuple(r) for r in counts.collect()] == [(1, "daily_features", 1)]
+    audit = pv.erasure_audit(req).collect()
+    assert [(r["participant_id"], r["consent_type"], r["granted"], r["timestamp"], r["revoked_at"]) for r in audit] == [(1, "deletion", True, dt.datetime(2024, 1, 3), None)]
+
+
 def test_export_holds_only_own_rows(spark):
     tables = {"a": spark.createDataFrame([(1, "x"), (2, "y")], "participant_id long, v string")}
     pack = pv.export_package(tables, spark.createDataFrame([(1,)], "participant_id long"))

@@ -156,7 +156,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
     part = {0: min(1.0, negatives / sizes[0]), 1: min(1.0, positives / sizes[1])}
     place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1e6
     chosen = known.where(place < F.when(F.col("toxic") == 1, part[1]).otherwise(part[0]))
-    rows = chosen.join(docs.select("doc_id", "text"), "doc_id").orderBy("doc_id", "text").collect()
+    # The sample is bounded, so its ids go to the texts and not the texts to them.
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").collect()
     if not rows:
         return np.zeros(FEATURES, np.float32), -4.0
     return calibrated([r["text"] for r in rows], np.array([r["toxic"] for r in rows]))

@@ -83,14 +83,15 @@ def _scaled() -> Column:
 
 
 def transform(df: DataFrame, params: DataFrame) -> DataFrame:
-    """Imputed and scaled value; 0 for every feature of an absent modality. One parameter row per feature: broadcast."""
-    j = df.join(F.broadcast(params), ["modality", "feature"])
+    """Imputed and scaled value; 0 for every feature of an absent modality. Parameters are one row per feature; their size decides the
+    join."""
+    j = df.join(params, ["modality", "feature"])
     return j.withColumn("z", F.when(F.col("present") == 1, _scaled()).otherwise(F.lit(0.0))).drop("median", "mean", "std")
 
 
 def normalize_frozen(df: DataFrame, params: DataFrame, limit: float = 5.0) -> DataFrame:
     """Scaling with stored parameters, clipped to +-5; nothing is fitted."""
-    j = df.join(F.broadcast(params), ["modality", "feature"])
+    j = df.join(params, ["modality", "feature"])
     return j.withColumn("z", clamp(_scaled(), -limit, limit)).drop("median", "mean", "std")
 
 

@@ -25,12 +25,14 @@ def daily_record(vector: DataFrame) -> DataFrame:
 def write_daily_features(vector: DataFrame, path: str) -> None:
     """One row per (participant, date), partitioned by date; only the dates present in the input are replaced.
 
-    Rows are clustered by date before the write so that a date is not scattered over every task, and spread within it
-    so that a large date is not one file.
+    Of several rows of a participant and day the one of the highest feature version stays, among equals the one whose JSON text
+    is largest, so a replay keeps the same row.  Adaptive execution then gathers small dates and splits large ones by their size.
     """
-    rows = daily_record(vector).dropDuplicates(["participant_id", "date"])
-    spread = rows.withColumn("_spread", F.pmod(F.xxhash64("participant_id"), F.lit(8)))
-    spread.repartition("date", "_spread").drop("_spread").write.partitionBy("date").mode("overwrite").option(
+    rows = daily_record(vector)
+    keys = ["participant_id", "date"]
+    rest = F.struct(*[c for c in rows.columns if c not in keys])
+    kept = rows.groupBy(*keys).agg(F.max_by(rest, F.struct("feature_version", F.to_json(rest))).alias("_r")).select(*keys, "_r.*")
+    kept.hint("rebalance", "date").write.partitionBy("date").mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).parquet(path)
 

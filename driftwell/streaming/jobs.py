@@ -69,13 +69,13 @@ class DailyMedians:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = batch.withColumn("date", F.to_date("timestamp")).dropDuplicates(["event_id"])
-        stored = _read(spark, self.sessions_path, new.select(*[c for c in new.columns if c != "date"], "date"))
-        fresh = new.join(stored.select("event_id", "date"), ["event_id", "date"], "left_anti")
-        fresh.select(*stored.columns).write.mode("append").partitionBy("date").parquet(self.sessions_path)
+        # Partitions are replaced whole, so every participant of a touched date is recomputed; other dates are not read.
         touched = new.select("participant_id", "date").distinct()
-        # Partitions are replaced whole, so every participant of a touched date is recomputed.
         days = touched.select("date").distinct()
-        current = spark.read.schema(stored.schema).parquet(self.sessions_path).join(F.broadcast(days), "date", "left_semi")
+        stored = _read(spark, self.sessions_path, new.select(*[c for c in new.columns if c != "date"], "date")).join(days, "date", "left_semi")
+        fresh = new.join(stored.select("event_id", "date"), ["event_id", "date"], "left_anti")
+        fresh.select(*stored.columns).write.mode("append").partitionBy("date").parquet(self.sessions_path)
+        current = spark.read.schema(stored.schema).parquet(self.sessions_path).join(days, "date", "left_semi")
         result = dy.daily_medians(current.where(dy.passes_quality(current)), ["participant_id", "modality", "date"], ["value", "quality_score"])
         result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(self.result_path)
 
@@ -129,6 +129,7 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
 
 STATE = T.StructType(
     [T.StructField(n, T.DoubleType()) for n in ("mean", "median", "std", "mad")] + [T.StructField(n, T.LongType()) for n in ("n", "streak")]
+    + [T.StructField("last", T.DateType())]
 )
 OUTPUT = T.StructType(
     [T.StructField("participant_id", T.LongType()), T.StructField("modality", T.StringType()), T.StructField("feature_name", T.StringType()), T.StructField("date", T.DateType()), T.StructField("status", T.StringType())]
@@ -143,10 +144,12 @@ def _r4(x: float) -> float:
 
 
 class AdaptiveBaseline(StatefulProcessor):
-    """Exponentially weighted baseline and deviation streak per series, six numbers of state.
+    """Exponentially weighted baseline and deviation streak per series: six numbers and the last date of state.
 
     The first row of a series carries its calibrated baseline (columns ``init_*``); later days are applied in date order
-    within a batch. The step equals the batch fold.
+    within a batch. The step equals the batch fold. A day not after the last one applied - late, or sent twice - leaves the
+    state as it is and comes out with status 'late', to be recomputed from the stored days (``LateCorrection``). A null value
+    breaks the streak and changes nothing else.
     """
 
     def __init__(self, alpha: float = fv.EWMA_ALPHA):
@@ -158,12 +161,21 @@ class AdaptiveBaseline(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         days = pd.concat(list(rows)).sort_values("date")
         if self.state.exists():
-            mean, median, std, mad, n, streak = self.state.get()
+            mean, median, std, mad, n, streak, last = self.state.get()
         else:
             first = days.iloc[0]
             mean, median, std, mad, n, streak = (*(float(first[f"init_{c}"]) for c in ("mean", "median", "std", "mad")), int(first["init_n"]), 0)
+            last = None
         out = []
         for date, v, q in zip(days["date"], days["value"], days["quality_score"]):
+            if last is not None and date <= last:
+                out.append((*key, date, "late", mean, median, std, mad, n, None, streak))
+                continue
+            last = date
+            if v is None or v != v:
+                streak = 0
+                out.append((*key, date, "missing", mean, median, std, mad, n, None, streak))
+                continue
             z = self._z(v, mean, median, std, mad)
             streak = streak + 1 if abs(z) > fv.SUSTAINED_Z else 0
             spread = mad if mad > 0 else (_r4(std * fv.STD_TO_MAD) if std > 0 else fv.MIN_DISPERSION)
@@ -177,7 +189,7 @@ class AdaptiveBaseline(StatefulProcessor):
                 std = _r4((self.alpha * (v - mean) * (v - mean) + keep * std * std) ** 0.5)
                 mad, n = _r4(self.alpha * abs(v - median) + keep * mad), n + 1
             out.append((*key, date, status, mean, median, std, mad, n, z, streak))
-        self.state.update((mean, median, std, mad, n, streak))
+        self.state.update((mean, median, std, mad, n, streak, last))
         yield pd.DataFrame(out, columns=[f.name for f in OUTPUT.fields])
 
     @staticmethod
@@ -201,7 +213,7 @@ def adaptive_stream(hub_stream: DataFrame, baseline: DataFrame, alpha: float = f
         *[F.col(f"baseline_{n}").alias(f"init_{n}") for n in ("mean", "median", "std", "mad")],
         F.col("sample_count").cast("long").alias("init_n"),
     )
-    rows = hub_stream.where(F.col("value").isNotNull()).withColumn("quality_score", F.coalesce("quality_score", F.lit(1.0)))
+    rows = hub_stream.withColumn("quality_score", F.coalesce("quality_score", F.lit(1.0)))
     return (
         rows.join(init, bl.SERIES)
         .groupBy(*bl.SERIES)

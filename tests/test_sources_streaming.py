@@ -149,7 +149,7 @@ def test_stateful_baseline_equals_the_batch_fold(spark, tmp_path, sf):
     last = {}
     for r in sorted(rows, key=lambda r: r["date"]):
         last[r["participant_id"]] = (r["baseline_mean"], r["baseline_median"], r["baseline_std"], r["baseline_mad"], r["sample_count"])
-    want = {r["participant_id"]: (r["baseline_mean"], r["baseline_median"], r["baseline_std"], r["baseline_mad"], r["sample_count"]) for r in bl.adaptive_baseline(days, base).collect()}
+    want = {r["participant_id"]: (r["baseline_mean"], r["baseline_median"], r["baseline_std"], r["baseline_mad"], r["sample_count"]) for r in bl.adaptive_baseline(days, base.join(days.select(*bl.SERIES).distinct(), bl.SERIES, "left_semi")).collect()}
     assert last == want and len(want) > 5
     runs = {}
     for r in sorted(rows, key=lambda r: (r["participant_id"], r["date"])):
@@ -157,6 +157,24 @@ def test_stateful_baseline_equals_the_batch_fold(spark, tmp_path, sf):
         assert r["streak"] == n
 
 
+def test_late_and_repeated_days_leave_the_state_alone(spark, tmp_path):
+    hub, base = tb.calibrated(spark, "/root/testdata/sf0.001")
+    base.limit(1).write.parquet(str(tmp_path / "base"))
+    stored = spark.read.parquet(str(tmp_path / "base"))
+    key = stored.select(*bl.SERIES).first()
+    day = dt.date(2024, 2, 1)
+    kind = "participant_id long, modality string, feature_name string, date date, value double, quality_score double"
+    middle = float(stored.first()["baseline_median"])
+    batches = [[(3, middle), (4, None)], [(2, middle + 1), (4, middle), (5, middle)]]
+    rows, folder = [], str(tmp_path / "in")
+    for batch in batches:
+        spark.createDataFrame([(*key, day + dt.timedelta(i), v, 1.0) for i, v in batch], kind).coalesce(1).write.mode("append").parquet(folder)
+        q = jobs.adaptive_stream(spark.readStream.schema(kind).parquet(folder), stored).writeStream.foreachBatch(lambda d, i: rows.extend(d.collect()))
+        q.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert [(r["date"].day, r["status"]) for r in rows] == [(4, "updated"), (5, "missing"), (3, "late"), (5, "late"), (6, "updated")]
+    assert [r["sample_count"] - rows[0]["sample_count"] for r in rows] == [0, 0, 0, 0, 1]
+
+
 def test_late_correction_rewrites_the_series(spark, tmp_path):
     root = str(tmp_path)
     s = spark.createDataFrame(_rows(60), SESSION)

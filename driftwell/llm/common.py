@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Sequence
 
@@ -24,6 +25,7 @@ def _release(spark: SparkSession, path: str) -> None:
     """Removes ``path`` when the driver ends, and shuffle files of plans that are no longer held now."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    time.sleep(0.3)  # listeners still hold the plan that has just ended
     gc.collect()
     spark._jvm.System.gc()
 
@@ -37,7 +39,17 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     path = scratch_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     _release(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.shared_path = path
+    return read
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``shared_table`` that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(df.shared_path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def bucketed_table(df: DataFrame, key: str, name: str) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.llm.common import shared_table
+from driftwell.llm.common import discard, shared_table
 from driftwell.llm.windows import anchors, keyed_texts, listed, unpack
 
 WORDS, GRAM = 13, 4
@@ -52,7 +52,7 @@ def paths(listed_docs: DataFrame, words: int, gram: int, edges: bool) -> DataFra
                         out[2].append(dids[row])
                         out[3].append(rids[row])
                         out[4].append((low << 32) | ((high - low) << 16) | max(0, anchor - low))
-                if len(out[0]) > 200_000:
+                if len(out[0]) > 50_000:
                     yield _rows(out)
                     out = [[], [], [], [], []]
             yield _rows(out)
@@ -84,7 +84,9 @@ def compact(rows: DataFrame, name: str, branching: bool) -> DataFrame:
         state = unitigs.where("source < latest").select("node", "label", "source")
         opened = F.lit(False)
     marked = rows.join(state, ["node", "label"]).select("did", "rid", "run", repeated.alias("repeated"), opened.alias("open"))
-    return shared_table(marked.where("repeated or open"), name)
+    marked = shared_table(marked.where("repeated or open"), name)
+    discard(rows, unitigs, *([nodes] if branching else []))
+    return marked
 
 
 def repeated_spans(docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame:
@@ -94,7 +96,9 @@ def repeated_spans(docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> Dat
     shared = shared_table(shared.where("least < most").select("a"), "shared-anchors")
     found = anchors(keyed, "words", words, gram, full=True).join(shared, "a", "left_semi")
     found = shared_table(found.select("did", "rid", "run"), "nodes")
+    discard(shared)
     texts = listed(keyed, found, "candidates")
+    discard(found)
     active = texts.where("runs is not null")
     whole = compact(paths(active, words, gram, edges=False), "paths", branching=True)
     branches = whole.where("open").groupBy("did", "rid").agg(F.collect_set("run").alias("runs"))
@@ -113,7 +117,7 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> Dat
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             removed, spans, kept, sizes = [], [], [], []
             for row in range(batch.num_rows):
                 value = batch.column("text")[row].as_buffer()

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.llm.common import shared_table
+from driftwell.llm.common import discard, shared_table
 from driftwell.llm.windows import anchors, keyed_texts, listed, pack, unpack
 
 WINDOW, GRAM, BLOCK = 200, 32, 13
@@ -50,7 +50,7 @@ def blocks(listed_docs: DataFrame, width: int, window: int) -> DataFrame:
                         out[2].append(dids[row])
                         out[3].append(rids[row])
                         out[4].append((low << 32) | ((high - low) << 16) | (anchor - low))
-                if len(out[0]) > 200_000:
+                if len(out[0]) > 50_000:
                     yield _rows(out)
                     out = [[], [], [], [], []]
             yield _rows(out)
@@ -80,7 +80,9 @@ def radix_pass(rows: DataFrame, name: str) -> DataFrame:
         (F.col("c") > 1).alias("repeated"),
         ((F.col("strings") > 1) & ((F.col("c") == 1) | (F.col("one") == me))).alias("open"),
     )
-    return shared_table(marked.where("repeated or open"), name)
+    marked = shared_table(marked.where("repeated or open"), name)
+    discard(rows, groups, digits)
+    return marked
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK, carry: Sequence[str] = ()) -> DataFrame:
@@ -90,7 +92,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bloc
     often = shared_table(often, "repeated-anchors")  # a side of its own, so that a join task of a frequent anchor can be split
     found = anchors(keyed, "bytes", window, gram, full=True).join(often, "a", "left_semi").select("did", "rid", "run")
     found = shared_table(found, "anchors")
+    discard(often)
     texts = listed(keyed, found, "candidates")
+    discard(found)
     active = texts.where("runs is not null")
     repeated = None
     waiting = active
@@ -116,7 +120,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bloc
     spans_and_texts = repeated_spans(docs, window, gram, block, carry)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             removed, spans, kept, sizes = [], [], [], []
             for row in range(batch.num_rows):
                 value = batch.column("text")[row].as_buffer()

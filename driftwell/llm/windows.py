@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from driftwell.llm.common import shared_table
 from driftwell.llm.feistel import mix64
 
-PIECE = 1 << 20  # units looked at together
+PIECE = 1 << 17  # units looked at together: arrays of a megabyte
 LOW = np.uint64((1 << 24) - 1)
 BASE = np.uint64(0xD6E8FEB86659FD93)
 BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64))
@@ -146,7 +146,7 @@ def word_runs(column: pa.Array, window: int, gram: int) -> Iterator[tuple[np.nda
     rows = len(offsets) - 1
     begin = 0
     while begin < rows:  # a few documents at a time
-        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + 4 * PIECE, "right")) - 1)
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + 8 * PIECE, "right")) - 1)
         bounds = [word_bounds(data[offsets[r] : offsets[r + 1]]) for r in range(begin, end)]
         for pieces in _groups(np.array([len(b[0]) for b in bounds]), window):
             values, lengths = [], []

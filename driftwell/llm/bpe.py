@@ -27,7 +27,7 @@ from driftwell.llm.common import bucketed_table, shared_table
 #: Splits text before the merges, as the rank files expect.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BUCKETS = 256
-BLOCK_TOKENS, BLOCK_WORDS = 8_000_000, 800_000
+BLOCK_TOKENS, BLOCK_WORDS = 3_000_000, 400_000
 KNOWN = 1_000_000  # words whose ids a task remembers; beyond, it forgets and encodes anew
 
 
@@ -192,7 +192,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, buckets: in
                     tokens.append(total)
                     out.append(found.astype("<u4").tobytes())
                     held += total
-                    if held > 2_000_000:
+                    if held > 1_000_000:
                         yield _encoded(rows, tokens, out)
                         out, rows, tokens, held = [], [], [], 0
                 yield _encoded(rows, tokens, out)
@@ -211,7 +211,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = table.value.__getitem__
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             texts = [b"".join(map(lookup, np.frombuffer(ids, "<u4").tolist())) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "n_tokens", "ids")], pa.array(texts, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 

@@ -27,7 +27,8 @@ from driftwell.llm.common import bucketed_table, shared_table
 #: Splits text before the merges, as the rank files expect.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BUCKETS = 256
-BLOCK_TOKENS, BLOCK_WORDS = 3_000_000, 400_000
+BLOCK_TOKENS, BLOCK_WORDS = 3_500_000, 450_000
+LEVEL = 9  # of zstd
 KNOWN = 1_000_000  # words whose ids a task remembers; beyond, it forgets and encodes anew
 
 
@@ -40,7 +41,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def _packed(numbers: np.ndarray) -> bytes:
     """Numbers below 2^32 as four byte planes, compressed."""
     planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=LEVEL).compress(planes.tobytes())
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
@@ -71,7 +72,7 @@ def split_blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
         renumbered[often] = np.arange(len(raw), dtype=np.uint32)
         bucket = np.fromiter((zlib.crc32(raw[i]) % buckets for i in often.tolist()), np.uint32, len(raw))
         words = []
-        compressor = zstandard.ZstdCompressor(level=3)
+        compressor = zstandard.ZstdCompressor(level=LEVEL)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b in range(buckets):

@@ -28,6 +28,7 @@ from driftwell.llm.feistel import mix64
 SEGMENTS, BITS, BUDGET = 8, 8, 3
 BLOCK = 512  # fingerprints compared at once
 SHINGLES = 400_000  # shingle hashes compared at once
+BANDS, MISSED = 64, 1e-5  # keys of a text in ``sketches``, and the share of pairs at the similarity itself that may share none
 
 
 def _majority(hashes: np.ndarray) -> np.uint64:
@@ -169,25 +170,77 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return found.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def text_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds: Sequence[int] = (1, 2, 3, 4, 5, 6)) -> DataFrame:
+def band_width(similarity: float) -> int:
+    """Minima per key: as many as leave a pair of this similarity without a common key in at most ``MISSED`` of cases."""
+    needed = 1 - MISSED ** (1 / BANDS)
+    return 32 if similarity >= 1 else min(32, max(1, int(np.log(needed) / np.log(similarity))))
+
+
+def random_orders(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and shifts of BANDS x ``width`` random maps of 32 bits onto themselves."""
+    draw = np.random.default_rng(42)
+    factors = draw.integers(0, 2**31, BANDS * width, np.uint32) * np.uint32(2) + np.uint32(1)
+    return factors, draw.integers(0, 2**32, BANDS * width, np.uint32)
+
+
+def minima(hashes: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """Smallest image of the hashes under each map."""
+    low = hashes.astype(np.uint32)
+    out = np.full(len(factors), 2**32 - 1, np.uint32)
+    for at in range(0, len(low), 8_192):
+        piece = low[at : at + 8_192]
+        step = max(1, 65_536 // len(piece))
+        for i in range(0, len(factors), step):
+            values = np.multiply.outer(factors[i : i + step], piece)
+            values += shifts[i : i + step, None]
+            np.minimum(out[i : i + step], values.min(1), out=out[i : i + step])
+    return out
+
+
+def band_keys(found: np.ndarray, width: int) -> np.ndarray:
+    """Rows of ``minima`` to rows of BANDS keys of 64 bits; two texts share a key with the probability similarity ** width."""
+    parts = found.reshape(len(found), BANDS, width)
+    keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), parts.shape[:2])
+    for j in range(width):
+        keys = mix64(keys ^ parts[:, :, j])
+    return keys
+
+
+def sketches(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """doc_id, rid (hash of the text) and keys of samples of its distinct shingles; a text without words has none."""
+    width = band_width(similarity)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors, shifts = random_orders(width)
+        for whole in batches:
+            for batch in (whole.slice(at, 1_024) for at in range(0, len(whole), 1_024)):
+                found, counts = [], []
+                for value in batch.column("text"):
+                    raw = value.as_buffer()
+                    hashes = shingle_hashes(raw.to_pybytes() if raw is not None else b"", words, True)
+                    counts.append(BANDS if len(hashes) else 0)
+                    if len(hashes):
+                        found.append(minima(hashes, factors, shifts))
+                keys = band_keys(np.stack(found), width).view(np.int64).ravel() if found else np.empty(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(keys))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), lists], names=["doc_id", "rid", "keys"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), "text").mapInArrow(scan, "doc_id long, rid long, keys array<long>")
+
+
+def text_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, rid (hash of the text), root (of the group) and component_id over texts whose sets of word shingles have at least this Jaccard similarity.
 
-    Candidates are connected by fingerprints of the distinct words, at most 3 bits apart under any of the seeds; within the
-    candidate groups, similarity is computed exactly on the shingles, block by block.  Texts without words link to nothing
-    but their own copies.
+    Candidates share one of 64 keys, each made of the smallest of their shingles under several random orders; a pair at the
+    similarity itself shares none in one of 100,000 cases, a closer pair less often.  Within the candidate groups, similarity
+    is computed exactly on the shingles, block by block.  Texts without words link to nothing but their own copies.
     """
-    found = shared_table(fingerprints(docs, 1, True, seeds), "word-fingerprints")
-    texts = shared_table(found.groupBy("rid").agg(F.min("doc_id").alias("first"), F.first("fps").alias("fps")), "texts")
-    edges = None
-    for i in range(len(seeds)):
-        mine = links(texts.where(F.col("fps")[i] != 0).select(F.col("fps")[i].alias("fp")).distinct())
-        edges = mine if edges is None else edges.unionByName(mine)
-    # Fingerprints and texts are nodes of one graph: a text is joined to each of its fingerprints.
-    member = texts.select("rid", F.explode("fps").alias("fp")).where("fp <> 0")
-    crowd = member.groupBy("fp").agg(F.min("rid").alias("v"))
-    of_text = member.join(crowd, "fp").select(F.col("rid").alias("u"), "v")
-    named = shared_table(edges, "links").join(crowd.select(F.col("fp").alias("u"), F.col("v").alias("a")), "u").join(crowd.select(F.col("fp").alias("v"), F.col("v").alias("b")), "v")
-    groups = components(of_text.unionByName(named.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    found = shared_table(sketches(docs, words, similarity), "sketches")
+    texts = shared_table(found.groupBy("rid").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")), "texts")
+    found = found.select("doc_id", "rid")
+    member = texts.select("rid", F.explode("keys").alias("key"))
+    crowd = member.groupBy("key").agg(F.min("rid").alias("v"), F.max("rid").alias("last")).where("v <> last").select("key", "v")
+    groups = components(member.join(crowd, "key").select(F.col("rid").alias("u"), "v"))
 
     keyed = docs.select(F.xxhash64("text").alias("rid"), "text")
     shared = keyed.join(groups.select(F.col("node").alias("rid"), "root"), "rid").groupBy("rid").agg(F.first("text").alias("text"), F.first("root").alias("root"))

@@ -137,6 +137,36 @@ def test_text_groups_by_exact_similarity(spark):
     assert stay.columns == ["doc_id", "text"]
 
 
+def test_text_groups_find_substitutions_and_passages(spark):
+    """Pairs of similarity 0.80 to 0.95: substituted words, an appended passage, a removed passage; none may be missed."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    docs, pairs = [], []
+
+    def shingles(t):
+        return {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+
+    for g in range(30):
+        for n in (100, 450):
+            b = [r.choice(words) for _ in range(n)]
+            more = ["new" + r.choice(words) for _ in range(n)]
+            few, many = set(r.sample(range(n), n // 90)), set(r.sample(range(n), n // 50))
+            for near in (
+                *[[more[i] if i in at else w for i, w in enumerate(b)] for at in (few, many)],
+                *[b + more[: int(n * share)] for share in (0.05, 0.11, 0.24)],
+                *[b[int(n * share) :] for share in (0.05, 0.1, 0.18)],
+            ):
+                common, union = len(shingles(b) & shingles(near)), len(shingles(b) | shingles(near))
+                assert common < union
+                if common >= 0.8 * union:
+                    own = [f"{len(pairs)}_{w}" for w in b], [f"{len(pairs)}_{w}" for w in near]
+                    pairs.append((len(docs), len(docs) + 1, common / union))
+                    docs += [(len(docs) + i, " ".join(t)) for i, t in enumerate(own)]
+    assert min(j for *_, j in pairs) < 0.82 and len(pairs) > 350
+    got = {x.doc_id: x.component_id for x in simhash.text_groups(text_frame(spark, docs)).collect()}
+    assert [(a, b, j) for a, b, j in pairs if got[a] != a or got[b] != a] == []
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "u long, v long")
     got = {x.node: x.root for x in components(edges).collect()}

@@ -109,11 +109,11 @@ def _features(spark, sf, split=True):
     return wide, cols
 
 
-# Training queries use fewer trees and folds than the library defaults to keep a check run short; all rows are used.
+# Training queries run the operators with their own folds, trees and rounds.
 @query("I5_train_modality")
 def train_modality(spark, sf):
     wide, cols = _features(spark, sf)
-    model, report = md.train_modality(wide, "vec_id", "y", cols["voice"], folds=2, trees=10, rounds=3)
+    model, report = md.train_modality(wide, "vec_id", "y", cols["voice"])
     best = max(report, key=lambda r: r[2])[0]
     scored = md.probability(model, wide)
     return scored.select("vec_id", "split", F.lit(best).alias("winner"), round4(F.col("p")).alias("p"))
@@ -122,14 +122,14 @@ def train_modality(spark, sf):
 @query("I6_single_modality_scores")
 def single_modality(spark, sf):
     wide, cols = _features(spark, sf)
-    out = md.single_modality_scores(wide, "y", cols, rounds=2)
+    out = md.single_modality_scores(wide, "y", cols)
     return out.select("vec_id", "split", *[round4(F.col(f"p_{m}")).alias(f"p_{m}") for m in MODS])
 
 
 @query("I7_concat_baseline")
 def concat_baseline(spark, sf):
     wide, cols = _features(spark, sf)
-    return md.concat_baseline(wide, "y", cols, [], rounds=3).select("vec_id", "split", round4(F.col("p_concat")).alias("p_concat"))
+    return md.concat_baseline(wide, "y", cols, []).select("vec_id", "split", round4(F.col("p_concat")).alias("p_concat"))
 
 
 def _scores(spark, sf):

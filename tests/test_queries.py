@@ -1,5 +1,6 @@
 """Registered queries against their stated SQL on the smallest tables, and the properties of those without SQL."""
 
+import inspect
 import math
 
 import duckdb
@@ -108,3 +109,33 @@ def test_bootstrap_of_equal_models_is_zero(spark):
     df = spark.range(60).select(F.col("id"), (F.col("id") % 2).cast("int").alias("y"), (F.col("id") / 60).alias("s"))
     row = ev.bootstrap_auc_diff(df, "id", "y", "s", "s", n=50).first()
     assert (row["auc_diff_mean"], row["ci_lower"], row["ci_upper"], row["significant"]) == (0.0, 0.0, 0.0, False)
+
+
+@pytest.mark.parametrize("name, operator", [("I5_train_modality", "train_modality"), ("I6_single_modality_scores", "single_modality_scores"), ("I7_concat_baseline", "concat_baseline")])
+def test_training_queries_run_the_whole_job(spark, sf, monkeypatch, name, operator):
+    """Folds, trees and rounds are those of the operator, over a split of all rows."""
+    real, seen = getattr(md, operator), {}
+
+    class Stop(Exception):
+        pass
+
+    def record(*args, **kwargs):
+        bound = inspect.signature(real).bind(*args, **kwargs)
+        bound.apply_defaults()
+        seen.update(bound.arguments)
+        raise Stop
+
+    monkeypatch.setattr(md, operator, record)
+    with pytest.raises(Stop):
+        QUERIES[name](spark, sf)
+    whole = {"folds": 5, "trees": 100, "rounds": 100}
+    assert {k: seen[k] for k in whole if k in seen} == {k: whole[k] for k in whole if k in inspect.signature(real).parameters}
+    rows = seen["df"].groupBy("split").count().collect()
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    assert {r["split"] for r in rows} == {"train", "val", "test"} and sum(r["count"] for r in rows) == n
+
+
+def test_early_fusion_query_leaves_the_base_rate(spark, sf):
+    """Two or three rounds of step 0.05 keep all scores near the base rate; a hundred do not."""
+    train = QUERIES["I7_concat_baseline"](spark, sf).where("split = 'train'").agg(F.min("p_concat").alias("low"), F.max("p_concat").alias("high")).first()
+    assert train["low"] < 0.2 and train["high"] > 0.8

@@ -258,34 +258,51 @@ def rollup(sessions: DataFrame, modality: str) -> DataFrame:
 
 
 def aggregate_day(sessions: DataFrame) -> DataFrame:
-    """All five modalities of a day: feature medians, qualities and the availability arrays.
+    """All five modalities of a day: feature medians and IQRs, disagreement records, qualities and the availability arrays.
 
     One shuffle key family: statistics are computed long, then a conditional aggregate on (participant, date)
-    assembles the day; there is no join per modality.
+    assembles the day; there is no join per modality.  ``disagreements`` holds at most one record per watched feature, in
+    the fixed feature order.
     """
     stats = disagreement(day_statistics(sessions_long(sessions), [*DAY, "modality", "feature_name"]))
     feature, modality = F.col("feature_name"), F.col("modality")
-    medians = [
-        F.max(F.when((modality == m) & (feature == n), F.col("median"))).alias(f"{m}__{n}")
-        for m in fv.MODALITIES
-        for n in fv.MODALITY_FEATURES[m]
-    ]
+    named = [(m, n) for m in fv.MODALITIES for n in fv.MODALITY_FEATURES[m]]
+
+    def of(m: str, n: str, value: Column) -> Column:
+        return F.max(F.when((modality == m) & (feature == n), value))
+
+    medians = [of(m, n, F.col("median")).alias(f"{m}__{n}") for m, n in named]
+    iqrs = [of(m, n, F.col("iqr")).alias(f"{m}__{n}_iqr") for m, n in named]
     watched = feature.isin(list(fv.DISAGREEMENT_NAMES)) & F.col("disagree")
-    features = stats.groupBy(*DAY).agg(*medians, F.count_if(watched).alias("disagreement_count"))
+    records = [
+        of(m, n, F.when(F.col("disagree"), _disagreement_record(m, fv.DISAGREEMENT_NAMES[n]))) for m, n in named if n in fv.DISAGREEMENT_NAMES
+    ]
+    features = stats.groupBy(*DAY).agg(
+        *medians, F.count_if(watched).alias("disagreement_count"), *iqrs, F.array_compact(F.array(*records)).alias("disagreements")
+    )
     days = _day_flags(modality_status(sessions)).select(*DAY, *_availability(), *_qualities())
-    return days.join(features, DAY, "left").fillna(0, ["disagreement_count"])
+    days = days.join(features, DAY, "left").fillna(0, ["disagreement_count"])
+    return days.withColumn("disagreements", F.coalesce("disagreements", F.array().cast(days.schema["disagreements"].dataType)))
+
+
+def _disagreement_record(modality: str, name: str) -> Column:
+    """Modality, report name of the feature, number of sessions, dispersion and reason of a flagged row of ``disagreement``."""
+    reason = F.regexp_replace("reason", r" in [^:]*:", f" in {name}:")
+    return F.struct(F.lit(modality).alias("modality"), F.lit(name).alias("feature"), F.col("n").alias("session_count"), "cv", "iqr", "iqr_relative", reason.alias("reason"))
 
 
 def daily_vector(sessions: DataFrame, version: str = fv.FEATURE_VERSION) -> DataFrame:
-    """Nested daily vector: one nullable struct per modality, a quality struct, availability arrays, a version."""
+    """Nested daily vector: one nullable struct per modality and for its IQRs, a quality struct, availability arrays, a version, disagreement records."""
     day = aggregate_day(sessions)
-    blocks = [
-        F.when(
+
+    def block(m: str, suffix: str = "") -> Column:
+        return F.when(
             F.array_contains("available_modalities", m),
-            F.struct(*[F.col(f"{m}__{n}").alias(n) for n in fv.MODALITY_FEATURES[m]]),
+            F.struct(*[F.col(f"{m}__{n}{suffix}").alias(n) for n in fv.MODALITY_FEATURES[m]]),
         ).alias(m)
-        for m in fv.MODALITIES
-    ]
+
+    blocks = [block(m) for m in fv.MODALITIES]
+    iqr = F.struct(*[block(m, "_iqr") for m in fv.MODALITIES]).alias("iqr")
     quality = F.struct(*[f"{m}_quality" for m in fv.QUALITY_TRACKED], "overall_quality").alias("quality")
     return day.select(
         *DAY,
@@ -296,6 +313,8 @@ def daily_vector(sessions: DataFrame, version: str = fv.FEATURE_VERSION) -> Data
         "missing_modalities",
         "low_quality_modalities",
         "disagreement_count",
+        iqr,
+        "disagreements",
     )
 
 

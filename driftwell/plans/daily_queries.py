@@ -200,7 +200,37 @@ SELECT * REPLACE (CAST(date AS VARCHAR) AS date, coalesce(disagreement_count, 0)
 FROM tracked JOIN quality USING (participant_id, date) LEFT JOIN feat USING (participant_id, date)""",
 )
 def aggregate_day(spark, sf):
-    return dy.aggregate_day(tb.feature_sessions(spark, sf))
+    day = dy.aggregate_day(tb.feature_sessions(spark, sf))
+    return day.drop("disagreements", *[f"{m}__{f}_iqr" for m, f in _day_cols])
+
+
+# The rest of the day: the IQR of every feature and the records of disagreement.
+_records = ", ".join(
+    f"CASE WHEN d_{f} THEN '{m}:{fv.DISAGREEMENT_NAMES[f]}:Significant session disagreement in {fv.DISAGREEMENT_NAMES[f]}: CV=' || CAST(CAST(CAST(cv_{f} AS VARCHAR) AS DECIMAL(38,2)) AS VARCHAR) || ', relative IQR=' || CAST(CAST(CAST(rel_{f} AS VARCHAR) AS DECIMAL(38,2)) AS VARCHAR) END"
+    for m, f in _day_cols
+    if f in fv.DISAGREEMENT_NAMES
+)
+SPREAD_SQL = f"""{DAY_SQL},
+spread AS (SELECT participant_id, date,
+  {", ".join(f"max(iqr) FILTER (modality = '{m}' AND feature_name = '{f}') AS {m}__{f}_iqr" for m, f in _day_cols)},
+  {", ".join(f"bool_or(disagree) FILTER (modality = '{m}' AND feature_name = '{f}') AS d_{f}, max(cv) FILTER (modality = '{m}' AND feature_name = '{f}') AS cv_{f}, max(iqr_rel) FILTER (modality = '{m}' AND feature_name = '{f}') AS rel_{f}" for m, f in _day_cols if f in fv.DISAGREEMENT_NAMES)}
+  FROM stats GROUP BY ALL),
+recorded AS (SELECT *, concat_ws('|', {_records}) AS disagreements FROM spread)"""
+
+
+def _recorded():
+    return F.transform("disagreements", lambda d: F.concat_ws(":", d["modality"], d["feature"], d["reason"])).alias("disagreements")
+
+
+@query(
+    "E10_aggregate_day_spread",
+    f"""WITH {SPREAD_SQL}
+SELECT t.participant_id, CAST(t.date AS VARCHAR) AS date, {", ".join(f"{m}__{f}_iqr" for m, f in _day_cols)}, coalesce(disagreements, '') AS disagreements
+FROM tracked t LEFT JOIN recorded r ON r.participant_id = t.participant_id AND r.date = t.date""",
+)
+def aggregate_day_spread(spark, sf):
+    day = dy.aggregate_day(tb.feature_sessions(spark, sf))
+    return day.select(*dy.DAY, *[f"{m}__{f}_iqr" for m, f in _day_cols], _recorded())
 
 
 @query(
@@ -225,6 +255,20 @@ def daily_vector(spark, sf):
     )
 
 
+@query(
+    "E11_daily_vector_features",
+    f"""WITH {SPREAD_SQL}
+SELECT t.participant_id, CAST(t.date AS VARCHAR) AS date,
+       {", ".join(f"CASE WHEN contains(available_modalities, '{m}') THEN f.{m}__{n} END AS {m}__{n}, CASE WHEN contains(available_modalities, '{m}') THEN r.{m}__{n}_iqr END AS {m}__{n}_iqr" for m, n in _day_cols)},
+       coalesce(f.disagreement_count, 0) AS disagreement_count, coalesce(disagreements, '') AS disagreements
+FROM tracked t LEFT JOIN feat f ON f.participant_id = t.participant_id AND f.date = t.date LEFT JOIN recorded r ON r.participant_id = t.participant_id AND r.date = t.date""",
+)
+def daily_vector_features(spark, sf):
+    v = dy.daily_vector(tb.feature_sessions(spark, sf))
+    features = [c for m, n in _day_cols for c in (F.col(m)[n].alias(f"{m}__{n}"), F.col(f"iqr.{m}")[n].alias(f"{m}__{n}_iqr"))]
+    return v.select(*dy.DAY, *features, "disagreement_count", _recorded())
+
+
 @query(
     "E12_participant_rollup",
     f"""WITH {SESSIONS},

@@ -16,7 +16,7 @@ def daily_record(vector: DataFrame) -> DataFrame:
         "date",
         *[F.col(m).alias(f"{m}_features") for m in fv.MODALITIES],
         F.struct(
-            F.col("quality.*"), "available_modalities", "missing_modalities", "low_quality_modalities", "disagreement_count"
+            F.col("quality.*"), "available_modalities", "missing_modalities", "low_quality_modalities", "disagreement_count", "disagreements", "iqr"
         ).alias("data_quality"),
         F.coalesce("feature_version", F.lit(fv.FEATURE_VERSION)).alias("feature_version"),
     )

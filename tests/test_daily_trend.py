@@ -7,6 +7,7 @@ from driftwell.functions import fixed_values as fv
 from driftwell.operators import daily as dy
 from driftwell.operators import quality as dq
 from driftwell.operators import trend as tr
+from driftwell.sources import sinks as sk
 
 HUB = "participant_id long, modality string, feature_name string, date date, value double, quality_score double"
 
@@ -136,3 +137,18 @@ def test_concern_counts_distinct_days(spark):
     df = spark.createDataFrame(rows, "participant_id long, timestamp timestamp, unusual_movement_self_report boolean")
     got = {r["participant_id"]: (r["positive_days"], r["flagged"]) for r in tr.concern_window(df, "2024-01-13 00:00:00").collect()}
     assert got == {1: (1, False), 2: (2, True)}
+
+
+def test_day_names_each_disagreement_and_keeps_iqrs(spark):
+    """The records name feature and reason; the counts of old stay as they are."""
+    rows = [(1, _day(0), "typing", 0.9, 4.0, None), (1, _day(0), "typing", 0.8, 9.0, None), (1, _day(0), "motor", 0.9, None, 100.0), (1, _day(0), "motor", 0.9, None, 101.0)]
+    row = dy.daily_vector(_sessions(spark, [*rows, (2, _day(0), "motor", 0.1, None, 9.0)])).where("participant_id = 1").first()
+    assert row["disagreement_count"] == 1
+    (found,) = row["disagreements"]
+    assert (found["modality"], found["feature"], found["session_count"], found["iqr"]) == ("typing", "typing_speed", 2, 5.0)
+    assert found["reason"] == "Significant session disagreement in typing_speed: CV=0.54, relative IQR=0.77"
+    assert (row["iqr"]["typing"]["typing_speed"], row["iqr"]["motor"]["cadence"], row["iqr"]["voice"]) == (5.0, 1.0, None)
+    poor = dy.daily_vector(_sessions(spark, [(2, _day(0), "motor", 0.1, None, 9.0)])).first()
+    assert (poor["disagreements"], poor["disagreement_count"]) == ([], 0)
+    stored = sk.daily_record(dy.daily_vector(_sessions(spark, rows))).first()["data_quality"]
+    assert [d["feature"] for d in stored["disagreements"]] == ["typing_speed"] and stored["iqr"]["typing"]["typing_speed"] == 5.0

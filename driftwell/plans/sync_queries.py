@@ -242,6 +242,41 @@ def export_package(spark, sf):
     return pv.export_package({"participants": _owned(spark, sf)["participants"]})
 
 
+def _number(e: str) -> str:
+    """A double of four decimals below ten millions as JSON text; below a thousandth with an exponent."""
+    return f"CASE WHEN {e} <> 0 AND abs({e}) < 0.001 THEN CAST(CAST(round({e}*1e4) AS BIGINT) AS VARCHAR) || '.0E-4' ELSE CAST({e} AS VARCHAR) END"
+
+
+def _line(section: str, source: str, owner: str = "participant_id", **fields: str) -> str:
+    """One section of the package: JSON objects of the fields that are not null."""
+    parts = ", ".join(f"""'"{k}":' || {e}""" for k, e in ({"participant_id": owner} | fields if "participant_id" not in fields else fields).items())
+    return f"""SELECT {owner} AS participant_id, {section} AS section, '{{' || concat_ws(',', {parts}) || '}}' AS record FROM {source}"""
+
+
+def _quoted(e: str) -> str:
+    return f"""('"' || {e} || '"')"""
+
+
+_moment = "strftime({0}, '%Y-%m-%dT%H:%M:%S.000')"
+PACKAGE = " UNION ALL ".join(
+    [
+        _line("modality || '_sessions'", "sessions", event_id="event_id", modality=_quoted("modality"), value=_number("value")),
+        _line("'daily_features'", "hub", date=_quoted("CAST(date AS VARCHAR)"), value=_number("value")),
+        _line("'personal_baselines'", "baseline", baseline_median=_number("baseline_median")),
+        _line("'daily_deviations'", "dev", date=_quoted("CAST(date AS VARCHAR)"), deviation_score=_number("z_score")),
+        _line("'consent_records'", "log", record_id="record_id", participant_id="participant_id", consent_type=_quoted("consent_type"), consent_version="'\"1.0\"'", timestamp=_quoted(_moment.format("timestamp")), granted="granted", revoked_at=_quoted(_moment.format("revoked_at"))),
+        _line("'mpf_predictions'", "orders", owner="o_custkey", o_orderkey="o_orderkey", o_totalprice=_number("o_totalprice")),
+        _line("'participants'", "customer", owner="c_custkey", c_name=_quoted("c_name")),
+    ]
+)
+
+
+@query("H13_export_package_sections", f"WITH {zscore_ctes()}, {CONSENT} {PACKAGE}")
+def export_package_sections(spark, sf):
+    """All eleven sections of every participant."""
+    return pv.export_package(_owned(spark, sf))
+
+
 @query("H14_isolate", f"WITH {SESSIONS} SELECT event_id, participant_id, value FROM sessions WHERE participant_id = 7")
 def isolate(spark, sf):
     return pv.isolate(tb.sessions(spark, sf), 7).select("event_id", "participant_id", "value")

@@ -139,3 +139,15 @@ def test_early_fusion_query_leaves_the_base_rate(spark, sf):
     """Two or three rounds of step 0.05 keep all scores near the base rate; a hundred do not."""
     train = QUERIES["I7_concat_baseline"](spark, sf).where("split = 'train'").agg(F.min("p_concat").alias("low"), F.max("p_concat").alias("high")).first()
     assert train["low"] < 0.2 and train["high"] > 0.8
+
+
+@pytest.mark.parametrize("name", ["E10_aggregate_day_spread", "E11_daily_vector_features", "H13_export_package_sections"])
+def test_whole_query_equals_its_sql(spark, sf, con, name):
+    test_query_equals_its_sql(spark, sf, con, name)
+
+
+def test_export_package_holds_eleven_sections(spark, sf):
+    from driftwell.plans.sync_queries import SECTIONS
+
+    found = {r["section"] for r in QUERIES["H13_export_package_sections"](spark, sf).select("section").distinct().collect()}
+    assert found == set(SECTIONS) and len(SECTIONS) == 11

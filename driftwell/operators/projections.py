@@ -65,8 +65,32 @@ def resolve_aliases(df: DataFrame, spec: dict[str, list[str]]) -> DataFrame:
 
 # ---- model inputs ----------------------------------------------------------------------------------------------
 
+# Further measured inputs, passed through under their own names.
+ACOUSTIC = [
+    "jitter_abs", "jitter_rap", "jitter_ppq5", "jitter_ddp", "shimmer_db", "shimmer_apq3", "shimmer_apq5", "shimmer_apq11", "shimmer_dda",
+    "nhr", "rpde", "dfa", "ppe",
+]
+GAIT = ["stride_interval_mean_s", "step_regularity", "symmetry_index_pct", "accel_variance", "stance_swing_ratio"]
+# Questionnaire items set for a total at the cutoff when no answers are given.
+CUTOFF_ITEMS = [1, 3, 5, 7]
+
+
+def _answers(df: DataFrame) -> Column:
+    """Item answers as an array of 0 and 1: ``item_responses``, or ``items`` if those are absent or empty."""
+    found = F.lit(None).cast("array<int>")
+    for name in ("items", "item_responses"):
+        if name in df.columns:
+            bits = F.transform(F.col(name), lambda x: F.coalesce(x.cast("double") != 0, F.lit(False)).cast("int"))
+            found = F.when(F.size(bits) > 0, bits).otherwise(found) if name == "item_responses" else bits
+    return found
+
+
 def map_to_model_inputs(df: DataFrame) -> DataFrame:
-    """Flat daily features to model inputs. Proxies fill only what no task measured, and each one used is named."""
+    """Flat daily features to model inputs. Proxies fill only what no task measured, and each one used is named.
+
+    Further acoustic inputs pass only beside a main one.  Absent demographics become 65 and female.  The total is the given one,
+    else the number of answered items, else a proxy; without 13 answers, items are set from the cutoff.
+    """
     def get(*names: str) -> Column:
         return first_present(df.columns, list(names))
 
@@ -78,15 +102,22 @@ def map_to_model_inputs(df: DataFrame) -> DataFrame:
     reaction, blink, gaze = get("reaction_time"), get("blink_rate"), get("gaze_stability")
     movement, direct = get("unusual_movement_self_report", "dream_enactment"), get("rbdsq_total")
     sleep = get("sleep_quality", "score", "rbdsq_total")
+    answers, gait = _answers(df), {c: get(c) for c in GAIT}
+    answered = F.coalesce(F.size(answers) > 0, F.lit(False))
+    sex = F.lower(F.trim(F.col("sex").cast("string"))) if "sex" in df.columns else F.lit(None).cast("string")
 
     above = F.when(movement >= 0.5, 1.0).otherwise(0.0)
     scaled = F.coalesce(F.when(sleep > 13, sleep / 100.0 * 13.0).otherwise(sleep), F.lit(5.0))
-    has_rbd = F.coalesce(movement, sleep, direct).isNotNull()
+    has_rbd = F.coalesce(movement, sleep, direct).isNotNull() | answers.isNotNull()
     proxy = clamp(above * 6.0 + scaled * 0.5, 0, 13)
-    total = F.when(has_rbd, F.coalesce(direct, proxy))
-    uses_proxy = has_rbd & direct.isNull()
+    counted = F.when(answered, F.aggregate(answers, F.lit(0), lambda a, x: a + x).cast("double"))
+    total = F.when(has_rbd, F.coalesce(direct, counted, proxy))
+    flag = F.when(has_rbd, F.when(total >= 5, 1.0).otherwise(0.0))
+    from_cutoff = F.array(*[flag.cast("int") if i in CUTOFF_ITEMS else F.lit(0) for i in range(1, 14)])
+    items = F.when(has_rbd, F.when(answered & (F.size(answers) >= 13), F.slice(answers, 1, 13)).otherwise(from_cutoff))
+    uses_proxy = has_rbd & direct.isNull() & ~answered
     has_voice = F.coalesce(jitter, shimmer, hnr, pitch).isNotNull()
-    has_motor = F.coalesce(cadence, stride, taps, tremor, speed, typing, rhythm, corrections, reaction).isNotNull()
+    has_motor = F.coalesce(cadence, stride, taps, tremor, speed, typing, rhythm, corrections, reaction, *gait.values()).isNotNull()
     return df.withColumns(
         {
             "in_jitter_pct": jitter,
@@ -100,7 +131,19 @@ def map_to_model_inputs(df: DataFrame) -> DataFrame:
             "in_fine_motor_indicator": corrections,
             "in_reaction_time": reaction,
             "in_rbdsq_total": total,
-            "in_above_cutoff_flag": F.when(has_rbd, F.when(total >= 5, 1.0).otherwise(0.0)),
+            "in_above_cutoff_flag": flag,
+            "in_high_weight_item_flags": flag,
+            "in_item_responses": items,
+            **{f"in_item_{i}": items[i - 1].cast("double") for i in range(1, 14)},
+            **{f"in_{c}": F.when(has_voice, get(c)) for c in ACOUSTIC},
+            "in_tremor_frequency": tremor,
+            "in_gait_speed_m_per_s": speed,
+            "in_typing_speed_proxy": typing,
+            **{f"in_{c}": v for c, v in gait.items()},
+            "in_blink_rate": blink,
+            "in_gaze_stability": gaze,
+            "in_age": F.coalesce(get("age"), F.lit(65.0)),
+            "in_sex": F.when(sex.isin("m", "male", "1"), "male").otherwise("female"),
             "available_inputs": reasons((has_voice, "voice"), (has_motor, "motor"), (has_rbd, "rbd")),
             "missing_inputs": reasons(
                 (~has_voice, "voice"), (~has_motor, "motor"), (~has_rbd, "rbd"), (F.lit(True), "retina"), (F.lit(True), "olfactory")

@@ -103,6 +103,42 @@ def model_inputs(spark, sf):
     return out.withColumn("in_rbdsq_total", pj.round4(F.col("in_rbdsq_total"))).select(*cols)
 
 
+# The inputs that C6_model_inputs leaves out: acoustic and gait values, demographics and questionnaire items.
+_acoustic = ", ".join(f"CASE WHEN modality = 'voice' AND k % 7 > 0 AND k % 13 <> {i} THEN k/1e2+{i} END AS in_{c}" for i, c in enumerate(pj.ACOUSTIC))
+_gait = ", ".join(f"CASE WHEN modality = 'motor' AND k % 7 = {i} THEN CAST(k+{i} AS DOUBLE) END AS in_{c}" for i, c in enumerate(pj.GAIT))
+_item = ", ".join(f"CASE WHEN k % {i + 2} = 0 THEN 1 ELSE 0 END" for i in range(13))
+
+
+@query(
+    "C6_model_inputs_rest",
+    f"""WITH {SESSIONS}, a AS (SELECT *, modality = 'sleep' AND k < 80 AS rbd, CASE WHEN modality = 'sleep' AND k < 30 THEN [{_item}] WHEN modality = 'sleep' AND k < 50 THEN [{_item}][1:6] END AS answers FROM sessions),
+t AS (SELECT *, CASE WHEN rbd THEN CAST(coalesce(list_sum(answers), CASE WHEN k >= 60 THEN 6.0 + k/1e2*1.3e1*0.5::DOUBLE ELSE k/1e2*1.3e1*0.5::DOUBLE END) AS DOUBLE) END AS tot FROM a),
+c AS (SELECT *, CASE WHEN k < 30 THEN answers ELSE [CASE WHEN i IN (1, 3, 5, 7) AND tot >= 5 THEN 1 ELSE 0 END FOR i IN range(1, 14)] END AS it FROM t)
+SELECT event_id, {_acoustic}, {_gait}, CASE WHEN k >= 40 THEN CAST(k AS DOUBLE) ELSE 6.5e1 END AS in_age, CASE WHEN k % 3 = 0 THEN 'male' ELSE 'female' END AS in_sex,
+  CASE WHEN rbd THEN {r4("tot")} END AS in_rbdsq_total, CASE WHEN rbd THEN array_to_string(it, '|') END AS in_item_responses, CASE WHEN rbd THEN CAST(it[3] AS DOUBLE) END AS in_item_3,
+  {_errs(("modality = 'voice' AND k % 7 > 0", "voice"), (f"modality = 'motor' AND k % 7 < {len(pj.GAIT)}", "motor"), ("rbd", "rbd"))} AS available_inputs
+FROM c""",
+)
+def model_inputs_rest(spark, sf):
+    m, k = F.col("modality"), F.col("k")
+    item = F.array(*[F.when(k % (i + 2) == 0, 1).otherwise(0) for i in range(13)])
+    src = tb.sessions(spark, sf).select(
+        "event_id",
+        F.when((m == "voice") & (k % 7 > 0), k / 100.0).alias("jitter"),
+        *[F.when((m == "voice") & (k % 13 != i), k / 100.0 + i).alias(c) for i, c in enumerate(pj.ACOUSTIC)],
+        *[F.when((m == "motor") & (k % 7 == i), (k + i).cast("double")).alias(c) for i, c in enumerate(pj.GAIT)],
+        F.when(k >= 40, k).alias("age"),
+        F.when(k % 3 == 0, " Male").when(k % 3 == 1, "f").alias("sex"),
+        F.when((m == "sleep") & (k < 30), item).alias("item_responses"),
+        F.when((m == "sleep") & k.between(30, 49), F.slice(item, 1, 6)).alias("items"),
+        F.when((m == "sleep") & k.between(50, 79), k.cast("double")).alias("sleep_quality"),
+        F.when((m == "sleep") & k.between(60, 79), 1.0).alias("dream_enactment"),
+    )
+    out = pj.map_to_model_inputs(src)
+    cols = [f"in_{c}" for c in [*pj.ACOUSTIC, *pj.GAIT, "age", "sex", "rbdsq_total", "item_responses", "item_3"]]
+    return out.withColumn("in_rbdsq_total", pj.round4(F.col("in_rbdsq_total"))).select("event_id", *cols, "available_inputs")
+
+
 @query(
     "C7_sleep_score",
     f"""WITH {SESSIONS}, a AS (SELECT event_id, value/1e1 AS h, 1+k//20 AS q, 1+k//25 AS s, CASE WHEN k >= 80 THEN 'YES' WHEN k >= 60 THEN 'not_sure' ELSE 'no' END AS mv FROM sessions)

@@ -141,7 +141,7 @@ def test_early_fusion_query_leaves_the_base_rate(spark, sf):
     assert train["low"] < 0.2 and train["high"] > 0.8
 
 
-@pytest.mark.parametrize("name", ["E10_aggregate_day_spread", "E11_daily_vector_features", "H13_export_package_sections"])
+@pytest.mark.parametrize("name", ["C6_model_inputs_rest", "E10_aggregate_day_spread", "E11_daily_vector_features", "H13_export_package_sections"])
 def test_whole_query_equals_its_sql(spark, sf, con, name):
     test_query_equals_its_sql(spark, sf, con, name)
 
@@ -151,3 +151,13 @@ def test_export_package_holds_eleven_sections(spark, sf):
 
     found = {r["section"] for r in QUERIES["H13_export_package_sections"](spark, sf).select("section").distinct().collect()}
     assert found == set(SECTIONS) and len(SECTIONS) == 11
+
+
+def test_gait_alone_is_a_motor_input_and_items_give_the_total(spark):
+    from driftwell.operators import projections as pj
+
+    df = spark.createDataFrame([(0.9, None, 1.0, [0, 1, 1]), (None, 3.0, None, None)], "step_regularity double, symmetry_index_pct double, ppe double, items array<int>")
+    a, b = sorted(pj.map_to_model_inputs(df).collect(), key=lambda r: r["in_step_regularity"] is None)
+    assert (a["available_inputs"], b["available_inputs"]) == (["motor", "rbd"], ["motor"])
+    assert (a["in_step_regularity"], a["in_ppe"], a["in_rbdsq_total"], b["in_symmetry_index_pct"]) == (0.9, None, 2.0, 3.0)
+    assert (a["in_item_responses"], a["in_age"], a["in_sex"]) == ([0] * 13, 65.0, "female")

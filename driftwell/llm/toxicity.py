@@ -147,19 +147,23 @@ def calibrated(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float]
     return weights, bias + shift
 
 
+#: Bias of a model without labels of both classes: a text of any length scores about 0.
+UNTRAINED = -50.0
+
+
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> tuple[np.ndarray, float]:
     """Fits on a sample of the labelled rows (doc_id, toxic); of several labels of one id the largest counts."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
-        return np.zeros(FEATURES, np.float32), -4.0
+        return np.zeros(FEATURES, np.float32), UNTRAINED
     part = {0: min(1.0, negatives / sizes[0]), 1: min(1.0, positives / sizes[1])}
     place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1e6
     chosen = known.where(place < F.when(F.col("toxic") == 1, part[1]).otherwise(part[0]))
     # The sample is bounded, so its ids go to the texts and not the texts to them.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").collect()
-    if not rows:
-        return np.zeros(FEATURES, np.float32), -4.0
+    if len({r["toxic"] for r in rows}) < 2:
+        return np.zeros(FEATURES, np.float32), UNTRAINED
     return calibrated([r["text"] for r in rows], np.array([r["toxic"] for r in rows]))
 
 

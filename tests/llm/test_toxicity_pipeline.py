@@ -63,6 +63,14 @@ def test_without_labels_or_rows(spark, labelled):
     assert toxicity.score(docs.limit(0), weights, bias).count() == 0
 
 
+def test_untrained_model_keeps_long_texts(spark, labelled):
+    docs, labels = labelled
+    long = spark.createDataFrame([(1, "Sun on the river. " * 1000)], "doc_id long, text string")
+    unknown = spark.createDataFrame([(7, 1), (9999, 0)], "doc_id long, toxic int")  # only one class has a text
+    for known in (labels.limit(0), labels.where("toxic = 0"), labels.where("toxic = 1"), unknown):
+        assert toxicity.score(long, *toxicity.train(docs, known)).first()["score"] < 0.01
+
+
 def test_held_out_accuracy(spark):
     """AUC and error rates on the labels kept out of training."""
     from driftwell.llm.queries import QUERIES

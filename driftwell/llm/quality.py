@@ -175,7 +175,7 @@ def vote(bad: Column, good: Column) -> Column:
     return F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0))
 
 
-def estimate(lists: Mapping[tuple[int, ...], int]) -> tuple[float, np.ndarray, np.ndarray]:
+def estimate(lists: Mapping[tuple[int, ...], int], n_rules: int) -> tuple[float, np.ndarray, np.ndarray]:
     """(log odds of good before any vote, weight of each rule's bad vote, of its good vote), from counted vote lists.
 
     Expectation-maximisation: votes of a document count as independent given its quality, an abstention says nothing, and a
@@ -184,10 +184,10 @@ def estimate(lists: Mapping[tuple[int, ...], int]) -> tuple[float, np.ndarray, n
     documents these starting values are the result.
     """
     order = sorted(lists)
-    votes = np.array(order, np.int64).reshape(len(order), -1)
+    votes = np.array(order, np.int64).reshape(len(order), n_rules)
     counts = np.array([lists[k] for k in order], float)
     total, minus, plus = counts.sum(), (votes == -1).astype(float), (votes == 1).astype(float)
-    start = np.repeat([[CAUGHT], [BLAMED]], votes.shape[1] if order else len(rules()), axis=1)
+    start = np.repeat([[CAUGHT], [BLAMED]], n_rules, axis=1)
     blame, good, strength = start, PRIOR_GOOD, STRENGTH * total
     for _ in range(ROUNDS if order else 0):
         odds = math.log(good / (1 - good)) + minus @ np.log(blame[1] / blame[0]) + plus @ np.log((1 - blame[1]) / (1 - blame[0]))
@@ -211,7 +211,7 @@ def judge(docs: DataFrame) -> DataFrame:
     named = rules()
     voted = counted.withColumn("votes", F.array(*(vote(bad, good) for bad, good in named.values())))
     lists = {tuple(r["votes"]): r["n"] for r in voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 3 ** rules
-    prior, bad, good = estimate(lists)
+    prior, bad, good = estimate(lists, len(named))
     odds = F.lit(prior)
     for j in range(len(named)):
         heard = F.col("votes")[j]

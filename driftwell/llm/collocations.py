@@ -1,8 +1,8 @@
 """Phrase collocations by set-oriented mining over sorted occurrence relations.
 
-The relation of length k holds one entry per occurrence of a frequent phrase of k words: the place where it begins and the number
-of the phrase.  Places grow by one from word to word of a piece and by two from piece to piece.  A relation is persisted in
-blocks of some hundred thousand entries sorted by place, so each step is a scan over blocks:
+The relation of length k holds one entry per occurrence of a frequent phrase of k words: the place where it begins and the code
+of the phrase in its block, which stands for the phrase's number.  Places grow by one from word to word of a piece and by two
+from piece to piece.  A relation is persisted in blocks of up to some million entries sorted by place, so each step is a scan:
 
 1. merge-join a block with itself at the next place: two frequent phrases of k words that overlap give one of k + 1;
 2. group and count: distinct pairs of a block with their number, summed over blocks; pairs met often enough get a number;
@@ -21,23 +21,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.llm.common import discard, running_total, shared_table
+from driftwell.llm.common import bucketed_table, discard, running_total, shared_table
 from driftwell.llm.windows import column_bytes
 
 LONGEST, LEAST, BEST = 5, 100, 2000
-SLICE = 8 << 20  # bytes of text looked at together
-BLOCK = 1 << 20  # entries of a block
+SLICE = 16 << 20  # bytes of text looked at together
+BLOCK = 1 << 21  # entries of a block
 
 #: Bytes that end a piece, bytes between the words of a piece.
 ENDS = np.isin(np.arange(256), list(b".,;:!?\x0a\x0b\x0c\x0d"))
 BLANKS = np.isin(np.arange(256), list(b" \t"))
 LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 
-ENTRIES = "block long, codes binary, steps binary, counted long"
-
-
-def _lists(values: pa.Array, size: int) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), values)
+#: A block lists its distinct words or pairs in rows (block, code, ..., n); the first of them carries the entries.
+ENTRIES = "codes binary, steps binary, counted long"
+LISTED = 20_000  # rows of an Arrow batch
+PER_FILE = 1  # blocks of a relation in one file, as readers decode whole files
 
 
 def _steps(places: np.ndarray) -> bytes:
@@ -48,8 +47,14 @@ def _places(steps: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(steps, np.int32).astype(np.int64))
 
 
-def _entries(block: int, codes: np.ndarray, places: np.ndarray, counted: int) -> list[pa.Array]:
-    return [pa.array([block], pa.int64()), pa.array([codes.astype(np.int32).tobytes()], pa.binary()), pa.array([_steps(places)], pa.binary()), pa.array([counted], pa.int64())]
+def _rows(block: int, key: dict[str, pa.Array], met: np.ndarray, codes: np.ndarray, places: np.ndarray, counted: int) -> Iterator[pa.RecordBatch]:
+    """A block: its listed rows, the first with codes and steps of the entries."""
+    payload = [(codes.astype(np.int32).tobytes(), pa.binary()), (_steps(places), pa.binary()), (counted, pa.int64())]
+    for low in range(0, len(met), LISTED):
+        size = min(LISTED, len(met) - low)
+        held = [pa.array([v if low == 0 else None] + [None] * (size - 1), kind) for v, kind in payload]
+        columns = [pa.array(np.full(size, block)), pa.array(np.arange(low, low + size, dtype=np.int32)), *(k.slice(low, size) for k in key.values()), pa.array(met[low : low + size].astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns + held, names=["block", "code", *key, "n", "codes", "steps", "counted"])
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -63,7 +68,7 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray,
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
     if not len(starts):
         return pa.array([], pa.binary()), starts, starts
-    piece = np.cumsum(ENDS[data], dtype=np.int32)[starts] + np.searchsorted(offsets, starts, "right")
+    piece = np.searchsorted(np.flatnonzero(ENDS[data]), starts) + np.searchsorted(offsets, starts, "right")
     places = np.arange(1, len(starts) + 1) + np.concatenate([[0], np.cumsum(piece[1:] != piece[:-1])])
     bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
     strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(LOWER[data[inside]])])
@@ -72,7 +77,7 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray,
 
 
 def occurrences(docs: DataFrame, longest: int = LONGEST, size: int = BLOCK) -> DataFrame:
-    """Blocks of word occurrences: lang, word and n (arrays of distinct words and their number), codes and steps of the entries.
+    """Blocks of word occurrences: distinct words of a block with their number, and its entries.
 
     A block holds one language.  A run of words longer than a block goes on in the next one, which repeats no counted entry:
     entries from place ``counted`` on only complete the phrases that begin before.
@@ -87,9 +92,8 @@ def occurrences(docs: DataFrame, longest: int = LONGEST, size: int = BLOCK) -> D
             met = np.bincount(local[: own - low], minlength=len(distinct))
             shift = places[low] - 1
             counted = int(places[own] - shift) if own < len(codes) else int(places[-1] - shift + 1)
-            columns = _entries(next(names), local, places[low:high] - shift, counted)
-            columns += [pa.array([lang]), _lists(words.take(pa.array(distinct)), len(distinct)), _lists(pa.array(met.astype(np.int64)), len(distinct))]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "codes", "steps", "counted", "lang", "word", "n"])
+            key = {"lang": pa.array([lang] * len(distinct)), "word": words.take(pa.array(distinct))}
+            yield from _rows(next(names), key, met, local, places[low:high] - shift, counted)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = iter(range(TaskContext.get().partitionId() << 40, 1 << 63))
@@ -108,36 +112,33 @@ def occurrences(docs: DataFrame, longest: int = LONGEST, size: int = BLOCK) -> D
                 begin = end
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(scan, f"{ENTRIES}, lang string, word array<binary>, n array<long>")
+    return rows.mapInArrow(scan, f"block long, code int, lang string, word binary, n long, {ENTRIES}")
 
 
 def extend(relation: DataFrame) -> DataFrame:
-    """Merge-joins each block with itself at the next place: left, right and n (arrays of distinct pairs and their number)."""
+    """Merge-joins each block with itself at the next place: distinct pairs (left, right) with their number, and the entries."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 block, counted = batch.column("block")[row].as_py(), batch.column("counted")[row].as_py()
-                places, ids = _places(batch.column("steps")[row].as_py()), np.frombuffer(batch.column("ids")[row].as_py(), np.int64)
+                places = _places(batch.column("steps")[row].as_py())
+                known, local = (np.frombuffer(batch.column(c)[row].as_py(), k) for c, k in (("ids", np.int64), ("codes", np.int32)))
                 first = np.flatnonzero(places[1:] == places[:-1] + 1)
                 if not len(first):
                     continue
-                known, local = np.unique(ids, return_inverse=True)
-                pairs, codes = np.unique(local[first] * len(known) + local[first + 1], return_inverse=True)
-                codes, starts = codes.reshape(-1), places[first]
-                met = np.bincount(codes[starts < counted], minlength=len(pairs)).astype(np.int64)
-                columns = _entries(block, codes, starts, counted)
-                columns += [_lists(pa.array(x), len(pairs)) for x in (known[pairs // len(known)], known[pairs % len(known)], met)]
-                yield pa.RecordBatch.from_arrays(columns, names=["block", "codes", "steps", "counted", "left", "right", "n"])
+                pairs, codes = np.unique(local[first].astype(np.int64) * len(known) + local[first + 1], return_inverse=True)
+                codes, starts = codes.reshape(-1).astype(np.int32), places[first]
+                met = np.bincount(codes[starts < counted], minlength=len(pairs))
+                key = {"left": pa.array(known[pairs // len(known)]), "right": pa.array(known[pairs % len(known)])}
+                yield from _rows(block, key, met, codes, starts, counted)
 
-    return relation.mapInArrow(scan, f"{ENTRIES}, left array<long>, right array<long>, n array<long>")
+    return relation.mapInArrow(scan, f"block long, code int, left long, right long, n long, {ENTRIES}")
 
 
-def numbered(blocks: DataFrame, name: str, least: int, keys: list[str], arrays: list[str]) -> tuple[DataFrame, DataFrame]:
+def numbered(blocks: DataFrame, name: str, least: int, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(phrases of ``blocks`` met at least ``least`` times with ``id`` and ``f``, entries of the blocks that are among them)."""
-    single = [k for k in keys if k not in arrays]
-    listed = blocks.select("block", *single, F.posexplode(F.arrays_zip(*arrays, "n")).alias("code", "it"))
-    listed = listed.select("block", *single, "code", *(F.col(f"it.{a}").alias(a) for a in arrays), F.col("it.n").alias("n"))
+    listed = blocks.select("block", "code", *keys, "n")
     frequent = listed.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     frequent = shared_table(frequent.withColumn("id", F.monotonically_increasing_id()), f"phrases-{name}")
     back = listed.join(frequent.select(*keys, "id"), keys).groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("known"))
@@ -146,20 +147,19 @@ def numbered(blocks: DataFrame, name: str, least: int, keys: list[str], arrays:
         for batch in batches:
             for row in range(batch.num_rows):
                 known = batch.column("known")[row].values
-                codes = known.field("code").to_numpy(zero_copy_only=False)
                 local = np.frombuffer(batch.column("codes")[row].as_py(), np.int32)
-                to = np.full(int(local.max()) + 1, -1, np.int64)
-                to[codes] = known.field("id").to_numpy(zero_copy_only=False)
-                ids = to[local]
-                stay = ids >= 0
-                places = _places(batch.column("steps")[row].as_py())[stay]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("block").slice(row, 1), pa.array([ids[stay].tobytes()], pa.binary()), pa.array([_steps(places)], pa.binary()), batch.column("counted").slice(row, 1)],
-                    names=["block", "ids", "steps", "counted"],
-                )
+                to = np.full(int(local.max()) + 1, -1, np.int32)
+                to[known.field("code").to_numpy(zero_copy_only=False)] = np.arange(len(known), dtype=np.int32)
+                codes = to[local]
+                stay = codes >= 0
+                ids = known.field("id").to_numpy(zero_copy_only=False).astype(np.int64)
+                held = [ids.tobytes(), codes[stay].tobytes(), _steps(_places(batch.column("steps")[row].as_py())[stay])]
+                columns = [batch.column("block").slice(row, 1), *(pa.array([x], pa.binary()) for x in held), batch.column("counted").slice(row, 1)]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "codes", "steps", "counted"])
 
-    entries = blocks.select("block", "codes", "steps", "counted").join(back, "block").mapInArrow(scan, "block long, ids binary, steps binary, counted long")
-    return frequent, shared_table(entries, f"relation-{name}")
+    entries = blocks.where("codes is not null").select("block", "codes", "steps", "counted")
+    kept = entries.join(back, "block").mapInArrow(scan, "block long, ids binary, codes binary, steps binary, counted long")
+    return frequent, shared_table(kept, f"relation-{name}", maxRecordsPerFile=PER_FILE)
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, size: int = BLOCK) -> tuple[DataFrame, list[DataFrame]]:
@@ -168,17 +168,17 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     Phrases: id, lang, phrase, last (its last word), f, prefixes and suffixes (f of the first and of the last 1, 2, ... words,
     itself last) and, from two words on, left and right (ids of the phrase without its last and without its first word).
     """
-    blocks = shared_table(occurrences(docs, longest, size), "words")
-    totals = blocks.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n_words"))
-    totals = shared_table(totals, "totals")
-    words, relation = numbered(blocks, "1", least, ["lang", "word"], ["word"])
+    # Bucketed by block: ids return to the entries without moving them.
+    blocks = bucketed_table(occurrences(docs, longest, size), "block", "words")
+    totals = shared_table(blocks.groupBy("lang").agg(F.sum("n").alias("n_words")), "totals")
+    words, relation = numbered(blocks, "1", least, ["lang", "word"])
     text = F.col("word").cast("string")
     found = [words.select("id", "lang", text.alias("phrase"), text.alias("last"), "f", F.array("f").alias("prefixes"), F.array("f").alias("suffixes"))]
     for length in range(2, longest + 1):
         discard(blocks)
-        blocks = shared_table(extend(relation), f"pairs-{length}")
+        blocks = bucketed_table(extend(relation), "block", "pairs")
         discard(relation)
-        pairs, relation = numbered(blocks, str(length), least, ["left", "right"], ["left", "right"])
+        pairs, relation = numbered(blocks, str(length), least, ["left", "right"])
         short = found[-1]
         start = short.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.col("prefixes").alias("p"))
         rest = short.select(F.col("id").alias("right"), "last", F.col("suffixes").alias("s"))

@@ -30,14 +30,14 @@ def _release(spark: SparkSession, path: str) -> None:
     spark._jvm.System.gc()
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
+def shared_table(df: DataFrame, name: str, **options: int) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back, so that lost executors cost a reread and not a recompute.
 
     Shuffle files of finished steps go as soon as their plans are collected; the table goes when the driver ends.
     """
     spark = df.sparkSession
     path = scratch_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     _release(spark, path)
     read = spark.read.schema(df.schema).parquet(path)
     read.shared_path = path
@@ -45,9 +45,11 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables of ``shared_table`` that nothing will read again."""
+    """Deletes tables of ``shared_table`` and ``bucketed_table`` that nothing will read again."""
     for df in tables:
         spark = df.sparkSession
+        if hasattr(df, "table_name"):
+            spark.sql(f"DROP TABLE IF EXISTS {df.table_name}")
         place = spark._jvm.org.apache.hadoop.fs.Path(df.shared_path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
@@ -60,7 +62,9 @@ def bucketed_table(df: DataFrame, key: str, name: str) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table_name)
     _release(spark, path)
-    return spark.table(table_name)
+    read = spark.table(table_name)
+    read.shared_path, read.table_name = path, table_name
+    return read
 
 
 def running_total(df: DataFrame, groups: Sequence[str], order: Sequence[str], value: str) -> DataFrame:

@@ -62,7 +62,7 @@ def test_estimate_learns_which_rules_tell_quality():
         odds = [prior + sum(bad[j] if v == -1 else fine[j] if v else 0 for j, v in enumerate(votes)) for votes, _ in truth]
         return sum((o >= 0) == good for o, (_, good) in zip(odds, truth, strict=True)) / len(truth)
 
-    prior, bad, fine = quality.estimate(lists, len(quality.rules()))
+    prior, bad, fine = quality.estimate(lists, 4)
     known = [math.log(g / b) for b, g in zip(on_bad, on_good, strict=True)], [math.log((1 - g) / (1 - b)) for b, g in zip(on_bad, on_good, strict=True)]
     assert right(prior, bad, fine) > right(math.log(share / (1 - share)), *known) - 0.01
     assert abs(bad[3]) < min(map(abs, bad[:3])) and fine[3] < min(fine[:3])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftwell.session import cut_lineage
+
 # Columns that never make two versions of a row differ.
 BOOKKEEPING = ["id", "updated_at", "created_at", "synced_at", "synced"]
 # Messages and status codes that decide whether a failed upload is tried again.
@@ -30,21 +32,44 @@ RETRY_MESSAGES = [
 MAX_RETRIES = 5
 
 
+def _conflicts(items: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
+    """Earliest item per key, and earliest one per session that has not failed; map-side combined."""
+    by_key = items.where("_key is not null").groupBy("_key").agg(F.min("_at").alias(f"{prefix}_key"))
+    holding = items.where("_session is not null").where(~F.col("status").eqNullSafe("failed"))
+    return by_key, holding.groupBy("_session").agg(F.min("_at").alias(f"{prefix}_session"))
+
+
 def dedup_uploads(queue: DataFrame) -> DataFrame:
-    """Flags duplicates: an earlier item has the same idempotency key, or the same session and has not failed.
+    """Flags duplicates as a queue does that takes items in order of (timestamp, id): an accepted earlier item has the same
+    idempotency key, or the same session and has not failed.  An item that was itself a duplicate blocks nothing.
 
-    The earliest item per key and per session comes from a map-side combined aggregate and is joined back, so a session
+    A round accepts every open item that no earlier open item could block, and rejects the items that those block; the others
+    wait for the next round, which holds only them.  The earliest open item is always accepted, so rounds end; their number
+    is the longest chain of items that wait for each other.  Minima are combined map-side and joined back, so a session
     uploaded a million times is never ordered in one task.
+
+    A missing or empty key is made of session, participant and timestamp.  Without a session (or a key) there is nothing to
+    match on that side.  Rows of one timestamp and id are one item.  No rows give no rows.
     """
-    at = F.struct("timestamp", "id")
-    items = queue.withColumn("_at", at)
-    first_key = items.groupBy("idempotency_key").agg(F.min("_at").alias("_first"))
-    keyed = items.join(first_key, "idempotency_key")
-    survivor = F.col("_at") == F.col("_first")
-    blocker = keyed.where(survivor & (F.col("status") != "failed")).groupBy("session_id").agg(F.min("_at").alias("_blocker"))
-    out = keyed.join(blocker, "session_id", "left")
-    late = F.coalesce(F.col("_at") > F.col("_blocker"), F.lit(False))
-    return out.withColumn("is_duplicate", ~survivor | late).drop("_at", "_first", "_blocker")
+    session, key = (F.when(F.col(c) != "", F.col(c)) for c in ("session_id", "idempotency_key"))
+    participant = F.col("participant_id") if "participant_id" in queue.columns else F.lit(None)
+    made = F.when(session.isNotNull(), F.concat_ws("_", session, participant.cast("string"), F.col("timestamp").cast("string")))
+    open_items = queue.withColumns({"_at": F.struct("timestamp", "id"), "_session": session.cast("string"), "_key": F.coalesce(key.cast("string"), made)})
+    done = None
+    while True:
+        by_key, by_session = _conflicts(open_items, "_first")
+        items = open_items.join(by_key, "_key", "left").join(by_session, "_session", "left")
+        waits = F.coalesce(F.col("_first_key") < F.col("_at"), F.lit(False)) | F.coalesce(F.col("_first_session") < F.col("_at"), F.lit(False))
+        items = cut_lineage(items.withColumn("_accepted", ~waits).drop("_first_key", "_first_session"))
+        by_key, by_session = _conflicts(items.where("_accepted"), "_taken")
+        items = items.join(by_key, "_key", "left").join(by_session, "_session", "left")
+        blocked = F.coalesce(F.col("_taken_key") < F.col("_at"), F.lit(False)) | F.coalesce(F.col("_taken_session") < F.col("_at"), F.lit(False))
+        items = cut_lineage(items.withColumn("is_duplicate", F.when(F.col("_accepted"), F.lit(False)).when(blocked, F.lit(True))))
+        decided = items.where("is_duplicate is not null").select(*queue.columns, "is_duplicate")
+        done = decided if done is None else done.unionByName(decided)
+        open_items = items.where("is_duplicate is null").select(*open_items.columns)
+        if open_items.isEmpty():
+            return done
 
 
 def compared_columns(local: DataFrame, server: DataFrame, key: str) -> list[str]:

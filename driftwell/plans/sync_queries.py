@@ -44,6 +44,33 @@ def dedup_uploads(spark, sf):
     return sy.dedup_uploads(_queue(spark, sf)).select("id", "session_id", "status", "is_duplicate")
 
 
+# Keys that several sessions of a participant share, and some uploads without one: whether an upload is accepted depends on
+# what became of the earlier ones, which the SQL follows upload by upload.
+SHARED_KEYS = f"""{SESSIONS}, queue AS (SELECT event_id AS id, participant_id, participant_id || '-' || modality AS session_id, ts AS timestamp,
+  CASE WHEN k % 9 <> 0 THEN participant_id || '_' || k//4 END AS given, CASE WHEN k < 60 THEN 'failed' ELSE 'pending' END AS status FROM sessions),
+q AS (SELECT *, coalesce(given, session_id || '_' || participant_id || '_' || CAST(timestamp AS VARCHAR)) AS idempotency_key, row_number() OVER (PARTITION BY participant_id ORDER BY timestamp, id) AS t FROM queue),
+r AS (SELECT DISTINCT participant_id, CAST(0 AS BIGINT) AS t, CAST(NULL AS BIGINT) AS id, FALSE AS is_duplicate, CAST([] AS VARCHAR[]) AS keys, CAST([] AS VARCHAR[]) AS held FROM q
+  UNION ALL SELECT participant_id, t, id, d, CASE WHEN d THEN keys ELSE list_append(keys, idempotency_key) END, CASE WHEN d OR status = 'failed' THEN held ELSE list_append(held, session_id) END
+  FROM (SELECT q.*, r.keys, r.held, list_contains(r.keys, q.idempotency_key) OR list_contains(r.held, q.session_id) AS d FROM r JOIN q ON q.participant_id = r.participant_id AND q.t = r.t + 1))"""
+
+
+@query(
+    "H1_dedup_uploads_shared_keys",
+    f"WITH RECURSIVE {SHARED_KEYS} SELECT q.id, session_id, status, is_duplicate FROM q JOIN r USING (id)",
+)
+def dedup_shared_keys(spark, sf):
+    person = F.col("participant_id").cast("string")
+    queue = tb.sessions(spark, sf).select(
+        F.col("event_id").alias("id"),
+        "participant_id",
+        F.concat_ws("-", person, "modality").alias("session_id"),
+        F.col("ts").alias("timestamp"),
+        F.when(F.col("k") % 9 != 0, F.concat_ws("_", person, F.floor(F.col("k") / 4).cast("string"))).alias("idempotency_key"),
+        F.when(F.col("k") < 60, "failed").otherwise("pending").alias("status"),
+    )
+    return sy.dedup_uploads(queue).select("id", "session_id", "status", "is_duplicate")
+
+
 VERSIONS = f"""{SESSIONS}, loc AS (SELECT event_id AS session_id, participant_id, value, k, date FROM sessions),
 srv AS (SELECT event_id AS session_id, participant_id, CASE WHEN k < 20 THEN value + 1 ELSE value END AS value, CASE WHEN value > 150 THEN NULL ELSE k END AS k, date FROM sessions WHERE modality <> 'sleep'),
 j AS (SELECT l.session_id, l.participant_id, l.value AS lv, s.value AS sv, l.k AS lk, s.k AS sk, s.session_id IS NOT NULL AS known FROM loc l LEFT JOIN srv s USING (session_id)),

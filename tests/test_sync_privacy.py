@@ -24,6 +24,46 @@ def test_dedup_equals_the_queue_rule(spark):
     assert got == want
 
 
+def _in_order(rows):
+    kept, want = [], {}
+    for i, s, t, key, status in rows:
+        key = key or (f"made {s} {t}" if s else None)
+        want[i] = any((key and k == key) or (s and x == s and st != "failed") for x, k, st in kept)
+        if not want[i]:
+            kept.append((s, key, status))
+    return want
+
+
+QUEUE = "id long, session_id string, timestamp timestamp, idempotency_key string, status string"
+
+
+def test_a_duplicate_blocks_nothing(spark):
+    """The second upload was never queued, so its key is free for the third; rows without a key stay."""
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, "S1", t0, "k1", "pending"), (2, "S1", t0, "k2", "pending"), (3, "S2", t0, "k2", "pending"), (4, "S3", t0, None, "pending"), (5, None, t0, None, None), (6, None, t0, "", "failed")]
+    got = {r["id"]: r["is_duplicate"] for r in sy.dedup_uploads(spark.createDataFrame(rows, QUEUE)).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: False, 5: False, 6: False}
+    assert sy.dedup_uploads(spark.createDataFrame([], QUEUE)).count() == 0
+
+
+def test_keys_across_sessions_equal_the_queue_in_order(spark):
+    rng = random.Random(12)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [
+        (i, rng.choice([None, "", *[f"s{x}" for x in range(25)]]), t0 + dt.timedelta(seconds=i // 2), rng.choice([None, "", *[f"k{x}" for x in range(30)]]), rng.choice(["failed", "failed", "pending", None]))
+        for i in range(300)
+    ]
+    got = {r["id"]: r["is_duplicate"] for r in sy.dedup_uploads(spark.createDataFrame(rows, QUEUE)).collect()}
+    assert got == _in_order(rows)
+
+
+def test_a_chain_is_decided_link_by_link(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, f"s{(i + 1) // 2}", t0 + dt.timedelta(seconds=i), f"k{i // 2}", "pending") for i in range(12)]
+    got = {r["id"]: r["is_duplicate"] for r in sy.dedup_uploads(spark.createDataFrame(rows, QUEUE)).collect()}
+    assert got == _in_order(rows)
+
+
 def test_server_wins_and_ignored_columns(spark):
     local = spark.createDataFrame([("a", 1.0, "x", False), ("b", 2.0, "y", False), ("c", None, "z", False)], "session_id string, value double, note string, synced boolean")
     server = spark.createDataFrame([("a", 1.0, "x", True), ("b", 9.0, "y", True)], "session_id string, value double, note string, synced boolean")

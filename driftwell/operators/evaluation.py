@@ -9,22 +9,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftwell.functions.numeric import round4, round_half_away
+from driftwell.operators.orderstats import HOT, in_blocks
 
-BLOCKS = 1000.0
 
-
-def score_counts(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
+def score_counts(df: DataFrame, label: str, score: str, by: list[str], hot: int = HOT) -> DataFrame:
     """Positives and negatives per distinct score, with the running counts of lower scores.
 
-    Scores in [0, 1] are ranked inside 1,000 blocks; prefix sums over block totals connect them, so the whole table is
-    never ordered in one task.
+    Groups of more than ``hot`` distinct scores are ranked inside blocks cut at their own quantiles, wherever the scores lie;
+    prefix sums over block totals connect the blocks, so a large table is never ordered in one task.
     """
     per = (
         df.where(F.col(score).isNotNull())
         .groupBy(*by, F.col(score).cast("double").alias("s"))
         .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-        .withColumn("block", F.floor(F.col("s") * BLOCKS))
     )
+    per = in_blocks(per, by, "s", hot=hot)
     totals = per.groupBy(*by, "block").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     along = W.partitionBy(*by, F.lit(0)).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     prefix = totals.select(

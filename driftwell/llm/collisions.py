@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from driftwell.llm.common import shared_table
 from driftwell.llm.components import components
-from driftwell.llm.vectors import matrix, unit, usable
+from driftwell.llm.vectors import by_width, matrix, unit, usable
 
 EXPECTED, COUNT = 9.2, 2
 PAIRS = 500_000  # pairs handed over at a time
@@ -36,11 +36,11 @@ def calibrate(vectors: int, limit: float) -> tuple[int, int, float]:
 
 
 def sorted_lists(nodes: DataFrame, bits: int, lines: int, seed: int) -> DataFrame:
-    """(bucket, place, node): list and sign bits, projection, vector; one row per vector and list."""
+    """(width, bucket, place, node): components, list and sign bits, projection, vector; one row per vector and list."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(bits, dtype=np.int64)
-        for batch in batches:
+        for batch in (b for whole in batches for b in by_width(whole, "vector")):
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 points = unit(matrix(part.column("vector"), part.num_rows))
@@ -49,22 +49,23 @@ def sorted_lists(nodes: DataFrame, bits: int, lines: int, seed: int) -> DataFram
                 for line in range(lines):
                     shadow = points @ draw.standard_normal((points.shape[1], bits + 1))
                     bucket = (line << 40) | ((shadow[:, :bits] > 0) @ weights)
-                    yield pa.RecordBatch.from_pydict({"bucket": bucket, "place": shadow[:, bits], "node": node})
+                    width = np.full(len(node), points.shape[1], np.int32)
+                    yield pa.RecordBatch.from_pydict({"width": width, "bucket": bucket, "place": shadow[:, bits], "node": node})
 
-    return nodes.select("node", "vector").mapInArrow(scan, "bucket long, place double, node long")
+    return nodes.select("node", "vector").mapInArrow(scan, "width int, bucket long, place double, node long")
 
 
 def collide(lists: DataFrame, window: float) -> DataFrame:
     """(a, b), a < b: one row per collision."""
-    stream = lists.repartition("bucket").sortWithinPartitions("bucket", "place")
+    stream = lists.repartition("width", "bucket").sortWithinPartitions("width", "bucket", "place")
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, place, node = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+        width, bucket, place, node = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
         for batch in batches:
             old = len(bucket)
-            bucket, place, node = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in ((bucket, "bucket"), (place, "place"), (node, "node")))
+            width, bucket, place, node = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in ((width, "width"), (bucket, "bucket"), (place, "place"), (node, "node")))
             # Buckets are spread so far apart on one axis that windows never cross them.
-            _, rank = np.unique(bucket, return_inverse=True)
+            rank = np.cumsum(np.concatenate([[False], (bucket[1:] != bucket[:-1]) | (width[1:] != width[:-1])])[: len(bucket)])
             axis = rank * 1e4 + np.clip(place, -1e3, 1e3)
             first = np.searchsorted(axis, axis - window)
             right = np.arange(old, len(axis))
@@ -77,7 +78,7 @@ def collide(lists: DataFrame, window: float) -> DataFrame:
                 x, y = node[left], node[right[which]]
                 yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)})
             near = axis >= axis[-1] - window if len(axis) else slice(0, 0)
-            bucket, place, node = bucket[near], place[near], node[near]
+            width, bucket, place, node = width[near], bucket[near], place[near], node[near]
 
     return stream.mapInArrow(sweep, "a long, b long")
 
@@ -93,7 +94,7 @@ def near_pairs(df: DataFrame, limit: float = 0.9, seed: int = 23) -> tuple[DataF
     sides = often.join(nodes.select(F.col("node").alias("a"), F.col("vector").alias("va")), "a").join(nodes.select(F.col("node").alias("b"), F.col("vector").alias("vb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b for whole in batches for b in by_width(whole, "va")):
             x, y = unit(matrix(batch.column("va"), batch.num_rows)), unit(matrix(batch.column("vb"), batch.num_rows))
             score = (x * y).sum(1) if batch.num_rows else np.empty(0)
             keep = score >= limit
@@ -106,8 +107,8 @@ def near_pairs(df: DataFrame, limit: float = 0.9, seed: int = 23) -> tuple[DataF
 def near_duplicates(df: DataFrame, limit: float = 0.9, seed: int = 23) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row.
 
-    Equal vectors link to each other and share the links of their node.  Vectors that are null or zero, hold null or
-    non-finite components or have another number of components link with nothing; repeated rows are rows of their own; a row
+    Equal vectors link to each other and share the links of their node.  Vectors that are null or zero or hold
+    null or non-finite components link with nothing, and vectors of different widths never link; repeated rows are rows of their own; a row
     without vec_id links with nothing and its component is null; no rows give no rows.
     """
     nodes, pairs = near_pairs(df, limit, seed)

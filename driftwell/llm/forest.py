@@ -71,27 +71,29 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, chunk: int = CHUNK, tree
     """query_id, rank (from 1), vec_id and score (cosine) of the k nearest rows found for each row that ``queries`` selects.
 
     Candidates are all rows but those of the query's own vec_id; ties go to the smaller vec_id.  Equal vectors are one node of
-    the forest that keeps its k + 1 smallest ids, which is all a query can use.  Unusable vectors (see ``usable``) take no part;
-    rows repeated in full count once; an empty table gives no rows.
+    the forest that keeps its k + 1 smallest ids, which is all a query can use.  Unusable vectors (see ``usable``) take no part,
+    and a query finds vectors of its own width only; rows repeated in full count once; an empty table gives no rows.
     """
     vectors = shared_table(usable(df).dropDuplicates(["vec_id", "vector"]), "vectors")
     copies = W.partitionBy("vector").orderBy("vec_id")
     kept = vectors.withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1)
-    nodes = shared_table(kept.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "nodes")
-    chunks = max(1, -(-nodes.count() // chunk))
-    rows = nodes.select(F.pmod(F.xxhash64("vector"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(0).alias("role"), "ids", "vector")
-    asked = vectors.where(queries).select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(1).alias("role"), F.array("vec_id").alias("ids"), "vector")
+    nodes = shared_table(kept.groupBy("width", "vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "nodes")
+    # Every width has chunks of its own.
+    widths = shared_table(nodes.groupBy("width").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("chunks")), "widths")
+    rows = nodes.join(widths, "width").select("width", F.pmod(F.xxhash64("vector"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("role"), "ids", "vector")
+    asked = vectors.where(queries).join(widths, "width")
+    asked = asked.select("width", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"), F.array("vec_id").alias("ids"), "vector")
     # Equal queries are asked once per chunk.
-    stream = rows.unionByName(asked).repartition("chunk").sortWithinPartitions("chunk", "role")
+    stream = rows.unionByName(asked).repartition("width", "chunk").sortWithinPartitions("width", "chunk", "role")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, names, forest, points = None, [], [], None, None
         for batch in batches:
-            key = np.stack([batch.column("chunk").to_numpy(), batch.column("role").to_numpy()], 1)
+            key = np.stack([batch.column(c).to_numpy() for c in ("width", "chunk", "role")], 1)
             turns = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
             for a, b in zip(turns[:-1], turns[1:], strict=True):
                 part = batch.slice(a, b - a)
-                now, role = (int(x) for x in key[a])
+                *now, role = key[a].tolist()
                 if now != at:
                     at, held, names, forest = now, [], [], None
                 if role == 0:

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(df: DataFrame, dimensions: int | None = None) -> DataFrame:
-    """vec_id and vector (array of double) of rows whose vector is not null or zero, holds no null, NaN or infinity and has
-    the given number of components (default: the most frequent one, the larger of equals).  Rows without vec_id take no part."""
+def usable(df: DataFrame) -> DataFrame:
+    """vec_id, vector (array of double) and width (its components) of rows whose vector is not null or zero and holds no null,
+    NaN or infinity.  Vectors of different widths are never compared.  Rows without vec_id take no part."""
     vector = F.col("embedding").cast("array<double>")
     fine = F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf")))) & F.exists("vector", lambda x: x != 0)
-    found = df.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector")).where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).where(F.coalesce(fine, F.lit(False)))
-    if dimensions is None:
-        row = found.groupBy(F.size("vector").alias("d")).count().agg(F.max_by("d", F.struct("count", "d"))).first()
-        dimensions = row[0] or 0
-    return found.where(F.size("vector") == dimensions)
+    found = df.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector")).where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull())
+    return found.where(F.coalesce(fine, F.lit(False))).withColumn("width", F.size("vector"))
+
+
+def by_width(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The rows of each width of a list column."""
+    widths = pc.list_value_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    for width in np.unique(widths):
+        yield batch if (widths == width).all() else batch.take(pa.array(np.flatnonzero(widths == width)))
 
 
 def matrix(column: pa.Array, rows: int) -> np.ndarray:

@@ -62,6 +62,22 @@ def test_near_duplicates(spark, rows):
     assert all(x.kept == (x.vec_id == x.component_id) for x in got if x.vec_id is not None)
 
 
+def test_widths_are_compared_within_themselves(spark):
+    r = np.random.default_rng(5)
+    wide = [(i, [float(x) for x in r.standard_normal(4)], 1, "n") for i in range(60)]
+    narrow = [(100 + i, [1.0, 2.0, 3.0 + i * 1e-3], 1, "n") for i in range(4)] + [(200, [1.0, 2.0, 3.0], 1, "n"), (300, [7.0], 1, "n")]
+    frame = spark.createDataFrame(wide + narrow, SCHEMA).repartition(3)
+    got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in collisions.near_duplicates(frame).collect()}
+    assert len(got) == 66 and got[300] == (0, 300, True)
+    assert {got[i] for i in (101, 102, 103, 200)} == {(4, 100, False)} and got[100] == (4, 100, True)
+    points = {i: np.array(v) / np.linalg.norm(v) for i, v, *_ in wide}
+    assert all(got[i][0] <= sum(points[i] @ points[j] >= 0.9 for j in points) - 1 and got[i][1] < 60 for i in points)
+    near = forest.nearest(frame, F.col("vec_id") % 50 == 0, 5).collect()
+    found = {q: [x.vec_id for x in sorted(near, key=lambda x: x["rank"]) if x.query_id == q] for q in (0, 50, 100, 200, 300)}
+    assert found[200] == [100, 101, 102, 103] and found[100] == [200, 101, 102, 103] and found[300] == []
+    assert len(found[0]) == len(found[50]) == 5 and max(found[0] + found[50]) < 60
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert forest.nearest(none, F.col("vec_id") % 50 == 0).count() == 0

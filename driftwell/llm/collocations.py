@@ -2,7 +2,7 @@
 
 The relation of length k holds one entry per occurrence of a frequent phrase of k words: the place where it begins and the code
 of the phrase in its block, which stands for the phrase's number.  Places grow by one from word to word of a piece and by two
-from piece to piece.  A relation is persisted in blocks of up to some million entries sorted by place, so each step is a scan:
+from piece to piece.  A relation is persisted in blocks of up to a million entries sorted by place, so each step is a scan:
 
 1. merge-join a block with itself at the next place: two frequent phrases of k words that overlap give one of k + 1;
 2. group and count: distinct pairs of a block with their number, summed over blocks; pairs met often enough get a number;
@@ -26,7 +26,7 @@ from driftwell.llm.windows import column_bytes
 
 LONGEST, LEAST, BEST = 5, 100, 2000
 SLICE = 16 << 20  # bytes of text looked at together
-BLOCK = 1 << 21  # entries of a block
+BLOCK = 1 << 20  # entries of a block
 
 #: Bytes that end a piece, bytes between the words of a piece.
 ENDS = np.isin(np.arange(256), list(b".,;:!?\x0a\x0b\x0c\x0d"))
@@ -44,7 +44,7 @@ def _steps(places: np.ndarray) -> bytes:
 
 
 def _places(steps: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(steps, np.int32).astype(np.int64))
+    return np.cumsum(np.frombuffer(steps, np.int32), dtype=np.int32)
 
 
 def _rows(block: int, key: dict[str, pa.Array], met: np.ndarray, codes: np.ndarray, places: np.ndarray, counted: int) -> Iterator[pa.RecordBatch]:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from driftwell.functions.numeric import clamp, reasons, round4, round_half_away
 from driftwell.operators.ordered import sequenced
+from driftwell.operators.spectrum import power_bins
 from driftwell.session import cut_lineage
 
 KEY = "session_id"
@@ -142,37 +143,76 @@ def signal_moments(samples: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
+def _hops(t: np.ndarray, start: np.ndarray, own: np.ndarray, min_gap: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Distinct times of a chunk, which of them are starts, the position each one leads to, and how many are the chunk's own."""
+    at = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+    times = t[at]
+    return times, np.logical_or.reduceat(start, at), np.searchsorted(times, times + min_gap), int(own[at].sum())
+
+
 def refractory(candidates: DataFrame, key: str, min_gap: float, chunk: float, tie: str | None = None) -> DataFrame:
     """Greedy selection in time order: a candidate counts if it is at least ``min_gap`` after the last one that counted.
 
-    A candidate that follows the previous candidate by ``min_gap`` or more always counts, so the choice restarts there
-    and the runs between restarts are independent: they are spread over the tasks, sorted on disk if need be, and read
-    in batches with one number of memory. No run is gathered.
+    A candidate that follows the previous one by ``min_gap`` or more always counts; every other one counts if a counting
+    candidate leads to it, that is, if it is the first at least ``min_gap`` later. Chunks of time follow these links in
+    parallel. A chunk without such a start only knows where each possible entry leaves it; these border links are
+    followed by pointer doubling, so one run of any length takes as many rounds as the logarithm of its chunks. No candidates
+    give no rows; equal times count once; rows without key or time are left out.
     """
+    kind = candidates.schema[key].dataType.simpleString()
+    ahead = 3 * min_gap  # a candidate outside its chunk leads at most two gaps into the next, unless that one is a start
+    width = max(chunk, ahead)
     seq = sequenced(candidates, [key], "t_ms", chunk, ["t_ms"], tie=tie)
-    start = F.coalesce(_d("t_ms") - _d("prev_t_ms") >= min_gap, F.lit(True))
-    marked = seq.withColumn("_start", start.cast("long")).drop("idx", "prev_t_ms", "next_t_ms")
-    runs = sequenced(marked, [key], "t_ms", chunk, running={"run": F.col("_start")}, tie=tie).select(key, "run", _d("t_ms").alias("t_ms"))
-    ordered = runs.repartition(key, "run").sortWithinPartitions(key, "run", "t_ms")
+    t = _d("t_ms")
+    home = F.floor(t / width)
+    near = F.when(t < home * width + ahead, F.array(home - 1, home)).otherwise(F.array(home))
+    placed = seq.select(key, t.alias("t"), F.coalesce(t >= _d("prev_t_ms") + min_gap, F.lit(True)).alias("start"), home.alias("home"), F.explode(near).alias("chunk"))
+    lists = placed.groupBy(key, "chunk").agg(F.sort_array(F.collect_list(F.struct("t", "start", (F.col("home") == F.col("chunk")).alias("own")))).alias("a"))
+    chunks = cut_lineage(lists.select(key, "chunk", F.col("a.t").alias("t"), F.col("a.start").alias("start"), F.col("a.own").alias("own")).where("own[0]"))
+
+    def borders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, c, t, start, own in pdf[[key, "chunk", "t", "start", "own"]].itertuples(index=False, name=None):
+                times, starts, leads, n = _hops(t, start, own, min_gap)
+                known = np.flatnonzero(starts[:n])
+                entries = known[-1:] if len(known) else np.flatnonzero(times[:n] <= c * width + ahead)
+                ends = entries.copy()
+                while (inside := ends < n).any():
+                    ends[inside] = leads[ends[inside]]
+                for a, b in zip(entries, ends, strict=True):
+                    if b < len(times) and not starts[b]:
+                        out.append((k, c, None if len(known) else times[a], c + 1, times[b]))
+            yield pd.DataFrame(out, columns=[key, "chunk", "t", "to_chunk", "to_t"]).astype({"t": "float64", "to_t": "float64"})
+
+    links = cut_lineage(chunks.mapInPandas(borders, f"`{key}` {kind}, chunk long, t double, to_chunk long, to_t double"))
+    links = links.withColumn("t", F.when(~F.isnan("t"), F.col("t")))
+    target = [key, F.col("to_chunk").alias("chunk"), F.col("to_t").alias("t")]
+    reached, jump = links.where("t IS NULL").select(*target), links.where("t IS NOT NULL")
+    while not reached.isEmpty() and not jump.isEmpty():
+        reached = cut_lineage(reached.unionByName(reached.join(jump, [key, "chunk", "t"]).select(*target)))
+        onward = jump.select(key, F.col("chunk").alias("to_chunk"), F.col("t").alias("to_t"), F.col("to_chunk").alias("end_chunk"), F.col("to_t").alias("end_t"))
+        jump = cut_lineage(
+            jump.join(onward, [key, "to_chunk", "to_t"]).select(key, "chunk", "t", F.col("end_chunk").alias("to_chunk"), F.col("end_t").alias("to_t"))
+        )
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, last = None, -np.inf
         for pdf in batches:
-            ids, run, t = pdf[key].to_numpy(), pdf["run"].to_numpy(), pdf["t_ms"].to_numpy()
-            new_run = np.r_[True, (ids[1:] != ids[:-1]) | (run[1:] != run[:-1])]
-            kept = []
-            for lo, hi in pairwise([*np.flatnonzero(new_run), len(t)]):
-                if (ids[lo], run[lo]) != current:
-                    current, last = (ids[lo], run[lo]), -np.inf
-                i = lo + np.searchsorted(t[lo:hi], last + min_gap)
-                while i < hi:
-                    kept.append(i)
-                    last = t[i]
-                    i = lo + np.searchsorted(t[lo:hi], last + min_gap)
-            yield pdf.iloc[kept][[key, "t_ms"]]
-
-    kind = candidates.schema[key].dataType.simpleString()
-    return ordered.mapInPandas(pick, f"`{key}` {kind}, t_ms double")
+            ids, kept = [], []
+            for k, t, start, own, entry in pdf[[key, "t", "start", "own", "entry"]].itertuples(index=False, name=None):
+                times, starts, leads, n = _hops(t, start, own, min_gap)
+                begins = np.flatnonzero(starts[:n])
+                if entry == entry:
+                    begins = np.union1d(begins, np.searchsorted(times, [entry]))
+                for i, end in pairwise([*begins, n]):
+                    while i < end:
+                        kept.append(times[i])
+                        ids.append(k)
+                        i = leads[i]
+            yield pd.DataFrame({key: pd.Series(ids, dtype=pdf[key].dtype), "t_ms": pd.Series(kept, dtype="float64")})
+
+    entered = chunks.join(reached.select(key, "chunk", F.col("t").alias("entry")), [key, "chunk"], "left")
+    return entered.withColumn("entry", F.coalesce("entry", F.lit(math.nan))).mapInPandas(pick, f"`{key}` {kind}, t_ms double")
 
 
 MIN_STEP_MS, MAX_STEP_MS = 250.0, 2000.0
@@ -512,29 +552,23 @@ DOMINANT_BAND = (3.0, 12.0)
 def tremor_spectrum(acc: DataFrame, key: str = KEY, rate_hz: float = 50.0, chunk: float = CHUNK, tie: str | None = None) -> DataFrame:
     """Dominant 3-12 Hz frequency, band-power ratios of the Hann-weighted signal and true band RMS.
 
-    Each sample is multiplied with the bins of 0.5-20 Hz of its zero-padded length and the products are summed map-side
-    per (recording, bin); total power comes from Parseval, so no bin outside the bands is computed.  A recording of fewer than
-    10 samples has null features and the status 'insufficient_samples'.
+    The bins of 0.5-20 Hz come from a four-step transform of the zero-padded recording, so a recording of any length is spread over
+    tasks; total power comes from Parseval. A recording of fewer than 10 samples has null features and the status
+    'insufficient_samples'.
     """
     sig = with_magnitude(acc)
     moments = signal_moments(sig, key, "mag")
     stats = moments.where("n_samples >= 10").withColumn("size", F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n_samples").cast("double")))))
     seq = sequenced(sig.select(key, "t_ms", "mag", *([tie] if tie else [])), [key], "t_ms", chunk, tie=tie).join(stats, key)
-    i = _d("idx")
     dev = F.col("mag") - F.col("mean")
-    hann = dev * 0.5 * (1 - F.cos(2 * math.pi * i / (F.col("n_samples") - 1)))
-    bins = F.sequence(F.ceil(F.lit(0.5 / rate_hz) * F.col("size")), F.floor(F.lit(20.0 / rate_hz) * F.col("size")))
-    waves = seq.select(key, "size", "n_samples", i.alias("i"), dev.alias("d"), hann.alias("w"), F.explode(bins).alias("bin"))
-    angle = 2 * math.pi * ((F.col("i") * F.col("bin")) % F.col("size")) / F.col("size")
-    spec = waves.groupBy(key, "size", "n_samples", "bin").agg(
-        F.sum(F.col("w") * F.cos(angle)).alias("wr"), F.sum(F.col("w") * F.sin(angle)).alias("wi"), F.sum(F.col("d") * F.cos(angle)).alias("dr"), F.sum(F.col("d") * F.sin(angle)).alias("di")
-    )
+    hann = dev * 0.5 * (1 - F.cos(2 * math.pi * _d("idx") / (F.col("n_samples") - 1)))
+    spec = power_bins(seq.select(key, "size", "n_samples", "idx", hann.alias("w"), dev.alias("d")), [key, "size", "n_samples"], "size", "idx", ["w", "d"], 0.5 / rate_hz, 20.0 / rate_hz)
     freq = F.col("bin") * rate_hz / F.col("size")
     spec = spec.withColumns(
         {
             "freq": freq,
-            "power": 2 * (F.col("wr") * F.col("wr") + F.col("wi") * F.col("wi")) / F.col("size"),
-            "raw": 2 * (F.col("dr") * F.col("dr") + F.col("di") * F.col("di")) / F.col("size"),
+            "power": 2 * F.col("w") / F.col("size"),
+            "raw": 2 * F.col("d") / F.col("size"),
         }
     )
     inside = F.col("freq").between(*DOMINANT_BAND)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftwell.operators import signals as sg
 from driftwell.operators.ordered import sequenced
+from driftwell.operators.spectrum import power_bins
 
 
 def test_chunked_neighbours_equal_one_window(spark):
@@ -35,6 +36,67 @@ def test_refractory_equals_greedy_loop(spark):
     assert got == want
 
 
+def _greedy(times, gap):
+    out, last = [], -math.inf
+    for t in times:
+        if t >= last + gap:
+            out.append(float(t))
+            last = t
+    return out
+
+
+@pytest.mark.parametrize("spread", [20, 200, 600])
+def test_refractory_follows_runs_over_many_chunks(spark, spread):
+    rng = random.Random(spread)
+    recordings = {}
+    for name in ("a", "b", "c"):
+        t, times = rng.randint(-5000, 0), []
+        for _ in range(600):
+            t += rng.randint(0, spread)
+            times.append(t)
+        recordings[name] = times
+    df = spark.createDataFrame([(k, t) for k, times in recordings.items() for t in times], "session_id string, t_ms long")
+    got = sorted(map(tuple, sg.refractory(df, "session_id", 250.0, 800.0).collect()))
+    assert got == [(k, t) for k in sorted(recordings) for t in _greedy(recordings[k], 250)]
+    assert sg.refractory(df.where("false"), "session_id", 250.0, 800.0).count() == 0
+
+
+def test_one_run_without_a_pause_is_spread_over_tasks(spark):
+    n = 300_000
+    df = spark.range(n).select(F.lit("r").alias("session_id"), (F.col("id") * 9 + F.pmod(F.xxhash64("id"), F.lit(9))).alias("t_ms"))
+    # Without this setting adaptive execution joins the few megabytes of the test into one task.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sg.refractory(df, "session_id", 250.0, 20_000.0)
+        rows = got.select("t_ms", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    times = sorted(r["t_ms"] for r in df.select("t_ms").collect())
+    assert sorted(r["t_ms"] for r in rows) == _greedy(times, 250)
+    tasks = {}
+    for r in rows:
+        tasks[r["p"]] = tasks.get(r["p"], 0) + 1
+    assert max(tasks.values()) < 0.6 * len(rows)
+
+
+def test_spectrum_of_split_series_equals_numpy(spark):
+    rng = np.random.default_rng(4)
+    lengths = {"a": 16, "b": 500, "c": 3000}
+    series = {k: rng.normal(size=(2, n)) for k, n in lengths.items()}
+    rows = [(k, 1 << (n - 1).bit_length(), i, *map(float, series[k][:, i])) for k, n in lengths.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, size long, i long, u double, v double")
+    for single, block in ((4096, 1 << 16), (64, 128), (8, 1)):
+        got = {(r["k"], r["bin"]): (r["u"], r["v"]) for r in power_bins(df, ["k", "size"], "size", "i", ["u", "v"], 0.01, 0.5, single, block).collect()}
+        want = {}
+        for k, n in lengths.items():
+            size = 1 << (n - 1).bit_length()
+            power = np.abs(np.fft.rfft(series[k], size, axis=1)) ** 2
+            want |= {(k, b): tuple(power[:, b]) for b in range(math.ceil(0.01 * size), size // 2 + 1)}
+        assert got.keys() == want.keys()
+        np.testing.assert_allclose([got[b] for b in want], list(want.values()), rtol=1e-9, atol=1e-9)
+    assert power_bins(df.where("false"), ["k", "size"], "size", "i", ["u", "v"], 0.01, 0.5).count() == 0
+
+
 def test_step_regularity_equals_numpy(spark):
     rng = np.random.default_rng(1)
     x = np.sin(np.arange(300) * 2 * np.pi / 60) + rng.normal(0, 0.1, 300)

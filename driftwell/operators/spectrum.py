@@ -46,22 +46,21 @@ def power_bins(
 
     def transform_columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for r in range(len(pdf)):
-                row = pdf.iloc[r]
-                total, cols, col = int(row[size]), int(row["_cols"]), int(row["_n2"])
-                rows = total // cols
-                x = np.zeros((len(values), rows))
-                for j in range(len(values)):
-                    x[j, np.asarray(row["_at"])] = row[f"_v{j}"]
+            source, pieces = [], []
+            arrays = zip(*[pdf[f"_v{j}"] for j in range(len(values))], strict=True)
+            for r, (total, cols, col, at, data) in enumerate(zip(pdf[size], pdf["_cols"], pdf["_n2"], pdf["_at"], arrays, strict=True)):
+                x = np.zeros((len(values), int(total) // cols))
+                x[:, at] = data
                 # Real input: rows above the middle are conjugates of those below.
                 half = np.fft.rfft(x, axis=1)
-                half *= np.exp(-2j * math.pi * col / total * np.arange(half.shape[1]))
+                if col:
+                    half *= np.exp(-2j * math.pi * col / total * np.arange(half.shape[1]))
                 width = max(1, block // cols)
-                parts = [np.ascontiguousarray(half[:, lo : lo + width]).view(np.float64).ravel() for lo in range(0, half.shape[1], width)]
-                out = pd.DataFrame({"_n2": col, "_cols": cols, "_block": range(len(parts)), "_x": parts})
-                for k in keys:
-                    out[k] = pd.Series([row[k]] * len(parts), dtype=pdf[k].dtype)
-                yield out
+                for b, lo in enumerate(range(0, half.shape[1], width)):
+                    source.append(r)
+                    pieces.append((b, np.ascontiguousarray(half[:, lo : lo + width]).view(np.float64).ravel()))
+            out = pdf[[*keys, "_n2", "_cols"]].iloc[source].reset_index(drop=True)
+            yield out.assign(_block=[b for b, _ in pieces], _x=[x for _, x in pieces])
 
     pieces = columns.mapInPandas(transform_columns, f"{head}, _n2 long, _cols long, _block int, _x array<double>")
     # A block gathers one piece per column: at most ``block`` values, or one row of the matrix.
@@ -70,25 +69,23 @@ def power_bins(
 
     def transform_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for r in range(len(pdf)):
-                row = pdf.iloc[r]
-                total, cols = int(row[size]), int(row["_cols"])
+            found = []
+            for total, cols, number, at, flat in zip(*[pdf[c] for c in (size, "_cols", "_block", "_at", "_x")], strict=True):
+                total = int(total)
                 length = total // cols
-                at = np.asarray(row["_at"])
-                present = np.asarray(row["_x"], dtype=np.float64).view(np.complex128).reshape(len(at), len(values), -1)
+                present = np.asarray(flat, dtype=np.float64).view(np.complex128).reshape(len(at), len(values), -1)
                 x = np.zeros((cols, *present.shape[1:]), dtype=np.complex128)
                 x[at] = present
                 power = np.abs(np.fft.fft(x, axis=0)) ** 2
-                k1 = int(row["_block"]) * max(1, block // cols) + np.arange(x.shape[2])
+                k1 = number * max(1, block // cols) + np.arange(x.shape[2])
                 bins = k1[None, :] + length * np.arange(cols)[:, None]
                 mirrored = np.broadcast_to((k1 > 0) & (2 * k1 < length), bins.shape)
                 lo, hi = math.ceil(low * total), math.floor(high * total)
                 own = (bins >= lo) & (bins <= hi)
                 other = mirrored & (total - bins >= lo) & (total - bins <= hi)
-                out = {k: [row[k]] for k in keys} | {"_bin": [np.r_[bins[own], total - bins[other]]]}
-                for j in range(len(values)):
-                    out[f"_p{j}"] = [np.r_[power[:, j][own], power[:, j][other]]]
-                yield pd.DataFrame(out).astype({k: pdf[k].dtype for k in keys})
+                found.append([np.r_[bins[own], total - bins[other]], *[np.r_[p[own], p[other]] for p in power.transpose(1, 0, 2)]])
+            names = ["_bin", *[f"_p{j}" for j in range(len(values))]]
+            yield pdf[keys].assign(**{name: [f[j] for f in found] for j, name in enumerate(names)})
 
     found = rows.mapInPandas(transform_rows, f"{head}, _bin array<long>, " + ", ".join(f"_p{j} array<double>" for j in range(len(values))))
     zipped = F.arrays_zip("_bin", *[f"_p{j}" for j in range(len(values))])

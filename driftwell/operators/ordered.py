@@ -20,16 +20,20 @@ def sequenced(
     neighbours: list[str] | None = None,
     running: dict[str, Column] | None = None,
     tie: str | None = None,
+    carried: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``idx`` (zero-based position), ``prev_*`` / ``next_*`` of the named columns, and running totals.
 
-    ``order`` must be numeric; ``tie`` makes the order total.
+    ``order`` must be numeric; ``tie`` makes the order total. ``carried`` has one row per series; its columns reach the rows
+    with the borders of their chunk, so no join of samples is partitioned by series alone. Series it lacks drop out, as do
+    rows without key or position.
     """
     cols, sums = neighbours or [], running or {}
     part = [*keys, "_chunk"]
     sort = [order] + ([tie] if tie else [])
     rank = F.struct(*sort)
-    d = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)))
+    base = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)))
+    d = base
     if sums:
         d = d.withColumns({f"_in_{n}": e for n, e in sums.items()})
     w = W.partitionBy(*part).orderBy(*sort)
@@ -42,12 +46,11 @@ def sequenced(
             **{f"_cum_{n}": F.sum(f"_in_{n}").over(upto) for n in sums},
         }
     )
-    packed = F.struct(*cols) if cols else F.struct(F.lit(0).alias("none"))
-    base = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)))
+    border = F.struct(*cols) if cols else F.struct(F.lit(0).alias("none"))
     edges = base.groupBy(*part).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.min_by(packed, rank).alias("_first"),
-        F.max_by(packed, rank).alias("_last"),
+        F.min_by(border, rank).alias("_first"),
+        F.max_by(border, rank).alias("_last"),
         *[F.sum(e).alias(f"_tot_{n}") for n, e in sums.items()],
     )
     along = W.partitionBy(*keys).orderBy("_chunk")
@@ -60,6 +63,10 @@ def sequenced(
         F.lead("_first").over(along).alias("_to"),
         *[F.coalesce(F.sum(f"_tot_{n}").over(before), F.lit(0)).alias(f"_base_{n}") for n in sums],
     )
+    extra = []
+    if carried is not None:
+        edges = edges.join(carried, keys)
+        extra = [c for c in carried.columns if c not in keys]
     joined = d.join(edges, part)
     out = {"idx": F.col("_offset") + F.col("_rn") - 1}
     for c in cols:
@@ -67,4 +74,4 @@ def sequenced(
         out[f"next_{c}"] = F.when(F.col("_rn") == F.col("_size"), F.col(f"_to.{c}")).otherwise(F.col(f"_lead_{c}"))
     for n in sums:
         out[n] = F.col(f"_base_{n}") + F.coalesce(F.col(f"_cum_{n}"), F.lit(0))
-    return joined.select(*df.columns, *[e.alias(n) for n, e in out.items()])
+    return joined.select(*df.columns, *extra, *[e.alias(n) for n, e in out.items()])

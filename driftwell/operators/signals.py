@@ -222,7 +222,7 @@ def walking_peaks(acc: DataFrame, key: str = KEY, chunk: float = CHUNK, tie: str
     """Accepted step peaks: local maxima above ``prominence`` deviations with a 250 ms refractory time."""
     sig = with_magnitude(acc)
     stats = signal_moments(sig, key, "mag")
-    seq = sequenced(sig, [key], "t_ms", chunk, ["mag"], tie=tie).join(stats, key)
+    seq = sequenced(sig, [key], "t_ms", chunk, ["mag"], tie=tie, carried=stats)
     v = F.col("mag")
     peak = (v > F.col("prev_mag")) & (v > F.col("next_mag")) & (v - F.col("mean") > prominence * F.col("sd")) & (F.col("n_samples") >= 20)
     candidates = cut_lineage(seq.where(peak).select(key, "t_ms", *([tie] if tie else [])))
@@ -284,9 +284,9 @@ def autocorr_at(samples: DataFrame, lags: DataFrame, key: str = KEY, chunk: floa
 
     Samples meet their partner by an equi-join on (recording, position + lag): hash-spread, not one recording per task.
     """
-    seq = sequenced(samples, [key], "t_ms", chunk, tie=tie).select(key, "idx", "value")
     stats = samples.groupBy(key).agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n_samples"))
-    base = seq.join(stats.join(lags, key), key).withColumn("dev", F.col("value") - F.col("mean"))
+    seq = sequenced(samples.select(key, "t_ms", "value", *([tie] if tie else [])), [key], "t_ms", chunk, tie=tie, carried=stats.join(lags, key))
+    base = seq.withColumn("dev", F.col("value") - F.col("mean"))
     partner = base.select(key, (F.col("idx") - F.col("lag")).alias("idx"), F.col("dev").alias("dev_b"))
     acf = base.join(partner, [key, "idx"]).groupBy(key, "lag", "n_samples").agg(
         F.sum(F.col("dev") * F.col("dev_b")).alias("num"), F.sum(F.col("dev") * F.col("dev")).alias("den")
@@ -338,11 +338,10 @@ def stance_swing(force: DataFrame, key: str, value: str, rate_hz: float = 100.0,
     """
     lo, hi = int(0.2 * rate_hz), int(2.0 * rate_hz)
     peak = force.groupBy(key).agg(F.max(value).alias("peak"), F.count(F.lit(1)).alias("n"))
-    flags = force.select(key, "idx", F.col(value).alias("v")).join(peak.where((F.col("peak") > 0) & (F.col("n") >= 10)), key).select(
-        key, "idx", (F.col("v") > threshold * F.col("peak")).cast("int").alias("on")
-    )
-    seq = sequenced(flags.withColumnRenamed("idx", "pos"), [key], "pos", chunk, ["on"])
-    change = F.col("on") - F.coalesce(F.col("prev_on"), F.lit(0))
+    loads = force.select(key, F.col("idx").alias("pos"), F.col(value).alias("v"))
+    seq = sequenced(loads, [key], "pos", chunk, ["v"], carried=peak.where((F.col("peak") > 0) & (F.col("n") >= 10)))
+    on, before = ((F.col(c) > threshold * F.col("peak")).cast("int") for c in ("v", "prev_v"))
+    change = on - F.coalesce(before, F.lit(0))
     crossings = seq.withColumn("change", change).where("change <> 0").select(key, "pos", "change")
     near = sequenced(crossings, [key], "pos", chunk, ["pos"])
     stance, swing = F.col("pos") - F.col("prev_pos"), F.col("next_pos") - F.col("pos")
@@ -414,8 +413,8 @@ def blink_features(ear: DataFrame, key: str = KEY, chunk: float = CHUNK, tie: st
     seq = sequenced(flags.select(key, "t_ms", "closed", *extra), [key], "t_ms", chunk, ["closed"], tie=tie)
     span = ear.groupBy(key).agg(F.max("t_ms").alias("last_t"), (F.max("t_ms") - F.min("t_ms")).alias("span"), F.count(F.lit(1)).alias("n"))
     border = seq.where((F.col("closed") != F.col("prev_closed")) | (F.col("prev_closed").isNull() & (F.col("closed") == 1)))
-    ends = sequenced(border.select(key, "t_ms", "closed", *extra), [key], "t_ms", chunk, ["t_ms"], tie=tie).where("closed = 1")
-    blinks = ends.join(span, key).withColumn("dur", _d(F.coalesce("next_t_ms", "last_t")) - _d("t_ms")).where(F.col("dur").between(50, 600))
+    ends = sequenced(border.select(key, "t_ms", "closed", *extra), [key], "t_ms", chunk, ["t_ms"], tie=tie, carried=span).where("closed = 1")
+    blinks = ends.withColumn("dur", _d(F.coalesce("next_t_ms", "last_t")) - _d("t_ms")).where(F.col("dur").between(50, 600))
     seq2 = sequenced(blinks.select(key, "t_ms", "dur", *extra), [key], "t_ms", chunk, ["t_ms"], tie=tie)
     gap = (_d("t_ms") - _d("prev_t_ms")) / 1000.0
     ibi = F.when(gap > 0, gap)
@@ -559,7 +558,7 @@ def tremor_spectrum(acc: DataFrame, key: str = KEY, rate_hz: float = 50.0, chunk
     sig = with_magnitude(acc)
     moments = signal_moments(sig, key, "mag")
     stats = moments.where("n_samples >= 10").withColumn("size", F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n_samples").cast("double")))))
-    seq = sequenced(sig.select(key, "t_ms", "mag", *([tie] if tie else [])), [key], "t_ms", chunk, tie=tie).join(stats, key)
+    seq = sequenced(sig.select(key, "t_ms", "mag", *([tie] if tie else [])), [key], "t_ms", chunk, tie=tie, carried=stats)
     dev = F.col("mag") - F.col("mean")
     hann = dev * 0.5 * (1 - F.cos(2 * math.pi * _d("idx") / (F.col("n_samples") - 1)))
     spec = power_bins(seq.select(key, "size", "n_samples", "idx", hann.alias("w"), dev.alias("d")), [key, "size", "n_samples"], "size", "idx", ["w", "d"], 0.5 / rate_hz, 20.0 / rate_hz)

@@ -36,6 +36,21 @@ def test_refractory_equals_greedy_loop(spark):
     assert got == want
 
 
+def test_samples_are_never_partitioned_by_recording_alone(spark):
+    df = spark.range(5000).select((F.col("id") % 2).alias("session_id"), (F.col("id") * 20).alias("t_ms"), *[F.sin(F.col("id") * 0.7).alias(c) for c in ("ax", "ay", "az")])
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        seq = sequenced(sg.with_magnitude(df), ["session_id"], "t_ms", 1000.0, ["mag"], carried=sg.signal_moments(sg.with_magnitude(df), "session_id", "mag"))
+        plan = seq._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    # The one join on the recording alone adds statistics to the rows of chunks, which lie below the join with the samples.
+    assert len(joins) == 2 and "_chunk" in joins[0] and "_chunk" not in joins[1]
+    assert seq.where(F.abs("mean") >= 0).count() == 5000
+
+
 def _greedy(times, gap):
     out, last = [], -math.inf
     for t in times:

@@ -56,11 +56,19 @@ def _read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
         raise
 
 
+def touched(batch: DataFrame, column: str) -> list:
+    """The distinct values of a partition column in a batch, for use as literals: a filter on literals selects folders
+    before anything is read, which a join does not. The column must have few values whatever the input: days, or a fixed
+    number of buckets."""
+    return [r[0] for r in batch.select(column).distinct().where(F.col(column).isNotNull()).collect()]
+
+
 class DailyMedians:
     """Recomputes the median of every (participant, day) a batch touches, late ones included.
 
-    Accepted sessions are stored partitioned by date; a batch reads only the dates it touches and replaces their
-    partitions in the result, so replaying a batch gives the same files.
+    Accepted sessions are stored partitioned by date; a batch reads only the folders of the dates it touches and replaces
+    their partitions in the result, so replaying a batch gives the same files. Sessions without a timestamp have no day and
+    are left out; a batch without sessions changes nothing.
     """
 
     def __init__(self, sessions_path: str, result_path: str):
@@ -70,12 +78,15 @@ class DailyMedians:
         spark = batch.sparkSession
         new = batch.withColumn("date", F.to_date("timestamp")).dropDuplicates(["event_id"])
         # Partitions are replaced whole, so every participant of a touched date is recomputed; other dates are not read.
-        touched = new.select("participant_id", "date").distinct()
-        days = touched.select("date").distinct()
-        stored = _read(spark, self.sessions_path, new.select(*[c for c in new.columns if c != "date"], "date")).join(days, "date", "left_semi")
+        days = touched(new, "date")
+        if not days:
+            return
+        on_days = F.col("date").isin(days)
+        new = new.where(on_days)
+        stored = _read(spark, self.sessions_path, new.select(*[c for c in new.columns if c != "date"], "date")).where(on_days)
         fresh = new.join(stored.select("event_id", "date"), ["event_id", "date"], "left_anti")
         fresh.select(*stored.columns).write.mode("append").partitionBy("date").parquet(self.sessions_path)
-        current = spark.read.schema(stored.schema).parquet(self.sessions_path).join(days, "date", "left_semi")
+        current = spark.read.schema(stored.schema).parquet(self.sessions_path).where(on_days)
         result = dy.daily_medians(current.where(dy.passes_quality(current)), ["participant_id", "modality", "date"], ["value", "quality_score"])
         result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(self.result_path)
 
@@ -102,21 +113,31 @@ def latest_rows(df: DataFrame, keys: list[str], version: str = "batch_id") -> Da
 
 
 class UpsertSink:
-    """Server-wins upsert: a batch adds only the sessions the store does not have. One partition per batch keeps replays
-    idempotent, and the audit of each item is written beside it."""
+    """Server-wins upsert: a batch adds only the sessions the store does not have.
+
+    The store is partitioned by a bucket of the key's hash and by batch. A batch reads the folders of the buckets its keys fall
+    into, and a replayed batch replaces its own rows; the audit of each item is written beside it. ``buckets`` belongs to the
+    store and must not change; more of them let a small batch read less and write more files. A null key matches nothing
+    and is kept once per batch.
+    """
 
-    def __init__(self, store_path: str, audit_path: str, key: str = "session_id"):
-        self.store_path, self.audit_path, self.key = store_path, audit_path, key
+    def __init__(self, store_path: str, audit_path: str, key: str = "session_id", buckets: int = 64):
+        self.store_path, self.audit_path, self.key, self.buckets = store_path, audit_path, key, buckets
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        like = batch.withColumn("batch_id", F.lit(batch_id))
-        server = _read(spark, self.store_path, like).where(F.col("batch_id") != batch_id).drop("batch_id")
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
         first = batch.groupBy(self.key).agg(F.min(F.struct(*[c for c in batch.columns if c != self.key])).alias("_r")).select(self.key, "_r.*")
-        audit = sy.sync_audit(sy.reconcile(first, server, self.key), self.key)
-        fresh = first.join(server.select(self.key), self.key, "left_anti")
-        for df, path in ((audit, self.audit_path), (fresh, self.store_path)):
-            df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        like = batch.withColumns({"bucket": bucket, "batch_id": F.lit(batch_id)})
+        hit = touched(like, "bucket")
+        if not hit:
+            return
+        server = _read(spark, self.store_path, like).where(F.col("bucket").isin(hit) & (F.col("batch_id") != batch_id)).drop("bucket", "batch_id")
+        audit = sy.sync_audit(sy.reconcile(first, server, self.key), self.key).withColumn("batch_id", F.lit(batch_id))
+        fresh = first.join(server.select(self.key), self.key, "left_anti").withColumns({"bucket": bucket, "batch_id": F.lit(batch_id)})
+        audit.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(self.audit_path)
+        by_bucket = fresh.repartition("bucket")  # one file per bucket and batch
+        by_bucket.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch_id").parquet(self.store_path)
 
 
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:

@@ -121,6 +121,42 @@ def test_upsert_is_insert_if_absent_and_replayable(spark, tmp_path):
     assert {(r["batch_id"], r["resolution"]): r["count"] for r in audit} == {(0, "local_inserted"): 20, (1, "server_wins"): 20}
 
 
+def _unreadable(folder):
+    folder.mkdir(parents=True)
+    (folder / "part-0.parquet").write_bytes(b"not a table")
+
+
+def test_a_batch_opens_only_the_folders_it_touches(spark, tmp_path):
+    rows = spark.createDataFrame(_rows(6), SESSION)
+    medians = jobs.DailyMedians(str(tmp_path / "sessions"), str(tmp_path / "medians"))
+    medians(rows.limit(0), 0)
+    _unreadable(tmp_path / "sessions" / "date=1999-01-01")
+    medians(rows, 1)
+    medians(spark.createDataFrame(_rows(6, 1), SESSION), 2)
+    assert spark.read.schema("event_id long, date date").parquet(str(tmp_path / "sessions")).where("date >= '2024-01-01'").count() == 12
+    with pytest.raises(Exception, match="1999-01-01|not a Parquet file"):
+        spark.read.schema("event_id long, date date").parquet(str(tmp_path / "sessions")).agg(F.max("event_id")).collect()
+
+    store = jobs.UpsertSink(str(tmp_path / "store"), str(tmp_path / "audit"), buckets=1000)
+    few = rows.where("session_id IN ('s1', 's2')")
+    store(few.limit(0), 0)
+    _unreadable(tmp_path / "store" / "bucket=1001" / "batch_id=0")
+    store(few, 1)
+    store(few, 2)
+    audit = spark.read.parquet(str(tmp_path / "audit")).groupBy("batch_id", "resolution").count().collect()
+    assert {(r["batch_id"], r["resolution"]): r["count"] for r in audit} == {(1, "local_inserted"): 2, (2, "idempotent_match"): 2}
+
+
+def test_null_keys_and_days_have_a_defined_place(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, "typing", None, 1.0, 0.9, None, "k"), (2, 1, "typing", dt.datetime(2024, 1, 1), 2.0, 0.9, "s", "k")], SESSION)
+    jobs.DailyMedians(str(tmp_path / "sessions"), str(tmp_path / "medians"))(rows, 0)
+    assert [r["value"] for r in spark.read.parquet(str(tmp_path / "medians")).collect()] == [2.0]
+    store = jobs.UpsertSink(str(tmp_path / "store"), str(tmp_path / "audit"))
+    store(rows, 0)
+    store(rows, 0)
+    assert sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "store")).collect()) == [1, 2]
+
+
 def test_ingest_dedup(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame(_rows(20) + _rows(20), SESSION).write.parquet(src)

@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import math
+import sys
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +17,10 @@ from driftwell.functions.numeric import round4, round_half_away
 from driftwell.operators.orderstats import HOT, in_blocks
 
 
+# Helpers of Python stages travel by value: workers need not have the package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def score_counts(df: DataFrame, label: str, score: str, by: list[str], hot: int = HOT) -> DataFrame:
     """Positives and negatives per distinct score, with the running counts of lower scores.
 
@@ -106,40 +115,94 @@ def brier(df: DataFrame, label: str, score: str) -> DataFrame:
 
 # ---- bootstrap -------------------------------------------------------------------------------------------------
 
-def poisson_weight(*seed: Column) -> Column:
-    """Poisson(1) draw from a hash: the same row and replicate always weigh the same, however data is partitioned."""
-    text = F.concat_ws(":", *[c.cast("string") for c in seed])
-    u = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    total, steps = 0.0, []
-    for k in range(9):
-        total += math.exp(-1) / math.factorial(k)
-        steps.append(total)
-    out = F.lit(0)
-    for cdf in steps:
-        out = out + F.when(u >= cdf, 1).otherwise(0)
-    return out
+def poisson_cdf(steps: int = 9) -> np.ndarray:
+    """Cumulative Poisson(1) probabilities of 0, 1, ...: a uniform number weighs as many as it reaches."""
+    return np.cumsum([math.exp(-1) / math.factorial(k) for k in range(steps)])
+
+
+def uniforms(key: Column, n: int, seed: int) -> Column:
+    """One number in [0, 1) per replicate, hashed from key, replicate and seed: the same however data is partitioned."""
+
+    def draw(rep: Column) -> Column:
+        text = F.concat_ws(":", key.cast("string"), rep.cast("string"), F.lit(str(seed)))
+        return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+    return F.transform(F.sequence(F.lit(1), F.lit(n)), draw)
+
+
+def _tally(batches: Iterator[pd.DataFrame], n: int, rows: int = 256) -> Iterator[pd.DataFrame]:
+    """Counters of all replicates over one range of scores, read in order.
+
+    Per model: the first and the last score of the range as borders, because other ranges may share them, and everything between
+    as one segment with the wins inside it.
+    """
+    cdf = poisson_cdf()
+    out, model, opened, closed, segment = [], None, None, 0, None
+
+    def close() -> None:
+        nonlocal closed, segment
+        s, pos, neg = opened
+        if not closed:
+            out.append((model, s, 0, pos, neg, np.zeros(n)))
+        else:
+            low, p, q, wins = segment or (s, 0, 0, 0.0)
+            segment = (low, p + pos, q + neg, wins + pos * (2.0 * q + neg))
+        closed += 1
+
+    def finish() -> None:
+        if opened is not None:
+            out.append((model, opened[0], 0, *opened[1:], np.zeros(n)))
+            if segment is not None:
+                out.append((model, segment[0], 1, *segment[1:]))
+
+    for pdf in batches:
+        for at in range(0, len(pdf), rows):
+            part = pdf.iloc[at : at + rows]
+            m, s, y = part["model"].to_numpy(), part["s"].to_numpy(), part["y"].to_numpy()
+            w = np.searchsorted(cdf, np.stack(part["u"].to_numpy()), side="right")
+            starts = np.flatnonzero(np.r_[True, (m[1:] != m[:-1]) | (s[1:] != s[:-1])])
+            pos, neg = (np.add.reduceat(w * (y == label)[:, None], starts) for label in (1, 0))
+            for i, p, q in zip(starts, pos, neg, strict=True):
+                if opened is not None and model == m[i] and opened[0] == s[i]:
+                    opened = (opened[0], opened[1] + p, opened[2] + q)
+                    continue
+                if model == m[i]:
+                    close()
+                else:
+                    finish()
+                    model, closed, segment = m[i], 0, None
+                opened = (s[i], p, q)
+    finish()
+    yield pd.DataFrame(out, columns=["model", "s", "segment", "pos", "neg", "wins"])
 
 
 def bootstrap_auc_diff(df: DataFrame, key: str, label: str, score_a: str, score_b: str, n: int = 1000, seed: int = 42) -> DataFrame:
     """Mean and 95 % interval of AUC(a) - AUC(b) over ``n`` Poisson resamples.
 
-    Replicates are generated next to their row and summed map-side per (replicate, model, score), so the shuffle carries
-    n x 2 sums per distinct score of a task.  Scores are compared as they are: rounding them would make ties.
+    Rows are cut into ranges of (model, score, hash of key), so a score that many rows share is spread over several. A task reads its
+    range once and holds an array of counters for all replicates; at most three rows of counters per range and model go
+    on to the prefix sums over ranges. Scores are compared as they are: rounding them would make ties. A null score is
+    the lowest, not-a-number the highest; a null label counts in neither class; a replicate without both classes drops out.
     """
-    models = F.array(F.struct(F.lit("a").alias("model"), F.col(score_a).cast("double").alias("s")), F.struct(F.lit("b").alias("model"), F.col(score_b).cast("double").alias("s")))
-    reps = F.explode(F.sequence(F.lit(1), F.lit(n)))
-    drawn = (
-        df.select(key, label, score_a, score_b, reps.alias("rep"))
-        .withColumn("w", poisson_weight(F.col(key), F.col("rep"), F.lit(seed)))
-        .where("w > 0")
-        .select(label, "rep", "w", F.inline(models))
-    )
-    per = drawn.groupBy("rep", "model", "s").agg(
-        F.sum(F.when(F.col(label) == 1, F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 0, F.col("w")).otherwise(0)).alias("neg")
+    def score(c: str) -> Column:
+        v = F.coalesce(F.col(c).cast("double"), F.lit(-math.inf))
+        return F.when(F.isnan(v), F.lit(math.inf)).otherwise(v)
+
+    models = F.array(*[F.struct(F.lit(m).alias("model"), score(c).alias("s")) for m, c in (("a", score_a), ("b", score_b))])
+    rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(label).cast("double"), F.lit(-1.0)).alias("y"), F.inline(models)).withColumn("salt", F.xxhash64("key"))
+    # As many ranges as the session has shuffle partitions: hashing n times per row is worth a task for few bytes.
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(ranges, "model", "s", "salt").sortWithinPartitions("model", "s").select("model", "s", "y", uniforms(F.col("key"), n, seed).alias("u"))
+    counted = ordered.mapInPandas(lambda batches: _tally(batches, n), "model string, s double, segment int, pos array<long>, neg array<long>, wins array<double>")
+    per = counted.select("model", "s", "segment", F.posexplode(F.arrays_zip("pos", "neg", "wins")).alias("rep", "c")).groupBy("rep", "model", "s", "segment").agg(
+        *[F.sum(f"c.{c}").alias(c) for c in ("pos", "neg", "wins")]
     )
-    below = W.partitionBy("rep", "model").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
-    per = per.withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    auc = per.groupBy("rep", "model").agg(auc_expr().alias("auc"), F.sum("pos").alias("p"), F.sum("neg").alias("m")).where("p > 0 AND m > 0")
+    below = W.partitionBy("rep", "model").orderBy("s").rowsBetween(W.unboundedPreceding, -1)  # at most three rows per range
+    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
+    inside = F.when(F.col("segment") == 1, F.col("wins")).otherwise(pos * neg)
+    per = per.withColumn("won", inside + 2 * pos * F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    auc = per.groupBy("rep", "model").agg(F.sum("won").alias("won"), F.sum(pos).alias("p"), F.sum(neg).alias("m")).where("p > 0 AND m > 0")
+    auc = auc.select("rep", "model", (F.col("won") / (2 * F.col("p") * F.col("m"))).alias("auc"))
     diff = auc.groupBy("rep").agg((F.max(F.when(F.col("model") == "a", F.col("auc"))) - F.max(F.when(F.col("model") == "b", F.col("auc")))).alias("d"))
     g = diff.agg(F.avg("d").alias("m"), F.percentile("d", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"), F.count("d").alias("replicates"))
     zero = F.lit(0.0)

@@ -7,11 +7,13 @@ features are partial aggregates over its output.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ from driftwell.operators.ordered import sequenced
 from driftwell.operators.spectrum import power_bins
 from driftwell.session import cut_lineage
 
+# Helpers of Python stages travel by value: workers need not have the package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 KEY = "session_id"
 CHUNK = 60_000.0
 

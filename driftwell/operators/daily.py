@@ -37,14 +37,18 @@ def passes_quality(df: DataFrame, threshold: float = fv.MIN_QUALITY) -> Column:
     return F.coalesce((raw >= 0) & (raw >= threshold), F.lit(False))
 
 
-def quality_gate(df: DataFrame, threshold: float = fv.MIN_QUALITY) -> DataFrame:
-    """Every session with ``accepted`` and, for a rejected one, the reason. Narrow: no shuffle."""
-    q = session_quality(df)
-    reason = F.concat(
+def _rejection_reason(quality: Column, threshold: float) -> Column:
+    return F.concat(
         F.lit("Quality score "),
-        F.format_string("%.3f", q),
+        F.format_string("%.3f", quality),
         F.lit(f" is below minimum threshold {threshold:g}"),
     )
+
+
+def quality_gate(df: DataFrame, threshold: float = fv.MIN_QUALITY) -> DataFrame:
+    """Every session with ``accepted`` and, for a rejected one, the reason. Narrow: no shuffle."""
+    q = session_quality(df)
+    reason = _rejection_reason(q, threshold)
     return df.withColumns(
         {
             "accepted": passes_quality(df, threshold),
@@ -57,11 +61,17 @@ def modality_status(sessions: DataFrame, threshold: float = fv.MIN_QUALITY) -> D
     """valid / low_quality per (participant, day, modality) with the median quality of the accepted sessions.
 
     If none was accepted the median is that of all sessions. A modality without rows has status missing; it has no
-    row here (see ``missingness_tracker``).
+    row here (see ``modality_report`` and ``missingness_tracker``).
     """
+    return _status(_quality_counts(sessions, threshold))
+
+
+def _quality_counts(sessions: DataFrame, threshold: float) -> DataFrame:
+    return osx.value_counts(quality_gate(sessions, threshold), [*DAY, "modality", "accepted"], F.col("effective_quality"))
+
+
+def _status(counts: DataFrame) -> DataFrame:
     keys = [*DAY, "modality"]
-    gated = quality_gate(sessions, threshold)
-    counts = osx.value_counts(gated, [*keys, "accepted"], F.col("effective_quality"))
     per_flag = osx.ranked(counts, [*keys, "accepted"]).groupBy(*keys, "accepted").agg(
         F.max("n").alias("n"), osx.median_expr().alias("median_value")
     )
@@ -85,6 +95,38 @@ def modality_status(sessions: DataFrame, threshold: float = fv.MIN_QUALITY) -> D
     )
 
 
+NO_SESSIONS = "No sessions recorded for modality on this day."
+
+
+def modality_report(sessions: DataFrame, threshold: float = fv.MIN_QUALITY, modalities: list[str] | None = None) -> DataFrame:
+    """``modality_status`` with a row for every expected modality of a day and ``reasons``.
+
+    A participant's day counts if it has a session of any modality; its modalities without one are ``missing``.  A low-quality
+    modality lists the distinct rejection reasons with their number of sessions, at most one per thousandth below the
+    threshold however many sessions the day had; a valid one lists none.  Sessions without a quality count as 0, modalities
+    outside the expected ones keep their rows, and no sessions give no rows.
+    """
+    keys = [*DAY, "modality"]
+    counts = _quality_counts(sessions, threshold)
+    rejected = counts.where(~F.col("accepted")).groupBy(*keys, _rejection_reason(F.col("v"), threshold).alias("reason")).agg(F.sum("c").alias("sessions"))
+    reasons = rejected.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("reason", "sessions"))).alias("found"))
+    none = F.array().cast("array<struct<reason:string,sessions:bigint>>")
+    low = F.when(F.col("status") == "low_quality", F.col("found"))
+    status = _status(counts).join(reasons, keys, "left").withColumn("reasons", F.coalesce(low, none)).drop("found")
+    values = [c for c in status.columns if c not in DAY]
+    days = status.groupBy(*DAY).agg(F.collect_list(F.struct(*values)).alias("rows"))
+    expected = F.array(*[F.lit(m) for m in modalities or fv.MODALITIES])
+    zero = F.lit(0).cast("long")
+
+    def missing(modality: Column) -> Column:
+        why = F.array(F.struct(F.lit(NO_SESSIONS).alias("reason"), zero.alias("sessions")))
+        fixed = {"modality": modality, "status": F.lit("missing"), "quality_score": F.lit(None).cast("double"), "reasons": why}
+        return F.struct(*[fixed.get(c, zero).alias(c) for c in values])
+
+    absent = F.transform(F.array_except(expected, F.col("rows.modality")), missing)
+    return days.select(*DAY, F.inline(F.concat("rows", absent)))
+
+
 def _day_flags(status: DataFrame) -> DataFrame:
     """One row per (participant, day) with the status and quality of each modality side by side."""
     modality = F.col("modality")

@@ -102,6 +102,26 @@ def modality_status(spark, sf):
     return dy.modality_status(tb.sessions(spark, sf))
 
 
+_expected = ", ".join(f"('{m}')" for m in fv.MODALITIES)
+
+
+@query(
+    "E2_modality_report",
+    f"""WITH {STATUS},
+low AS (SELECT participant_id, date, modality, 'Quality score ' || printf('%.3f', quality_score) || ' is below minimum threshold 0.5' AS reason, count(*) AS n
+        FROM sessions WHERE quality_score < 0.5 GROUP BY ALL),
+why AS (SELECT participant_id, date, modality, string_agg(reason || ' x' || CAST(n AS VARCHAR), '|' ORDER BY reason) AS reasons FROM low GROUP BY ALL),
+days AS (SELECT DISTINCT participant_id, date FROM status)
+SELECT participant_id, CAST(date AS VARCHAR) AS date, modality, coalesce(s.status, 'missing') AS status, s.quality_score, coalesce(s.passed_count, 0) AS passed_count,
+       coalesce(s.total_count, 0) AS total_count, coalesce(s.rejected_count, 0) AS rejected_count,
+       CASE WHEN s.status IS NULL THEN 'No sessions recorded for modality on this day. x0' WHEN s.status = 'low_quality' THEN why.reasons ELSE '' END AS reasons
+FROM days CROSS JOIN (VALUES {_expected}) AS m(modality) LEFT JOIN status s USING (participant_id, date, modality) LEFT JOIN why USING (participant_id, date, modality)""",
+)
+def modality_report(spark, sf):
+    listed = F.transform("reasons", lambda r: F.concat(r["reason"], F.lit(" x"), r["sessions"].cast("string")))
+    return dy.modality_report(tb.sessions(spark, sf)).withColumn("reasons", listed)
+
+
 @query("E3_missingness", f"WITH {TRACKED} SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM tracked")
 def missingness(spark, sf):
     return dy.missingness_tracker(dy.modality_status(tb.sessions(spark, sf)))

@@ -187,9 +187,14 @@ def detect_outliers(obs: DataFrame, baseline: DataFrame, threshold: float = fv.O
 
 def robust_deviation(obs: DataFrame, baseline: DataFrame) -> DataFrame:
     """Deviation in MAD-scaled units, signed distance from the median, and the outlier verdict."""
+    return _deviation_records(detect_outliers(obs, baseline))
+
+
+def _deviation_records(judged: DataFrame) -> DataFrame:
+    """One record per row of ``detect_outliers``."""
     median = F.coalesce(F.col("baseline_median"), F.col("value"))
     width = effective_dispersion(F.col("baseline_mad"), F.col("baseline_std"))
-    return detect_outliers(obs, baseline).select(
+    return judged.select(
         *SERIES,
         "date",
         round4(F.col("value")).alias("value"),
@@ -323,9 +328,23 @@ def baseline_version(current: DataFrame, increment: int = 1) -> DataFrame:
     )
 
 
-def process_day(day: DataFrame, baseline: DataFrame, alpha: float = fv.EWMA_ALPHA, min_quality: float = fv.MIN_QUALITY) -> DataFrame:
-    """Verdict and updated baseline of every feature measured on one day; features without a baseline are skipped."""
-    rows = detect_outliers(day.where(finite(F.col("value")).isNotNull()), baseline, how="inner")
+def process_day(
+    day: DataFrame,
+    baseline: DataFrame,
+    alpha: float = fv.EWMA_ALPHA,
+    min_quality: float = fv.MIN_QUALITY,
+    threshold: float = fv.OUTLIER_MAD,
+) -> DataFrame:
+    """Verdict, its reason and the next baseline values of every feature measured on one day.
+
+    Features without a baseline are skipped.  Every column of ``baseline`` is carried, so that ``updated_baselines`` and
+    ``day_deviations`` need no second join; columns of ``day`` with the same names go.  A null quality counts as 1.0.
+    """
+    day = day.drop(*[c for c in baseline.columns if c not in SERIES])
+    rows = day.where(finite(F.col("value")).isNotNull()).join(baseline, SERIES, "inner")
+    rows = rows.withColumns(
+        outlier_columns(F.col("value"), F.col("baseline_median"), F.col("baseline_mad"), F.col("baseline_std"), threshold)
+    )
     q = F.coalesce(F.col("quality_score"), F.lit(1.0))
     state = F.struct(
         F.col("baseline_mean").alias("mean"),
@@ -337,13 +356,62 @@ def process_day(day: DataFrame, baseline: DataFrame, alpha: float = fv.EWMA_ALPH
         F.lit(0).cast("long").alias("outliers"),
     )
     status = F.when(q < min_quality, "rejected_low_quality").when(F.col("is_outlier"), "rejected_outlier").otherwise("updated")
-    out = rows.withColumn("status", status).withColumn("_next", ewma_step(state, F.col("value"), alpha))
+    reason = (
+        F.when(
+            F.col("status") == "rejected_low_quality",
+            F.format_string(f"Quality score %.2f is below minimum threshold {min_quality:.2f}", q),
+        )
+        .when(
+            F.col("status") == "rejected_outlier",
+            F.format_string(f"Observation deviates by %.4f MAD (> {threshold:g} threshold) from personal baseline", F.col("mad_distance")),
+        )
+        .otherwise(f"Baseline updated using EWMA (alpha = {alpha:g}) with new observation")
+    )
+    out = rows.withColumn("status", status).withColumns({"reason": reason, "_next": ewma_step(state, F.col("value"), alpha)})
     updated = F.col("status") == "updated"
     for name in ("mean", "median", "std", "mad"):
         out = out.withColumn(f"new_{name}", F.when(updated, F.col(f"_next.{name}")).otherwise(F.col(f"baseline_{name}")))
     return out.drop("_next")
 
 
+def updated_baselines(processed: DataFrame) -> DataFrame:
+    """The whole baseline row of every feature judged by ``process_day``: moved where accepted, else kept as it was.
+
+    An accepted day sets statistics, bounds, status, version and sample count anew; IQR, algorithm version and calibration
+    period stay.  ``baseline_updated_at`` is the day that moved the row, not the time of the run, so reruns agree; null
+    where the row was kept.
+    """
+    updated = F.col("status") == "updated"
+    mean, median, std, mad_next = (F.col(f"new_{c}") for c in ("mean", "median", "std", "mad"))
+    unit = dispersion_unit(mad_next, std)
+
+    def moved(name: str, value: Column) -> Column:
+        return F.when(updated, value).otherwise(F.col(name)).alias(name)
+
+    return processed.select(
+        *SERIES,
+        *[F.col(f"new_{c}").alias(f"baseline_{c}") for c in ("mean", "median", "std", "mad")],
+        moved("q1", round4(median - F.lit(fv.STD_TO_MAD) * unit)),
+        moved("q3", round4(median + F.lit(fv.STD_TO_MAD) * unit)),
+        "iqr",
+        moved("coefficient_of_variation", F.when(mean != 0, round4(F.abs(std / mean))).otherwise(F.lit(0.0))),
+        moved("lower_bound", round4(median - 3.0 * unit)),
+        moved("upper_bound", round4(median + 3.0 * unit)),
+        moved("baseline_status", F.lit("adaptive_updated")),
+        moved("baseline_version", bump_patch(F.coalesce(F.col("baseline_version"), F.lit("1.0.0")))),
+        moved("sample_count", F.coalesce(F.col("sample_count"), F.lit(fv.MIN_BASELINE_DAYS)) + 1),
+        "algorithm_version",
+        "baseline_start_date",
+        "baseline_end_date",
+        F.when(updated, F.col("date")).alias("baseline_updated_at"),
+    )
+
+
+def day_deviations(processed: DataFrame) -> DataFrame:
+    """Deviation records of a day against the baselines it met; days of poor quality give none."""
+    return _deviation_records(processed.where("status <> 'rejected_low_quality'"))
+
+
 def day_counters(processed: DataFrame) -> DataFrame:
     return processed.groupBy("participant_id", "date").agg(
         F.count(F.lit(1)).alias("total_evaluated"),

@@ -51,7 +51,7 @@ ROW_COLS = f"""participant_id, modality, feature_name, {STATS_COLS}, lower_bound
 
 @query("F4_baseline_row", f"WITH {baseline_ctes()} SELECT {ROW_COLS} FROM baseline")
 def baseline_row(spark, sf):
-    return tb.calibrated(spark, sf)[1]
+    return tb.baselines(tb.hub(spark, sf))
 
 
 @query(
@@ -165,7 +165,7 @@ SELECT participant_id, modality, feature_name, '1.0.1' AS baseline_version, '1.0
 FROM baseline""",
 )
 def baseline_version(spark, sf):
-    b = tb.calibrated(spark, sf)[1]
+    b = tb.baselines(tb.hub(spark, sf))
     return bl.baseline_version(b).select(*bl.SERIES, "baseline_version", "algorithm_version", "sample_count")
 
 
@@ -195,6 +195,48 @@ def process_day(spark, sf):
     return out.select("participant_id", "date", "status", "value", "new_mean", "new_median", "new_std", "new_mad")
 
 
+# The whole next row: p3 holds the moved values, kept ones come from the baseline.
+NEXT_ROW = f"""{PROCESS},
+p1 AS (SELECT d.*, {_NMEAN.replace('s.', 'd.')} AS nmean, {_NM.replace('s.', 'd.')} AS nmed FROM p0 d),
+p2 AS (SELECT *, {r4("sqrt(0.1::DOUBLE*(v-nmean)*(v-nmean) + 0.9::DOUBLE*std*std)")} AS nsd,
+              {r4("(0.1::DOUBLE*abs(v-nmed) + 0.9::DOUBLE*mad)")} AS nmad, status = 'updated' AS up FROM p1),
+p3 AS (SELECT *, CASE WHEN nmad > 0 THEN nmad WHEN nsd > 0 THEN nsd ELSE 0.001::DOUBLE END AS u FROM p2)"""
+
+
+@query(
+    "F11_updated_baselines",
+    f"""WITH {NEXT_ROW}
+SELECT participant_id, b.modality, b.feature_name, CASE WHEN up THEN nmean ELSE mean END AS baseline_mean, CASE WHEN up THEN nmed ELSE median END AS baseline_median,
+       CASE WHEN up THEN nsd ELSE std END AS baseline_std, CASE WHEN up THEN nmad ELSE mad END AS baseline_mad,
+       CASE WHEN up THEN {r4("(nmed-0.6745::DOUBLE*u)")} ELSE b.q1 END AS q1, CASE WHEN up THEN {r4("(nmed+0.6745::DOUBLE*u)")} ELSE b.q3 END AS q3, b.iqr,
+       CASE WHEN NOT up THEN b.coefficient_of_variation WHEN nmean <> 0 THEN abs({r4("(nsd/nmean)")}) ELSE 0e0 END AS coefficient_of_variation,
+       CASE WHEN up THEN {r4("(nmed-3*u)")} ELSE b.lower_bound END AS lower_bound, CASE WHEN up THEN {r4("(nmed+3*u)")} ELSE b.upper_bound END AS upper_bound,
+       CASE WHEN up THEN 'adaptive_updated' ELSE b.baseline_status END AS baseline_status, CASE WHEN up THEN '1.0.1' ELSE '1.0.0' END AS baseline_version,
+       CAST(b.sample_count + CASE WHEN up THEN 1 ELSE 0 END AS BIGINT) AS sample_count, '1.0.0' AS algorithm_version,
+       CAST(b.baseline_start_date AS VARCHAR) AS baseline_start_date, CAST(b.baseline_end_date AS VARCHAR) AS baseline_end_date,
+       CASE WHEN up THEN CAST(p3.date AS VARCHAR) END AS baseline_updated_at
+FROM p3 JOIN baseline b USING (participant_id)""",
+)
+def updated_baselines(spark, sf):
+    h, b = tb.calibrated(spark, sf)
+    return bl.updated_baselines(bl.process_day(h.where(NEXT_DAY), b))
+
+
+@query(
+    "F11_day_deviations",
+    f"""WITH {PROCESS}, r AS (SELECT p0.*, b.modality, b.feature_name, b.disp, {r4("(abs(v-median)/b.disp)")} AS mad_distance FROM p0 JOIN baseline b USING (participant_id) WHERE status <> 'rejected_low_quality')
+SELECT participant_id, modality, feature_name, CAST(date AS VARCHAR) AS date, v AS value, median AS baseline_value,
+       {r4("((v-median)/(disp*1.4826::DOUBLE))")} AS deviation_score, {r4("(v-median)")} AS trend_score, q AS quality_score,
+       status = 'rejected_outlier' AS is_outlier, CASE WHEN status = 'rejected_outlier' THEN 'anomalous observation' END AS anomaly_flag, mad_distance,
+       CASE WHEN status = 'rejected_outlier' THEN 'Recent measurement differs notably from personal baseline (anomalous observation).'
+            ELSE 'Measurement consistent with personal baseline.' END AS summary_text
+FROM r""",
+)
+def day_deviations(spark, sf):
+    h, b = tb.calibrated(spark, sf)
+    return bl.day_deviations(bl.process_day(h.where(NEXT_DAY), b))
+
+
 @query(
     "F11_day_counters",
     f"""WITH {PROCESS}

@@ -281,7 +281,7 @@ def session_quality(spark, sf):
 
 @query("C13_baseline_band", f"WITH {baseline_ctes()} SELECT participant_id, {rn('(baseline_mean-baseline_std)', 3)} AS band_low, {rn('(baseline_mean+baseline_std)', 3)} AS band_high FROM baseline")
 def band(spark, sf):
-    return pj.baseline_band(tb.calibrated(spark, sf)[1]).select("participant_id", "band_low", "band_high")
+    return pj.baseline_band(tb.baselines(tb.hub(spark, sf))).select("participant_id", "band_low", "band_high")
 
 
 @query(

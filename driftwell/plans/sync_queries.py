@@ -222,10 +222,14 @@ def _owned(spark, sf):
     tables["daily_deviations"] = tr.deviation_record(tr.deviation(hub, base)).select("participant_id", "date", "deviation_score")
     tables["consent_records"] = _consents(spark, sf)
     tables["mpf_predictions"] = tb.table(spark, sf, "orders").select(F.col("o_custkey").alias("participant_id"), "o_orderkey", "o_totalprice")
-    tables["participants"] = tb.table(spark, sf, "customer").select(F.col("c_custkey").alias("participant_id"), "c_name")
+    tables["participants"] = _participants(spark, sf)
     return tables
 
 
+def _participants(spark, sf):
+    return tb.table(spark, sf, "customer").select(F.col("c_custkey").alias("participant_id"), "c_name")
+
+
 OWNED = f"""{zscore_ctes()}, {CONSENT}, owned AS (SELECT participant_id, modality || '_sessions' AS t FROM sessions UNION ALL SELECT participant_id, 'consent_records' FROM log
   UNION ALL SELECT participant_id, 'daily_features' FROM hub UNION ALL SELECT participant_id, 'personal_baselines' FROM baseline UNION ALL SELECT participant_id, 'daily_deviations' FROM dev
   UNION ALL SELECT o_custkey, 'mpf_predictions' FROM orders UNION ALL SELECT c_custkey, 'participants' FROM customer)"""
@@ -321,7 +325,7 @@ def dashboard_summary(spark, sf):
     dev = tr.deviation_record(tr.deviation(hub, base))
     o = tb.table(spark, sf, "orders")
     preds = o.select(F.col("o_custkey").alias("participant_id"), F.col("o_orderkey").alias("prediction_id"), co.round4(F.col("o_totalprice") / 5e5).alias("risk_score"), F.col("o_orderdate").alias("created_at"))
-    out = co.dashboard_summary(_owned(spark, sf)["participants"], hub, dev, preds)
+    out = co.dashboard_summary(_participants(spark, sf), hub, dev, preds)
     return out.select("participant_id", "total_collection_days", "total_deviation_events", "latest.prediction_id", "latest.risk_score")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftwell.operators import baseline as bl
 from driftwell.operators import daily as dy
 from driftwell.sources.readers import read_table
+from driftwell.sources.series_store import stored_series
 
 # Event type of the given table -> modality it stands for.
 EVENT_MODALITY = {"click": "typing", "error": "voice", "purchase": "motor", "view": "visual", "signup": "sleep"}
@@ -76,7 +77,12 @@ def hub(spark: SparkSession, sf: str, overall: bool = True) -> DataFrame:
 CALIBRATION_END = "2024-01-20"
 
 
+def baselines(h: DataFrame) -> DataFrame:
+    """Baseline rows of the calibration period of a hub."""
+    return bl.baseline_row(bl.in_period(h, end=CALIBRATION_END).drop("n_sessions"))
+
+
 def calibrated(spark: SparkSession, sf: str, overall: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Hub and the baseline rows of its calibration period."""
-    h = hub(spark, sf, overall)
-    return h, bl.baseline_row(bl.in_period(h, end=CALIBRATION_END).drop("n_sessions"))
+    """Hub and the baseline rows of its calibration period, both read from one store bucketed by series."""
+    h = stored_series(hub(spark, sf, overall), bl.SERIES)
+    return h, baselines(h)

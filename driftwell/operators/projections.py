@@ -179,20 +179,20 @@ def sleep_score(df: DataFrame) -> DataFrame:
     return df.withColumn("sleep_score", F.when(valid, clamp(F.floor(total * 10 + 0.5) / 10.0, 0, 100)))
 
 
-def _score(parts: list[tuple[Column, Column | float, str]], digits: int) -> dict[str, Column]:
-    """Sum of the weights whose condition holds, and the names of those that fail.
+def _score(parts: list[tuple[str, Column, Column | float, str]], digits: int, more: list[tuple[Column, str]] | None = None) -> dict[str, Column]:
+    """Sum of the weights whose condition holds, the points of each factor (``breakdown``) and the names of those that fail.
 
-    A weight may itself be a column; then it is added as it is and the condition only decides on the reason.
+    A part is (factor, condition, weight, reason).  A weight may itself be a column; then it is added as it is and the
+    condition only decides on the reason.  ``more`` replaces the reasons where a factor has several.
     """
-    total = reduce(
-        lambda a, b: a + b,
-        [w if isinstance(w, Column) else F.when(ok, F.lit(w)).otherwise(0.0) for ok, w, _ in parts],
-    )
-    rounded = round_half_away(clamp(total, 0, 1), digits)
+    points = [w if isinstance(w, Column) else F.when(ok, F.lit(w)).otherwise(0.0) for _, ok, w, _ in parts]
+    rounded = round_half_away(clamp(reduce(lambda a, b: a + b, points), 0, 1), digits)
+    named = more or [(ok, name) for _, ok, _, name in parts]
     return {
         "quality": rounded,
         "baseline_eligible": rounded >= fv.MIN_QUALITY,
-        "rejection_reasons": reasons(*[(~F.coalesce(ok, F.lit(False)), name) for ok, _, name in parts]),
+        "rejection_reasons": reasons(*[(~F.coalesce(ok, F.lit(False)), name) for ok, name in named]),
+        "breakdown": F.struct(*[p.alias(factor) for p, (factor, *_) in zip(points, parts, strict=True)]),
     }
 
 
@@ -202,11 +202,11 @@ def typing_quality(df: DataFrame) -> DataFrame:
     ratio = F.when(keys > 0, F.coalesce(F.col("correction_count"), F.lit(0)) / keys).otherwise(0.0)
     cols = _score(
         [
-            (F.col("completed"), 0.30, "not_completed"),
-            (keys > 20, 0.20, "few_keystrokes"),
-            (~interrupted & (keys > 0), 0.20, "interrupted"),
-            (F.col("typing_speed") > 0.5, 0.15, "slow"),
-            ((ratio <= 0.5) & (keys > 0), 0.15, "many_corrections"),
+            ("task_completed", F.col("completed"), 0.30, "not_completed"),
+            ("sufficient_samples", keys > 20, 0.20, "few_keystrokes"),
+            ("no_abnormal_interruptions", ~interrupted & (keys > 0), 0.20, "interrupted"),
+            ("reasonable_speed", F.col("typing_speed") > 0.5, 0.15, "slow"),
+            ("no_excessive_corrections", (ratio <= 0.5) & (keys > 0), 0.15, "many_corrections"),
         ],
         3,
     )
@@ -221,10 +221,10 @@ def voice_quality(df: DataFrame) -> DataFrame:
     return df.withColumns(
         _score(
             [
-                (F.col("duration") > 3.0, 0.30, "short"),
-                (F.col("signal_quality") >= 0.5, 0.30, "noisy"),
-                (~F.col("clipping_detected"), 0.20, "clipped"),
-                (F.col("silence_ratio") < 0.30, 0.20, "silent"),
+                ("sufficient_duration", F.col("duration") > 3.0, 0.30, "short"),
+                ("good_snr", F.col("signal_quality") >= 0.5, 0.30, "noisy"),
+                ("no_clipping", ~F.col("clipping_detected"), 0.20, "clipped"),
+                ("low_silence", F.col("silence_ratio") < 0.30, 0.20, "silent"),
             ],
             2,
         )
@@ -232,33 +232,44 @@ def voice_quality(df: DataFrame) -> DataFrame:
 
 
 def motor_quality(df: DataFrame, task: str) -> DataFrame:
+    """Quality, reasons and points per factor of a motor task.
+
+    Cadence and regularity share the points of a walk's signal but are named apart; an amplitude that could not be extracted
+    is named so instead of as movement.
+    """
     d = F.col("duration_seconds")
+    named = None
     if task == "walking":
+        cadence, regular = F.col("cadence").between(30, 200), F.col("movement_regularity") >= 0.3
         parts = [
-            (F.col("sensor_available"), 0.3, "no_sensor"),
-            (d >= 25, 0.3, "short"),
-            (F.col("step_count") > 10, 0.2, "few_steps"),
-            (F.col("cadence").between(30, 200) & (F.col("movement_regularity") >= 0.3), 0.2, "irregular"),
+            ("sensor_available", F.col("sensor_available"), 0.3, "no_sensor"),
+            ("task_completed", d >= 25, 0.3, "short"),
+            ("sufficient_steps", F.col("step_count") > 10, 0.2, "few_steps"),
+            ("signal_quality", cadence & regular, 0.2, "irregular"),
         ]
+        named = [(ok, name) for _, ok, _, name in parts[:-1]] + [(cadence, "cadence_out_of_range"), (regular, "irregular")]
     elif task == "tapping":
         variability = F.col("inter_tap_interval_variability")
         parts = [
-            (d >= 8, 0.3, "short"),
-            (F.col("tap_count") > 10, 0.3, "few_taps"),
-            (variability.isNull() | (variability <= 0.3), 0.2, "interrupted"),
-            (F.col("tapping_rate").between(0.5, 15), 0.2, "implausible_rate"),
+            ("task_completed", d >= 8, 0.3, "short"),
+            ("sufficient_taps", F.col("tap_count") > 10, 0.3, "few_taps"),
+            ("no_abnormal_interruptions", variability.isNull() | (variability <= 0.3), 0.2, "interrupted"),
+            ("reasonable_tap_rate", F.col("tapping_rate").between(0.5, 15), 0.2, "implausible_rate"),
         ]
     elif task == "tremor_hold":
         amplitude = F.col("tremor_amplitude")
+        strong = (F.col("sample_count") >= 50) & (F.col("extraction_status") == "ok")
         parts = [
-            (d >= 8, 0.3, "short"),
-            (amplitude <= 2.0, 0.3, "moved"),
-            ((F.col("sample_count") >= 50) & (F.col("extraction_status") == "ok"), 0.2, "weak_signal"),
-            (amplitude <= 5.0, 0.2, "artifact"),
+            ("task_completed", d >= 8, 0.3, "short"),
+            ("phone_held_still", amplitude <= 2.0, 0.3, "moved"),
+            ("sufficient_signal_quality", strong, 0.2, "weak_signal"),
+            ("no_excessive_movement", amplitude <= 5.0, 0.2, "artifact"),
         ]
+        known = amplitude.isNotNull()
+        named = [(d >= 8, "short"), (~known | (amplitude <= 2.0), "moved"), (known, "no_amplitude"), (strong, "weak_signal"), (amplitude <= 5.0, "artifact")]
     else:
         raise ValueError(f"unknown motor task {task}")
-    return df.withColumns(_score(parts, 2))
+    return df.withColumns(_score(parts, 2, named))
 
 
 # Target seconds of a visual task.
@@ -276,11 +287,11 @@ def visual_quality(df: DataFrame) -> DataFrame:
     return df.withColumns(
         _score(
             [
-                (face >= 0.85, part(face, 0.85, 0.50, 0.3), "face"),
-                (light >= 0.80, part(light, 0.80, 0.50, 0.2), "lighting"),
-                (sure >= 0.70, part(sure, 0.70, 0.40, 0.2), "confidence"),
-                (done >= 0.85, part(done, 0.85, 0.50, 0.2), "incomplete"),
-                (head <= 0.05, steady, "head_motion"),
+                ("face_detected", face >= 0.85, part(face, 0.85, 0.50, 0.3), "face"),
+                ("good_lighting", light >= 0.80, part(light, 0.80, 0.50, 0.2), "lighting"),
+                ("tracking_confidence", sure >= 0.70, part(sure, 0.70, 0.40, 0.2), "confidence"),
+                ("task_completed", done >= 0.85, part(done, 0.85, 0.50, 0.2), "incomplete"),
+                ("head_stability", head <= 0.05, steady, "head_motion"),
             ],
             2,
         )

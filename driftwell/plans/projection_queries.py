@@ -172,37 +172,67 @@ SELECT event_id, {rn("total", digits)} AS quality, {rn("total", digits)} >= 0.5
 Q = ["event_id", "quality", "baseline_eligible", "rejection_reasons"]
 
 
+def _breakdown_sql(view: str, factors: list[tuple[str, str]]) -> str:
+    return f"WITH {SESSIONS}, v AS ({view}) SELECT event_id, " + ", ".join(f"{points} AS {name}" for name, points in factors) + " FROM v"
+
+
+def _points(parts: list[tuple[str, float, str]], names: str) -> list[tuple[str, str]]:
+    return [(name, _weights((c, w))) for name, (c, w, _) in zip(names.split(), parts, strict=True)]
+
+
+TYPING = (
+    "SELECT event_id, k > 10 AS done, k AS keys, value*100 AS gap, value/1e2 AS speed, k//3 AS corr FROM sessions",
+    [("done", 0.3, "not_completed"), ("keys > 20", 0.2, "few_keystrokes"), ("gap <= 10000 AND keys > 0", 0.2, "interrupted"), ("speed > 0.5", 0.15, "slow"), ("keys > 0 AND corr/CAST(keys AS DOUBLE) <= 0.5", 0.15, "many_corrections")],
+)
+
+
 @query(
     "C8_typing_quality",
     _quality_sql(
-        "SELECT event_id, k > 10 AS done, k AS keys, value*100 AS gap, value/1e2 AS speed, k//3 AS corr FROM sessions",
-        [("done", 0.3, "not_completed"), ("keys > 20", 0.2, "few_keystrokes"), ("gap <= 10000 AND keys > 0", 0.2, "interrupted"), ("speed > 0.5", 0.15, "slow"), ("keys > 0 AND corr/CAST(keys AS DOUBLE) <= 0.5", 0.15, "many_corrections")],
+        *TYPING,
         3,
         _errs(("NOT done", "not_completed"), ("keys <= 20", "few_keystrokes"), ("gap > 10000", "interrupted"), ("speed <= 0.5", "slow"), ("keys > 0 AND corr/CAST(keys AS DOUBLE) > 0.5", "many_corrections")),
     ),
 )
 def typing_quality(spark, sf):
+    return _typing(spark, sf).select(*Q)
+
+
+@query("C8_typing_breakdown", _breakdown_sql(TYPING[0], _points(TYPING[1], "task_completed sufficient_samples no_abnormal_interruptions reasonable_speed no_excessive_corrections")))
+def typing_breakdown(spark, sf):
+    return _typing(spark, sf).select("event_id", "breakdown.*")
+
+
+def _typing(spark, sf):
     k, v = F.col("k"), F.col("value")
     src = tb.sessions(spark, sf).select(
         "event_id", (k > 10).alias("completed"), k.alias("keystroke_count"), (v * 100).alias("max_interval_ms"), (v / 100.0).alias("typing_speed"), F.floor(k / 3).alias("correction_count")
     )
-    return pj.typing_quality(src).select(*Q)
+    return pj.typing_quality(src)
 
 
-@query(
-    "C9_voice_quality",
-    _quality_sql(
-        "SELECT event_id, value/1e1 AS d, k/1e2 AS q, k > 90 AS clip, value/1e2 AS sil FROM sessions",
-        [("d > 3", 0.3, "short"), ("q >= 0.5", 0.3, "noisy"), ("NOT clip", 0.2, "clipped"), ("sil < 0.3::DOUBLE", 0.2, "silent")],
-        2,
-    ),
+VOICE = (
+    "SELECT event_id, value/1e1 AS d, k/1e2 AS q, k > 90 AS clip, value/1e2 AS sil FROM sessions",
+    [("d > 3", 0.3, "short"), ("q >= 0.5", 0.3, "noisy"), ("NOT clip", 0.2, "clipped"), ("sil < 0.3::DOUBLE", 0.2, "silent")],
 )
+
+
+@query("C9_voice_quality", _quality_sql(*VOICE, 2))
 def voice_quality(spark, sf):
+    return _voice(spark, sf).select(*Q)
+
+
+@query("C9_voice_breakdown", _breakdown_sql(VOICE[0], _points(VOICE[1], "sufficient_duration good_snr no_clipping low_silence")))
+def voice_breakdown(spark, sf):
+    return _voice(spark, sf).select("event_id", "breakdown.*")
+
+
+def _voice(spark, sf):
     k, v = F.col("k"), F.col("value")
     src = tb.sessions(spark, sf).select(
         "event_id", (v / 10.0).alias("duration"), (k / 100.0).alias("signal_quality"), (k > 90).alias("clipping_detected"), (v / 100.0).alias("silence_ratio")
     )
-    return pj.voice_quality(src).select(*Q)
+    return pj.voice_quality(src)
 
 
 MOTOR = {
@@ -230,27 +260,61 @@ def _motor(spark, sf, task):
         src = s.select("event_id", (v / 4.0).alias("duration_seconds"), F.floor(k / 4).alias("tap_count"), F.when(k >= 50, k / 100.0 - 0.5).alias("inter_tap_interval_variability"), (v / 10.0).alias("tapping_rate"))
     else:
         src = s.select("event_id", (v / 4.0).alias("duration_seconds"), F.when(k > 5, k / 10.0).alias("tremor_amplitude"), k.alias("sample_count"), F.when(k > 30, "ok").otherwise("failed").alias("extraction_status"))
-    return pj.motor_quality(src, task).select(*Q)
+    return pj.motor_quality(src, task)
 
 
+MOTOR_FACTORS = {
+    "walking": "sensor_available task_completed sufficient_steps signal_quality",
+    "tapping": "task_completed sufficient_taps no_abnormal_interruptions reasonable_tap_rate",
+    "tremor_hold": "task_completed phone_held_still sufficient_signal_quality no_excessive_movement",
+}
+# Reasons of tasks whose factors do not name one reason each.
+MOTOR_REASONS = {
+    "walking": _errs(
+        ("NOT s", "no_sensor"), ("d < 25", "short"), ("n <= 10", "few_steps"), ("NOT coalesce(c BETWEEN 30 AND 200, FALSE)", "cadence_out_of_range"), ("NOT coalesce(r >= 0.3::DOUBLE, FALSE)", "irregular")
+    ),
+    "tremor_hold": _errs(
+        ("d < 8", "short"), ("a > 2", "moved"), ("a IS NULL", "no_amplitude"), ("NOT coalesce(n >= 50 AND ok, FALSE)", "weak_signal"), ("NOT coalesce(a <= 5, FALSE)", "artifact")
+    ),
+}
+
 for _task, (_view, _parts) in MOTOR.items():
-    query(f"C10_motor_quality_{_task}", _quality_sql(_view, _parts, 2))(lambda spark, sf, t=_task: _motor(spark, sf, t))
+    query(f"C10_motor_quality_{_task}", _quality_sql(_view, _parts, 2, MOTOR_REASONS.get(_task)))(lambda spark, sf, t=_task: _motor(spark, sf, t).select(*Q))
+    query(f"C10_motor_breakdown_{_task}", _breakdown_sql(_view, _points(_parts, MOTOR_FACTORS[_task])))(lambda spark, sf, t=_task: _motor(spark, sf, t).select("event_id", "breakdown.*"))
 
 
 def _part(x: str, full: float, floor: float, w: float) -> str:
     return f"CASE WHEN {x} >= {full}::DOUBLE THEN {w}::DOUBLE WHEN {x} >= {floor}::DOUBLE THEN {rn(f'({x}/{full}::DOUBLE*{w}::DOUBLE)', 2)} ELSE 0e0 END"
 
 
+VISUAL = """SELECT event_id, k/1e2 AS face, value/1e2 AS light, (100-k)/1e2 AS sure,
+  value/CASE WHEN k < 30 THEN 2e1 WHEN k < 60 THEN 3e1 ELSE 2.5e1 END AS done, k/1e3 AS head FROM sessions"""
+VISUAL_FACTORS = [
+    ("face_detected", _part("face", 0.85, 0.5, 0.3)),
+    ("good_lighting", _part("light", 0.8, 0.5, 0.2)),
+    ("tracking_confidence", _part("sure", 0.7, 0.4, 0.2)),
+    ("task_completed", _part("done", 0.85, 0.5, 0.2)),
+    ("head_stability", "CASE WHEN head <= 0.05::DOUBLE THEN 0.1::DOUBLE WHEN head <= 0.12::DOUBLE THEN 0.05::DOUBLE ELSE 0e0 END"),
+]
+
+
 @query(
     "C11_visual_quality",
-    f"""WITH {SESSIONS}, v AS (SELECT event_id, k/1e2 AS face, value/1e2 AS light, (100-k)/1e2 AS sure,
-  value/CASE WHEN k < 30 THEN 2e1 WHEN k < 60 THEN 3e1 ELSE 2.5e1 END AS done, k/1e3 AS head FROM sessions),
-t AS (SELECT *, least(greatest({_part("face", 0.85, 0.5, 0.3)} + {_part("light", 0.8, 0.5, 0.2)} + {_part("sure", 0.7, 0.4, 0.2)} + {_part("done", 0.85, 0.5, 0.2)}
-  + CASE WHEN head <= 0.05::DOUBLE THEN 0.1::DOUBLE WHEN head <= 0.12::DOUBLE THEN 0.05::DOUBLE ELSE 0e0 END, 0e0), 1e0) AS total FROM v)
+    f"""WITH {SESSIONS}, v AS ({VISUAL}),
+t AS (SELECT *, least(greatest({" + ".join(points for _, points in VISUAL_FACTORS)}, 0e0), 1e0) AS total FROM v)
 SELECT event_id, {rn("total", 2)} AS quality, {rn("total", 2)} >= 0.5 AS baseline_eligible,
   {_errs(("face < 0.85::DOUBLE", "face"), ("light < 0.8::DOUBLE", "lighting"), ("sure < 0.7::DOUBLE", "confidence"), ("done < 0.85::DOUBLE", "incomplete"), ("head > 0.05::DOUBLE", "head_motion"))} AS rejection_reasons FROM t""",
 )
 def visual_quality(spark, sf):
+    return _visual(spark, sf).select(*Q)
+
+
+@query("C11_visual_breakdown", _breakdown_sql(VISUAL, VISUAL_FACTORS))
+def visual_breakdown(spark, sf):
+    return _visual(spark, sf).select("event_id", "breakdown.*")
+
+
+def _visual(spark, sf):
     k, v = F.col("k"), F.col("value")
     src = tb.sessions(spark, sf).select(
         "event_id",
@@ -261,7 +325,7 @@ def visual_quality(spark, sf):
         v.alias("duration"),
         (k / 1000.0).alias("head_displacement"),
     )
-    return pj.visual_quality(src).select(*Q)
+    return pj.visual_quality(src)
 
 
 @query(

@@ -15,10 +15,19 @@ from driftwell.session import scratch_folder
 from driftwell.streaming import jobs
 
 
-def stream(spark, sf):
-    """The events of the given table as a stream of session rows; each micro-batch takes whole files."""
+def stream(spark, sf, batches=1):
+    """The events of the given table as a stream of session rows; each micro-batch takes whole files.
+
+    With several ``batches`` the table is dealt by the hash of its key first, so that most days come back in every batch.
+    """
     like = tb.table(spark, sf, "events")
-    raw = spark.readStream.schema(like.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    if batches == 1:
+        raw = spark.readStream.schema(like.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    else:
+        folder = scratch_folder(spark, "dealt")
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), batches)
+        like.repartition(files, "event_id").write.parquet(folder)
+        raw = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", -(-files // batches)).parquet(folder)
     k = F.get_json_object("props", "$.k").cast("int")
     modality = F.coalesce(*[F.when(F.col("event_type") == e, F.lit(m)) for e, m in tb.EVENT_MODALITY.items()])
     return raw.select(
@@ -108,7 +117,16 @@ def adaptive_baseline(spark, sf):
     return last.select("participant_id", "r.*")
 
 
-@query("S5_streak_state")
+@query(
+    "S5_streak_state",
+    f"""WITH {ADAPTIVE},
+before AS (SELECT d.participant_id, d.date, d.i, d.v, s.mean, s.median, s.std, s.mad FROM fold s JOIN days d ON d.participant_id = s.participant_id AND d.i = s.i + 1),
+scored AS (SELECT *, CASE WHEN std > 1e-6 THEN {r4("((v-mean)/std)")} WHEN mad > 1e-6 THEN {r4("(0.6745::DOUBLE*(v-median)/mad)")}
+  WHEN abs(v-median) < 1e-6 THEN 0e0 WHEN v >= median THEN 1e1 ELSE -1e1 END AS z_score FROM before)
+SELECT participant_id, CAST(date AS VARCHAR) AS date, z_score,
+       i - coalesce(max(CASE WHEN abs(z_score) <= 2 THEN i END) OVER (PARTITION BY participant_id ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS streak
+FROM scored""",
+)
 def streak_state(spark, sf):
     return _adaptive(spark, sf).select("participant_id", "date", "z_score", "streak")
 
@@ -125,16 +143,36 @@ def upsert_sink(spark, sf):
     return spark.read.parquet(f"{root}/store").select("session_id", "event_id")
 
 
-@query(
-    "S7_late_correction",
-    f"""WITH {LONGITUDINAL.replace("'all' AS modality", "modality").replace("GROUP BY participant_id, date)", "GROUP BY participant_id, modality, date)")}
-SELECT participant_id, modality, feature_name, CAST(date AS VARCHAR) AS date, value AS daily_value, seven_day_average, fourteen_day_trend, {TREND} AS trend_label FROM fin""",
-)
+LATE = f"""WITH {LONGITUDINAL.replace("'all' AS modality", "modality").replace("GROUP BY participant_id, date)", "GROUP BY participant_id, modality, date)")}
+SELECT participant_id, modality, feature_name, CAST(date AS VARCHAR) AS date, value AS daily_value, seven_day_average, fourteen_day_trend, {TREND} AS trend_label FROM fin"""
+
+
+def _corrected(spark, path):
+    rows = jobs.latest_rows(spark.read.parquet(path), [*bl.SERIES, "date"])
+    return rows.select(*bl.SERIES, "date", "daily_value", "seven_day_average", "fourteen_day_trend", "trend_label")
+
+
+@query("S7_late_correction", LATE)
 def late_correction(spark, sf):
     root, medians = _medians(spark, sf)
     hub = medians.withColumn("feature_name", F.lit("value"))
-    bl.baseline_row(bl.in_period(hub, end=tb.CALIBRATION_END).drop("n_sessions")).write.parquet(f"{root}/baseline")
+    tb.baselines(hub).write.parquet(f"{root}/baseline")
     sink = jobs.LateCorrection(f"{root}/medians", f"{root}/baseline", f"{root}/trend")
     jobs.run_available(stream(spark, sf), sink, f"{root}/late")
-    rows = jobs.latest_rows(spark.read.parquet(f"{root}/trend"), [*bl.SERIES, "date"])
-    return rows.select(*bl.SERIES, "date", "daily_value", "seven_day_average", "fourteen_day_trend", "trend_label")
+    return _corrected(spark, f"{root}/trend")
+
+
+@query("S7_late_batches", LATE)
+def late_batches(spark, sf):
+    """Three micro-batches whose days overlap: each changes medians and corrects the trends; the third one compacts."""
+    root = scratch_folder(spark, "late")
+    tb.baselines(tb.hub(spark, sf, overall=False)).write.parquet(f"{root}/baseline")
+    medians = jobs.DailyMedians(f"{root}/sessions", f"{root}/medians")
+    fix = jobs.LateCorrection(f"{root}/medians", f"{root}/baseline", f"{root}/trend", keep=2)
+
+    def sink(batch, batch_id):
+        medians(batch, batch_id)
+        fix(batch, batch_id)
+
+    jobs.run_available(stream(spark, sf, batches=3), sink, f"{root}/checkpoint")
+    return _corrected(spark, f"{root}/trend")

@@ -256,7 +256,7 @@ def erasure_audit(spark, sf):
 
 @query("H12_soft_delete", f"WITH {REQUESTS} SELECT c_custkey AS participant_id, CAST(CAST(requested_at AS DATE) AS VARCHAR) AS deleted_on, requested_at IS NOT NULL AS is_deleted FROM customer LEFT JOIN (SELECT * FROM req WHERE consent_type = 'all') r ON r.participant_id = c_custkey")
 def soft_delete(spark, sf):
-    out = pv.soft_delete(_owned(spark, sf)["participants"], _requests(spark, sf).where("consent_type = 'all'"))
+    out = pv.soft_delete(_participants(spark, sf), _requests(spark, sf).where("consent_type = 'all'"))
     return out.select("participant_id", F.to_date("deleted_at").alias("deleted_on"), "is_deleted")
 
 
@@ -270,7 +270,7 @@ def export_summary(spark, sf):
 
 @query("H13_export_package", """SELECT c_custkey AS participant_id, 'participants' AS section, '{"participant_id":' || c_custkey || ',"c_name":"' || c_name || '"}' AS record FROM customer""")
 def export_package(spark, sf):
-    return pv.export_package({"participants": _owned(spark, sf)["participants"]})
+    return pv.export_package({"participants": _participants(spark, sf)})
 
 
 def _number(e: str) -> str:

@@ -91,19 +91,51 @@ class DailyMedians:
         result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(self.result_path)
 
 
+def _versions(spark: SparkSession, path: str) -> dict[int, object]:
+    """Batch numbers of the version folders below ``path`` with their places."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return {}
+    folders = [status.getPath() for status in files.listStatus(root) if status.isDirectory() and status.getPath().getName().startswith("batch_id=")]
+    return {int(f.getName().removeprefix("batch_id=")): f for f in folders}
+
+
 class LateCorrection:
-    """After a day changed, recomputes the trend rows of the affected series from their whole (bounded) history."""
+    """After a day changed, recomputes the trend rows of the affected series from that day on.
+
+    Windows look back only, so earlier rows of a series stay; later ones may change as far as a run of deviations lasts.  The
+    result must be kept from the first batch on.  A batch writes one version, a folder named by its number; readers take the
+    newest version per row (``latest_rows``).  With ``keep`` older versions present a batch also carries over every row it does
+    not replace, and the older folders go, so the store holds the current rows and at most ``keep`` batches of changes.
+    A batch that is cut off before its folder is complete leaves the older ones; one that is replayed keeps what its first
+    attempt had carried over.  Rows without a day or series change nothing.
+    """
 
-    def __init__(self, medians_path: str, baseline_path: str, result_path: str):
-        self.medians_path, self.baseline_path, self.result_path = medians_path, baseline_path, result_path
+    def __init__(self, medians_path: str, baseline_path: str, result_path: str, keep: int = 8):
+        self.medians_path, self.baseline_path, self.result_path, self.keep = medians_path, baseline_path, result_path, keep
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        keys = batch.select("participant_id", "modality").distinct()
-        hub = spark.read.parquet(self.medians_path).withColumn("feature_name", F.lit("value")).join(keys, ["participant_id", "modality"], "left_semi")
-        rows = tr.longitudinal(hub, spark.read.parquet(self.baseline_path)).withColumn("batch_id", F.lit(batch_id))
-        # One partition per batch: a replayed batch replaces its own rows; readers take the newest batch per row.
+        keys = ["participant_id", "modality"]
+        since = batch.where("timestamp is not null").groupBy(*keys).agg(F.min(F.to_date("timestamp")).alias("__since"))
+        hub = spark.read.parquet(self.medians_path).withColumn("feature_name", F.lit("value")).join(since.select(*keys), keys, "left_semi")
+        rows = tr.longitudinal(hub, spark.read.parquet(self.baseline_path))
+        rows = rows.join(since, keys).where(F.col("date") >= F.col("__since")).drop("__since").withColumn("batch_id", F.lit(batch_id))
+        versions = _versions(spark, self.result_path)
+        older = [place for n, place in versions.items() if n < batch_id]
+        compact, replayed = len(older) >= self.keep, batch_id in versions
+        if compact or replayed:
+            row = [*bl.SERIES, "date"]
+            held = spark.read.schema(rows.schema).parquet(self.result_path)
+            held = held.where(F.col("batch_id") <= batch_id) if compact else held.where(F.col("batch_id") == batch_id)
+            carried = latest_rows(held, row).join(rows.select(*row), row, "left_anti")
+            rows = rows.unionByName(carried.withColumn("batch_id", F.lit(batch_id)))
+        # One partition per batch: a replayed batch replaces its own rows.
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(self.result_path)
+        if compact and batch_id in _versions(spark, self.result_path):
+            for place in older:
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def latest_rows(df: DataFrame, keys: list[str], version: str = "batch_id") -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from driftwell.functions.numeric import clamp, round4
 from driftwell.operators import orderstats as osx
 
 BUCKETS = 4096
+#: Rows of a partition of training rows; models fitted at once.
+ROWS, AT_ONCE = 20_000, 8
 
 
 def hash32(key: Column, seed: int) -> Column:
@@ -129,24 +134,57 @@ def with_folds(df: DataFrame, key: str, label: str, folds: int, seed: int = 42)
     return df.join(pos.select(key, (F.col("position") % folds).cast("int").alias("fold")), key)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows, cached in partitions of about ``ROWS`` by their hash, at most one per core.
+
+    A fit passes over its rows hundreds of times: they are read and split once, and a file of few row groups keeps all cores busy.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(cores, -(-df.count() // ROWS))), F.xxhash64(*df.columns)).cache()
+
+
+def at_once(spark: SparkSession, calls: list[Callable], most: int = AT_ONCE) -> list:
+    """Results of ``calls`` in their order, ``most`` of them running at once.
+
+    A boosted model is some hundred short jobs, one after the other, that leave most cores idle; the jobs of several models fill them.
+    """
+    with ThreadPool(max(1, min(most, len(calls)))) as pool:
+        return pool.map(lambda call: call(), [inheritable_thread_target(spark)(call) for call in calls], chunksize=1)
+
+
 def train_modality(df: DataFrame, key: str, label: str, columns: list[str], folds: int = 5, seed: int = 42, trees: int = 100, rounds: int = 100, split: str = "split"):
     """Fits every candidate on the training rows; returns (best pipeline model, report rows).
 
-    Cross-validated area under the curve is reported; the best validation area wins.
+    Cross-validated area under the curve is reported; the best validation area wins.  All candidates and folds are fitted side by side.
     """
-    train = with_folds(df.where(F.col(split) == "train"), key, label, folds, seed).cache()
-    val = df.where(F.col(split) == "val")
+    rows = df.select(key, label, split, *columns)
+    train = dealt(with_folds(rows.where(F.col(split) == "train"), key, label, folds, seed))
+    val = dealt(rows.where(F.col(split) == "val"))
+    filled = {r["fold"] for r in train.select("fold").distinct().collect()}
+    if filled != set(range(folds)) or folds < 2:
+        raise ValueError(f"every one of {folds} folds needs rows; filled are {sorted(filled)}")
     evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
+
+    def fitted(estimator, fold: int | None):
+        """(area on the fold that is left out, or on the validation rows; model)."""
+        seen, unseen = (train, val) if fold is None else (train.where(F.col("fold") != fold), train.where(F.col("fold") == fold))
+        model = Pipeline(stages=[*feature_stages(columns), estimator]).fit(seen)
+        return evaluator.evaluate(model.transform(unseen)), model
+
+    try:
+        # The boosted trees take longest and begin first.
+        tasks = [(name, estimator, fold) for name, estimator in reversed(candidates(label, seed, trees, rounds).items()) for fold in (None, *range(folds))]
+        found = at_once(df.sparkSession, [lambda e=estimator, f=fold: fitted(e, f) for _, estimator, fold in tasks])
+    finally:
+        train.unpersist()
+        val.unpersist()
     best, report = None, []
-    for name, estimator in candidates(label, seed, trees, rounds).items():
-        pipeline = Pipeline(stages=[*feature_stages(columns), estimator])
-        cv = CrossValidator(estimator=pipeline, estimatorParamMaps=ParamGridBuilder().build(), evaluator=evaluator, numFolds=folds, foldCol="fold", parallelism=2)
-        fitted = cv.fit(train)
-        area = evaluator.evaluate(fitted.bestModel.transform(val))
-        report.append((name, float(fitted.avgMetrics[0]), float(area)))
+    for name in candidates(label):
+        areas = {fold: one for (of, _, fold), one in zip(tasks, found, strict=True) if of == name}
+        area, model = areas.pop(None)
+        report.append((name, sum(a for a, _ in areas.values()) / folds, float(area)))
         if best is None or area > best[0]:
-            best = (area, fitted.bestModel)
-    train.unpersist()
+            best = (area, model)
     return best[1], report
 
 

@@ -192,13 +192,21 @@ def probability(model, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("p", vector_to_array("probability")[1])
 
 
+def boosted(label: str, columns: list[str], rounds: int, seed: int) -> Pipeline:
+    return Pipeline(stages=[*feature_stages(columns), GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=3, stepSize=0.05, seed=seed)])
+
+
 def single_modality_scores(df: DataFrame, label: str, columns: dict[str, list[str]], rounds: int = 100, seed: int = 42) -> DataFrame:
-    """One boosted model per modality, fitted on its present training rows; an absent modality scores 0.5."""
+    """One boosted model per modality, fitted on its present training rows; an absent modality scores 0.5. The models are fitted side by side."""
+    flags = [f"present_{m}" for m in columns]
+    needed = list(dict.fromkeys([label, *flags, *[c for cols in columns.values() for c in cols]]))
+    train = dealt(df.where(F.col("split") == "train").select(*needed))
+    try:
+        models = at_once(df.sparkSession, [lambda m=m, cols=cols: boosted(label, cols, rounds, seed).fit(train.where(F.col(f"present_{m}") == 1)) for m, cols in columns.items()])
+    finally:
+        train.unpersist()
     out = df
-    for m, cols in columns.items():
-        model = Pipeline(stages=[*feature_stages(cols), GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=3, stepSize=0.05, seed=seed)]).fit(
-            df.where((F.col("split") == "train") & (F.col(f"present_{m}") == 1))
-        )
+    for m, model in zip(columns, models, strict=True):
         scored = probability(model, out)
         out = scored.select(*out.columns, F.when(F.col(f"present_{m}") == 1, F.col("p")).otherwise(F.lit(0.5)).alias(f"p_{m}"))
     return out
@@ -209,9 +217,11 @@ def concat_baseline(df: DataFrame, label: str, columns: dict[str, list[str]], ex
     flags = [f"present_{m}" for m in columns]
     numeric = df.withColumns({c: F.col(c).cast("double") for c in [*flags, *extra]})
     cols = [c for cs in columns.values() for c in cs] + flags + extra
-    model = Pipeline(stages=[*feature_stages(cols), GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=3, stepSize=0.05, seed=seed)]).fit(
-        numeric.where(F.col("split") == "train")
-    )
+    train = dealt(numeric.where(F.col("split") == "train").select(*dict.fromkeys([label, *cols])))
+    try:
+        model = boosted(label, cols, rounds, seed).fit(train)
+    finally:
+        train.unpersist()
     return probability(model, numeric).select(*df.columns, F.col("p").alias("p_concat"))
 
 

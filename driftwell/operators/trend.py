@@ -234,9 +234,9 @@ def densify(hub: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     return spine.join(hub, [*keys, "date"], "left")
 
 
-def longitudinal(hub: DataFrame, baseline: DataFrame, keys: list[str] = SERIES) -> DataFrame:
+def longitudinal(hub: DataFrame, baseline: DataFrame, keys: list[str] = SERIES, carry: list[str] | None = None) -> DataFrame:
     """Composite trend row per (series, date): 7-row and 14-row statistics, deviation, run length (within the last 14
-    rows), missingness and label."""
+    rows), missingness and label, and the columns ``carry`` of the hub."""
     dev = deviation(hub, baseline).withColumn("rn", F.row_number().over(by_date(keys)))
     w = by_date(keys).rowsBetween(W.unboundedPreceding, 0)
     high = F.coalesce(F.abs(F.col("z_score")) > fv.SUSTAINED_Z, F.lit(False))
@@ -262,6 +262,7 @@ def longitudinal(hub: DataFrame, baseline: DataFrame, keys: list[str] = SERIES)
         "missingness",
         "data_quality",
         trend_label(F.col("fourteen_day_trend"), F.col("value"), centre).alias("trend_label"),
+        *(carry or []),
     )
 
 

@@ -16,6 +16,7 @@ from driftwell.operators import baseline as bl
 from driftwell.operators import daily as dy
 from driftwell.operators import sync as sy
 from driftwell.operators import trend as tr
+from driftwell.session import scratch_folder
 
 
 def dedup_ingest(stream: DataFrame, lateness: str = "7 days") -> DataFrame:
@@ -119,14 +120,16 @@ class LateCorrection:
         spark = batch.sparkSession
         keys = ["participant_id", "modality"]
         since = batch.where("timestamp is not null").groupBy(*keys).agg(F.min(F.to_date("timestamp")).alias("__since"))
-        hub = spark.read.parquet(self.medians_path).withColumn("feature_name", F.lit("value")).join(since.select(*keys), keys, "left_semi")
-        rows = tr.longitudinal(hub, spark.read.parquet(self.baseline_path))
-        rows = rows.join(since, keys).where(F.col("date") >= F.col("__since")).drop("__since").withColumn("batch_id", F.lit(batch_id))
+        hub = spark.read.parquet(self.medians_path).withColumn("feature_name", F.lit("value")).join(since, keys)
+        rows = tr.longitudinal(hub, spark.read.parquet(self.baseline_path), carry=["__since"])
+        rows = rows.where(F.col("date") >= F.col("__since")).drop("__since").withColumn("batch_id", F.lit(batch_id))
         versions = _versions(spark, self.result_path)
         older = [place for n, place in versions.items() if n < batch_id]
         compact, replayed = len(older) >= self.keep, batch_id in versions
         if compact or replayed:
             row = [*bl.SERIES, "date"]
+            # Computed once and by all cores: in a union adaptive execution leaves the windows as few tasks as their bytes deserve.
+            rows = self._stored(rows)
             held = spark.read.schema(rows.schema).parquet(self.result_path)
             held = held.where(F.col("batch_id") <= batch_id) if compact else held.where(F.col("batch_id") == batch_id)
             carried = latest_rows(held, row).join(rows.select(*row), row, "left_anti")
@@ -137,6 +140,15 @@ class LateCorrection:
             for place in older:
                 place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
+    @staticmethod
+    def _stored(rows: DataFrame) -> DataFrame:
+        """``rows``, written to a folder of their own that goes when the driver ends."""
+        spark, path = rows.sparkSession, scratch_folder(rows.sparkSession, "corrected")
+        rows.write.parquet(path)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+        return spark.read.schema(rows.schema).parquet(path)
+
 
 def latest_rows(df: DataFrame, keys: list[str], version: str = "batch_id") -> DataFrame:
     """Newest version of every row of a result written by ``LateCorrection`` or ``UpsertSink``."""

@@ -229,6 +229,29 @@ def test_late_correction_rewrites_the_series(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_compaction_computes_the_windows_once_and_alone(spark, tmp_path, monkeypatch):
+    """A compacting batch unites stored rows: windows inside the union would run as few tasks as their bytes deserve."""
+    root = str(tmp_path)
+    medians = jobs.DailyMedians(f"{root}/sessions", f"{root}/medians")
+    medians(spark.createDataFrame(_rows(60), SESSION), 0)
+    hub = spark.read.parquet(f"{root}/medians").withColumn("feature_name", F.lit("value"))
+    bl.baseline_row(hub.drop("n_sessions")).write.parquet(f"{root}/base")
+    frame, plans = type(spark.range(0)), []
+    real = frame.unionByName
+
+    def union(self, other, *args, **kwargs):
+        plans.append([df._jdf.queryExecution().optimizedPlan().toString() for df in (self, other)])
+        return real(self, other, *args, **kwargs)
+
+    monkeypatch.setattr(frame, "unionByName", union)
+    fix = jobs.LateCorrection(f"{root}/medians", f"{root}/base", f"{root}/trend", keep=1)
+    s = spark.createDataFrame(_rows(60), SESSION)
+    fix(s, 0)
+    assert not plans
+    fix(s, 1)
+    assert plans and not any("Window" in side for pair in plans for side in pair)
+
+
 def test_versions_of_late_corrections_stay_bounded(spark, tmp_path):
     """Days come back out of order over many batches; a compacting batch and a replay of it keep every row."""
     root = str(tmp_path)

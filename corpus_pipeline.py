@@ -25,7 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, similarity of 0.8 or more."""
+    """One document of each group of near copies: SimHash fingerprints of three-word shingles at most 3 bits apart, found by
+    pigeonring, or a similarity of five-word shingles of 0.8 or more; links of both kinds chain."""
     return simhash.one_of_each_group(docs.select(*COLUMNS))
 
 

@@ -281,10 +281,28 @@ def text_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     return found.join(labels, "rid").select("doc_id", "rid", "root", "component_id")
 
 
+def alike(docs: DataFrame, words: int = 3) -> DataFrame:
+    """Edges (u, v) between texts (hashes) that connect those with fingerprints at most 3 bits apart, by the links of ``near_duplicates``.
+
+    A text without words has fingerprint 0 and links like any other.
+    """
+    found = shared_table(fingerprints(docs, words).select("rid", F.col("fps")[0].alias("fp")).distinct(), "fingerprints")
+    roots = components(links(found.select("fp").distinct()))
+    placed = found.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("rid", F.coalesce("root", "fp").alias("group"))
+    least = placed.groupBy("group").agg(F.min("rid").alias("v"))
+    return placed.join(least, "group").where("rid <> v").select(F.col("rid").alias("u"), "v")
+
+
 def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that stay when of each group (see ``text_groups``) only the smallest doc_id is kept, null last; of equal
-    rows one stays."""
+    """The rows of ``docs`` that stay when of each group only the smallest doc_id is kept, null last; of equal rows one stays.
+
+    Groups are connected by fingerprints at most 3 bits apart (see ``near_duplicates``) and by the exact similarity of texts (see
+    ``text_groups``), which finds pairs that lie further apart than 3 bits.
+    """
     groups = text_groups(docs, words, similarity)
+    edges = alike(docs).unionByName(groups.where("rid <> root").select(F.col("rid").alias("u"), F.col("root").alias("v")))
+    merged = components(edges).select(F.col("node").alias("rid"), F.col("root").alias("whole"))
+    groups = groups.join(merged, "rid", "left").withColumn("root", F.coalesce("whole", "root"))
     last = F.lit(2**63 - 1)
     stay = groups.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("__did"), F.col("rid").alias("__rid"))).alias("one")).select("one.*")
     keyed = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), last), "__rid": F.xxhash64("text")})

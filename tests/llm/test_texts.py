@@ -137,6 +137,33 @@ def test_text_groups_by_exact_similarity(spark):
     assert stay.columns == ["doc_id", "text"]
 
 
+def test_one_of_each_group_links_by_fingerprint_and_by_similarity(spark):
+    """Texts whose fingerprints are 3 bits or less apart go together though their shingles differ, and so do similar texts further apart."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(500)]
+    docs, near, apart = [], 0, 0
+    # A round of 13 words, forty times over, decides the fingerprint; endings differ.
+    for g in range(12):
+        b = r.sample(words, 13) * 40 + [r.choice(words) for _ in range(3)]
+        other = b[:-3] + [r.choice(words) for _ in range(30)]
+        docs += [(10 * g, " ".join(b)), (10 * g + 1, " ".join(other))]
+        sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (b, other)]
+        assert len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1])
+        near += (_fingerprint(docs[-1][1]) ^ _fingerprint(docs[-2][1])).bit_count() <= 3
+    for g in range(12, 24):
+        b = [r.choice(words) for _ in range(200)]
+        other = b + ["new" + r.choice(words) for _ in range(20)]
+        docs += [(10 * g, " ".join(b)), (10 * g + 1, " ".join(other))]
+        apart += (_fingerprint(docs[-1][1]) ^ _fingerprint(docs[-2][1])).bit_count() > 3
+    docs += [(500, None), (501, ""), (502, " \t")]
+    assert near >= 6 and apart >= 6
+    stay = {x.doc_id for x in simhash.one_of_each_group(text_frame(spark, docs)).collect()}
+    fps = [_fingerprint(t) for _, t in docs]
+    links = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3]
+    root = roots(len(docs), links + [(2 * g, 2 * g + 1) for g in range(12, 24)])
+    assert stay == {min(d for (d, _), k in zip(docs, root, strict=True) if k == at) for at in set(root)}
+
+
 def test_text_groups_find_substitutions_and_passages(spark):
     """Pairs of similarity 0.80 to 0.95: substituted words, an appended passage, a removed passage; none may be missed."""
     r = random.Random(8)

@@ -5,56 +5,81 @@ of the phrase in its block, which stands for the phrase's number.  Places grow b
 from piece to piece.  A relation is persisted in blocks of up to a million entries sorted by place, so each step is a scan:
 
 1. merge-join a block with itself at the next place: two frequent phrases of k words that overlap give one of k + 1;
-2. group and count: distinct pairs of a block with their number, summed over blocks; pairs met often enough get a number;
-3. semi-join: the numbers return to the blocks by (block, pair) and entries of rarer phrases go before the next length.
+2. group and count: each block deals its distinct pairs and their number to parts, packed; in a part the pairs of all blocks
+   meet and are summed, and those met often enough get a number;
+3. semi-join: the numbers return to the blocks by (block, part) and entries of rarer phrases go before the next length.
 
-Words and phrases are told apart by their text or by pairs of numbers, never by hashes.
+Shuffled are the distinct words or pairs of each block, a few bytes for each, and the numbers of the frequent ones.  The pairs
+of a block are not stored but merged again when their numbers return.  Words and phrases are told apart by their text or by
+pairs of numbers, never by hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.llm.common import bucketed_table, discard, running_total, shared_table
+from driftwell.llm.feistel import mix64
 from driftwell.llm.windows import column_bytes
 
 LONGEST, LEAST, BEST = 5, 100, 2000
 SLICE = 16 << 20  # bytes of text looked at together
 BLOCK = 1 << 20  # entries of a block
+PARTS, PART = 64, 1 << 20  # parts at least, words or pairs of blocks that meet in one
 
 #: Bytes that end a piece, bytes between the words of a piece.
 ENDS = np.isin(np.arange(256), list(b".,;:!?\x0a\x0b\x0c\x0d"))
 BLANKS = np.isin(np.arange(256), list(b" \t"))
 LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 
-#: A block lists its distinct words or pairs in rows (block, code, ..., n); the first of them carries the entries.
-ENTRIES = "codes binary, steps binary, counted long"
-LISTED = 20_000  # rows of an Arrow batch
-PER_FILE = 1  # blocks of a relation in one file, as readers decode whole files
+DEALT = "part int, block long, lang string, n int, listed binary"
+#: A part returns rows (block, part, n, at, ids) for the blocks and rows (id, ..., f) of its frequent words or pairs.
+COUNTED = "block long, part int, n int, at binary, ids binary, id long, lang string, word binary, left long, right long, f long"
+RELATION = "block long, n long, known int, ids binary, codes binary, steps binary, counted long"
 
 
-def _steps(places: np.ndarray) -> bytes:
-    return np.diff(places, prepend=0).astype(np.int32).tobytes()
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on as eight byte planes, of which the upper ones are mostly 0."""
+    return np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def _places(steps: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(steps, np.int32), dtype=np.int32)
+def _numbers(data: bytes, n: int, at: int = 0) -> np.ndarray:
+    """The ``at``-th of the lists of ``n`` numbers that ``data`` begins with."""
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, 8 * n * at).reshape(8, n).T).view("<i8").reshape(-1)
 
 
-def _rows(block: int, key: dict[str, pa.Array], met: np.ndarray, codes: np.ndarray, places: np.ndarray, counted: int) -> Iterator[pa.RecordBatch]:
-    """A block: its listed rows, the first with codes and steps of the entries."""
-    payload = [(codes.astype(np.int32).tobytes(), pa.binary()), (_steps(places), pa.binary()), (counted, pa.int64())]
-    for low in range(0, len(met), LISTED):
-        size = min(LISTED, len(met) - low)
-        held = [pa.array([v if low == 0 else None] + [None] * (size - 1), kind) for v, kind in payload]
-        columns = [pa.array(np.full(size, block)), pa.array(np.arange(low, low + size, dtype=np.int32)), *(k.slice(low, size) for k in key.values()), pa.array(met[low : low + size].astype(np.int64))]
-        yield pa.RecordBatch.from_arrays(columns + held, names=["block", "code", *key, "n", "codes", "steps", "counted"])
+def _packed(*lists: np.ndarray, tail: bytes = b"") -> bytes:
+    return zstandard.ZstdCompressor().compress(b"".join([*map(_planes, lists), tail]))
+
+
+def _unpacked(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
+def _by_part(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows in the order of their part, where each part begins)."""
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def _dealt(block: int, lang: str | None, cuts: np.ndarray, pack: Callable[[slice], bytes]) -> pa.RecordBatch:
+    """A row for each part that has words or pairs of the block."""
+    full = np.flatnonzero(np.diff(cuts))
+    listed = [pack(slice(cuts[p], cuts[p + 1])) for p in full.tolist()]
+    columns = [pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), pa.array([lang] * len(full), pa.string()), pa.array(np.diff(cuts)[full], pa.int32()), pa.array(listed, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "block", "lang", "n", "listed"])
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -77,7 +102,7 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray,
 
 
 def occurrences(docs: DataFrame, longest: int = LONGEST, size: int = BLOCK) -> DataFrame:
-    """Blocks of word occurrences: distinct words of a block with their number, and its entries.
+    """Blocks of word occurrences: one row with the distinct words of a block and their number, and its entries.
 
     A block holds one language.  A run of words longer than a block goes on in the next one, which repeats no counted entry:
     entries from place ``counted`` on only complete the phrases that begin before.
@@ -92,8 +117,11 @@ def occurrences(docs: DataFrame, longest: int = LONGEST, size: int = BLOCK) -> D
             met = np.bincount(local[: own - low], minlength=len(distinct))
             shift = places[low] - 1
             counted = int(places[own] - shift) if own < len(codes) else int(places[-1] - shift + 1)
-            key = {"lang": pa.array([lang] * len(distinct)), "word": words.take(pa.array(distinct))}
-            yield from _rows(next(names), key, met, local, places[low:high] - shift, counted)
+            found = words.take(pa.array(distinct))
+            data, ends = column_bytes(found)
+            listed = _packed(met, np.diff(ends), tail=data[ends[0] : ends[-1]].tobytes())
+            row = [next(names), own - low, len(distinct), lang, listed, high - low, _packed(local), _packed(np.diff(places[low:high] - shift, prepend=0)), counted]
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=["block", "words", "known", "lang", "listed", "n", "codes", "steps", "counted"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = iter(range(TaskContext.get().partitionId() << 40, 1 << 63))
@@ -112,54 +140,152 @@ def occurrences(docs: DataFrame, longest: int = LONGEST, size: int = BLOCK) -> D
                 begin = end
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(scan, f"block long, code int, lang string, word binary, n long, {ENTRIES}")
+    return rows.mapInArrow(scan, "block long, words long, known long, lang string, listed binary, n long, codes binary, steps binary, counted long")
 
 
-def extend(relation: DataFrame) -> DataFrame:
-    """Merge-joins each block with itself at the next place: distinct pairs (left, right) with their number, and the entries."""
+class Words:
+    """How blocks of words list their words, and how a part tells them apart."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                block, counted = batch.column("block")[row].as_py(), batch.column("counted")[row].as_py()
-                places = _places(batch.column("steps")[row].as_py())
-                known, local = (np.frombuffer(batch.column(c)[row].as_py(), k) for c, k in (("ids", np.int64), ("codes", np.int32)))
-                first = np.flatnonzero(places[1:] == places[:-1] + 1)
-                if not len(first):
-                    continue
-                pairs, codes = np.unique(local[first].astype(np.int64) * len(known) + local[first + 1], return_inverse=True)
-                codes, starts = codes.reshape(-1).astype(np.int32), places[first]
-                met = np.bincount(codes[starts < counted], minlength=len(pairs))
-                key = {"left": pa.array(known[pairs // len(known)]), "right": pa.array(known[pairs % len(known)])}
-                yield from _rows(block, key, met, codes, starts, counted)
-
-    return relation.mapInArrow(scan, f"block long, code int, left long, right long, n long, {ENTRIES}")
-
-
-def numbered(blocks: DataFrame, name: str, least: int, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(phrases of ``blocks`` met at least ``least`` times with ``id`` and ``f``, entries of the blocks that are among them)."""
-    listed = blocks.select("block", "code", *keys, "n")
-    frequent = listed.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    frequent = shared_table(frequent.withColumn("id", F.monotonically_increasing_id()), f"phrases-{name}")
-    back = listed.join(frequent.select(*keys, "id"), keys).groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("known"))
+    columns = ("lang", "word")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, parts: int):
+        self.parts = parts
+
+    def order(self, row: dict) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """(words by part, where each part begins, (number, bytes, begin and size of each word))."""
+        data, n = _unpacked(row["listed"]), row["known"]
+        met, sizes = _numbers(data, n), _numbers(data, n, 1)
+        letters = np.frombuffer(data, np.uint8, offset=16 * n)
+        starts = _starts(sizes)
+        inside = np.arange(len(letters)) - np.repeat(starts, sizes)
+        mixed = mix64(np.add.reduceat(mix64((inside + 1) * 256 + letters), starts))
+        return *_by_part((mixed % np.uint64(self.parts)).astype(np.int64), self.parts), (met, letters, starts, sizes)
+
+    def deal(self, row: dict) -> pa.RecordBatch:
+        order, cuts, (met, letters, starts, sizes) = self.order(row)
+        size = sizes[order]
+        begin = _starts(size)
+        moved = letters[np.repeat(starts[order] - begin, size) + np.arange(len(letters))]
+        ends = np.append(begin, len(moved))
+        return _dealt(row["block"], row["lang"], cuts, lambda s: _packed(met[order[s]], size[s], tail=moved[ends[s.start] : ends[s.stop]].tobytes()))
+
+    def meet(self, part: int, rows: list[dict]) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], dict]]:
+        """(code of each listed word, its number, columns of some codes) of the rows of a language."""
+        data = [_unpacked(r["listed"]) for r in rows]
+        met, sizes = (np.concatenate([_numbers(x, r["n"], at) for x, r in zip(data, rows, strict=True)]) for at in (0, 1))
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        letters = b"".join(x[16 * r["n"] :] for x, r in zip(data, rows, strict=True))
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(letters)]).dictionary_encode()
+        return found.indices.to_numpy().astype(np.int64), met, lambda some: {"word": found.dictionary.take(pa.array(some)).cast(pa.binary())}
+
+    def again(self, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(words by part, where each part begins, code and place of each entry) of a block."""
+        return *self.order(row)[:2], _numbers(_unpacked(row["codes"]), row["n"]), np.cumsum(_numbers(_unpacked(row["steps"]), row["n"]))
+
+
+class Pairs:
+    """The same for pairs of overlapping phrases: those whose numbers have a like sum, modulo the parts, meet in a part.
+
+    In a part a pair is one number, from which both of its phrases follow; in a block it grows, so its steps are listed.
+    """
+
+    columns = ("left", "right")
+
+    def __init__(self, parts: int, ids: int):
+        self.parts, self.span = parts, ids // parts + 1
+        if ids * self.span >= 1 << 63:
+            raise ValueError(f"pairs of {ids} phrases pass 64 bits")
+
+    def merge(self, row: dict) -> tuple[np.ndarray, ...]:
+        """(left and right of each distinct pair, ascending; pair and place of each entry) of a block joined with itself at the next place."""
+        known = _numbers(_unpacked(row["ids"]), row["known"])
+        local, steps = (_numbers(_unpacked(row[c]), row["n"]) for c in ("codes", "steps"))
+        first = np.flatnonzero(steps[1:] == 1)
+        pairs, codes = np.unique(local[first] * len(known) + local[first + 1], return_inverse=True)
+        return known[pairs // len(known)], known[pairs % len(known)], codes.reshape(-1), np.cumsum(steps)[first]
+
+    def deal(self, row: dict) -> pa.RecordBatch:
+        left, right, codes, places = self.merge(row)
+        met = np.bincount(codes[places < row["counted"]], minlength=len(left))
+        order, cuts = _by_part((left + right) % self.parts, self.parts)
+        one, met = (left * self.span + right // self.parts)[order], met[order]
+        return _dealt(row["block"], None, cuts, lambda s: _packed(met[s], np.diff(one[s], prepend=0)))
+
+    def meet(self, part: int, rows: list[dict]) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], dict]]:
+        data = [(_unpacked(r["listed"]), r["n"]) for r in rows]
+        met = np.concatenate([_numbers(x, n) for x, n in data])
+        pairs, codes = np.unique(np.concatenate([np.cumsum(_numbers(x, n, 1)) for x, n in data]), return_inverse=True)
+
+        def named(some: np.ndarray) -> dict:
+            left = pairs[some] // self.span
+            return {"left": left, "right": pairs[some] % self.span * self.parts + (part - left) % self.parts}
+
+        return codes.reshape(-1), met, named
+
+    def again(self, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        left, right, codes, places = self.merge(row)
+        return *_by_part((left + right) % self.parts, self.parts), codes, places
+
+
+def numbered(blocks: DataFrame, name: str, least: int, listing: Words | Pairs) -> tuple[DataFrame, DataFrame]:
+    """(words or pairs of ``blocks`` met at least ``least`` times with ``id`` and ``f``, relation of their entries)."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                known = batch.column("known")[row].values
-                local = np.frombuffer(batch.column("codes")[row].as_py(), np.int32)
-                to = np.full(int(local.max()) + 1, -1, np.int32)
-                to[known.field("code").to_numpy(zero_copy_only=False)] = np.arange(len(known), dtype=np.int32)
-                codes = to[local]
+                yield listing.deal(batch.slice(row, 1).to_pylist()[0])
+
+    kinds = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("n", pa.int32()), ("at", pa.binary()), ("ids", pa.binary()), ("id", pa.int64()), ("lang", pa.string()), ("word", pa.binary()), ("left", pa.int64()), ("right", pa.int64()), ("f", pa.int64())])
+
+    def rows_of(columns: dict, size: int) -> pa.Table:
+        return pa.table([pa.array(columns[k.name], k.type) if k.name in columns else pa.nulls(size, k.type) for k in kinds], schema=kinds)
+
+    def count(dealt: pa.Table) -> pa.Table:
+        part, made, out = dealt.column("part")[0].as_py(), 0, [kinds.empty_table()]
+        lang_of = lambda r: r["lang"] or ""
+        for lang, rows in groupby(sorted(dealt.to_pylist(), key=lang_of), lang_of):
+            rows = list(rows)
+            codes, met, named = listing.meet(part, rows)
+            f = np.bincount(codes, weights=met).astype(np.int64)
+            often = np.flatnonzero(f >= least)
+            ids = np.full(len(f), -1)
+            ids[often] = (made + np.arange(len(often))) * listing.parts + part
+            made += len(often)
+            out.append(rows_of({"id": ids[often], "lang": [lang] * len(often), "f": f[often]} | named(often), len(often)))
+            back, end = [], 0
+            for r in rows:
+                mine = ids[codes[end : end + r["n"]]]
+                end += r["n"]
+                if len(at := np.flatnonzero(mine >= 0)):
+                    back.append((r["block"], part, len(at), _packed(np.diff(at, prepend=0)), _packed(mine[at])))
+            if back:
+                out.append(rows_of(dict(zip(("block", "part", "n", "at", "ids"), zip(*back, strict=True), strict=True)), len(back)))
+        return pa.concat_tables(out)
+
+    def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                order, cuts, codes, places = listing.again(row)
+                ids = np.full(len(order), -1)
+                for r in row["back"]:
+                    ids[order[cuts[r["part"]] + np.cumsum(_numbers(_unpacked(r["at"]), r["n"]))]] = _numbers(_unpacked(r["ids"]), r["n"])
+                known, to = np.unique(ids, return_inverse=True)
+                rare = int(known[0] < 0)
+                codes = to.reshape(-1)[codes] - rare
                 stay = codes >= 0
-                ids = known.field("id").to_numpy(zero_copy_only=False).astype(np.int64)
-                held = [ids.tobytes(), codes[stay].tobytes(), _steps(_places(batch.column("steps")[row].as_py())[stay])]
-                columns = [batch.column("block").slice(row, 1), *(pa.array([x], pa.binary()) for x in held), batch.column("counted").slice(row, 1)]
-                yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "codes", "steps", "counted"])
+                values = [row["block"], int(stay.sum()), len(known) - rare, _packed(known[rare:]), _packed(codes[stay]), _packed(np.diff(places[stay], prepend=0)), row["counted"]]
+                names = ["block", "n", "known", "ids", "codes", "steps", "counted"]
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32() if c == "known" else None) for c, v in zip(names, values, strict=True)], names=names)
+
+    counted = shared_table(blocks.mapInArrow(deal, DEALT).groupBy("part").applyInArrow(count, COUNTED), f"counted-{name}")
+    frequent = counted.where("block is null").select("id", *listing.columns, "f")
+    back = counted.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("part", "n", "at", "ids")).alias("back"))
+    return frequent, bucketed_table(blocks.join(back, "block").mapInArrow(renumber, RELATION), "block", f"relation{name}")
+
 
-    entries = blocks.where("codes is not null").select("block", "codes", "steps", "counted")
-    kept = entries.join(back, "block").mapInArrow(scan, "block long, ids binary, codes binary, steps binary, counted long")
-    return frequent, shared_table(kept, f"relation-{name}", maxRecordsPerFile=PER_FILE)
+def parts_for(listed: int | None) -> int:
+    return max(PARTS, (listed or 0) // PART)
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, size: int = BLOCK) -> tuple[DataFrame, list[DataFrame]]:
@@ -170,16 +296,15 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     """
     # Bucketed by block: ids return to the entries without moving them.
     blocks = bucketed_table(occurrences(docs, longest, size), "block", "words")
-    totals = shared_table(blocks.groupBy("lang").agg(F.sum("n").alias("n_words")), "totals")
-    words, relation = numbered(blocks, "1", least, ["lang", "word"])
+    totals = shared_table(blocks.groupBy("lang").agg(F.sum("words").alias("n_words")), "totals")
+    words, relation = numbered(blocks, "1", least, Words(parts_for(blocks.agg(F.sum("known")).first()[0])))
     text = F.col("word").cast("string")
     found = [words.select("id", "lang", text.alias("phrase"), text.alias("last"), "f", F.array("f").alias("prefixes"), F.array("f").alias("suffixes"))]
     for length in range(2, longest + 1):
         discard(blocks)
-        blocks = bucketed_table(extend(relation), "block", "pairs")
-        discard(relation)
-        pairs, relation = numbered(blocks, str(length), least, ["left", "right"])
-        short = found[-1]
+        short, blocks = found[-1], relation
+        entries, ids = blocks.agg(F.sum("n")).first()[0], short.agg(F.max("id")).first()[0]
+        pairs, relation = numbered(blocks, str(length), least, Pairs(parts_for(entries), (ids or 0) + 1))
         start = short.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.col("prefixes").alias("p"))
         rest = short.select(F.col("id").alias("right"), "last", F.col("suffixes").alias("s"))
         longer = pairs.join(start, "left").join(rest, "right")

@@ -147,6 +147,34 @@ def test_collocations_of_nothing(spark):
     assert collocations.best(collocations.collocations(blank)).count() == 0
 
 
+def test_no_row_for_each_listed_word_or_pair(spark, monkeypatch):
+    """Blocks deal their words and pairs packed, so tables grow with blocks and frequent phrases, not with pairs met."""
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(200)]
+    docs = [("en", " ".join(r.choice(words) for _ in range(20_000))), ("de", "w1 w2 w3 " * 60)]
+    frame, rows = spark.createDataFrame(docs, "lang string, text string").coalesce(1), {}
+
+    def counting(write):
+        def counted(df, name, *more, **options):
+            written = write(df, name, *more, **options)
+            rows[more[0] if more else name] = written.count()
+            return written
+
+        return counted
+
+    monkeypatch.setattr(collocations, "shared_table", counting(collocations.shared_table))
+    monkeypatch.setattr(collocations, "bucketed_table", counting(collocations.bucketed_table))
+    _, found = collocations.frequent_phrases(frame, longest=3, least=50)
+    assert [x.groupBy("lang").count().orderBy("lang").collect() for x in found] == [[("de", 3), ("en", 200)], [("de", 3)], [("de", 3)]]
+    assert rows["words"] == 2 and max(rows.values()) <= 2 * 64 + 203
+
+
+def test_pairs_past_64_bits_are_refused():
+    collocations.Pairs(64, 1 << 34)
+    with pytest.raises(ValueError):
+        collocations.Pairs(64, 1 << 35)
+
+
 def test_scores_pass_64_bits():
     a, n = 3 * 10**12, 9 * 10**13
     assert collocations.weakest_cut([4 * 10**12, a], [5 * 10**12, a], n) == (1000 * a * n // (20 * 10**24), 1, 4 * 10**12, 5 * 10**12)

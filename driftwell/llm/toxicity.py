@@ -5,7 +5,8 @@ P = 1 - product(1 - p).  Gradients of the document likelihood reach the sentence
 labels only, tells which sentences offend.  Features are hashed words and word beginnings of 4 to 6 bytes.
 
 The model is fitted on a sample of labelled documents chosen by a hash of the id, about POSITIVES and NEGATIVES of each label
-at most.  Scoring reads every whole text.
+at most.  The driver fits it: it fetches the sample partition by partition and holds each word as a number of at most 4 bytes.
+Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -75,6 +76,68 @@ def sentence_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
     return matrix, first, text[first], starts[first], ends[last]
 
 
+def pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and past-the-last text of runs of at most PIECE bytes; a longer text is a run of its own."""
+    begin, texts = 0, len(offsets) - 1
+    while begin < texts:
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + PIECE, "right")) - 1)
+        yield begin, end
+        begin = end
+
+
+def text_features(texts: Sequence[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(features, first, text) of ``sentence_features`` by pieces; words are counted in each piece, texts in all."""
+    raw = [(t or "").encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(b) for b in raw])])
+    for begin, end in pieces(offsets):
+        data = np.frombuffer(b"".join(raw[begin:end]), np.uint8)
+        features, first, text, _, _ = sentence_features(data, offsets[begin : end + 1] - offsets[begin])
+        yield features, first, text + begin
+
+
+def packed(features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of ``features``, and the place of each row among them in as few bytes as that takes."""
+    order = np.lexsort(features.T)
+    ranked = features[order]
+    new = np.concatenate([[True], (ranked[1:] != ranked[:-1]).any(1)])[: len(order)]
+    place = np.empty(len(order), np.min_scalar_type(int(new.sum())))
+    place[order] = np.cumsum(new) - 1
+    return ranked[new], place
+
+
+class Batch:
+    """Sentences of some labelled texts.  A text repeats most of its words, so their features are held once a batch."""
+
+    def __init__(self, texts: Sequence[str | None], label: np.ndarray) -> None:
+        self.label = label
+        distinct, places, firsts, texts_of, held, words = [], [], [], [], 0, 0
+        for features, first, text in text_features(texts):
+            rows, place = packed(features)
+            distinct.append(rows)
+            places.append(place.astype(np.int32) + np.int32(held))
+            firsts.append((first + words).astype(np.int32))
+            texts_of.append(text.astype(np.int32))
+            held, words = held + len(rows), words + len(place)
+        rows, again = packed(np.concatenate(distinct))
+        self.place = again[np.concatenate(places)]
+        self.first, self.text = np.concatenate(firsts), np.concatenate(texts_of)
+        self.sizes = np.diff(np.concatenate([self.first, [words]])).astype(np.int32)
+        self.used, where = np.unique(rows, return_inverse=True)
+        self.where = where.reshape(rows.shape).astype(np.int32)  # the features of each distinct word, as places in ``used``
+
+    def scores(self, weights: np.ndarray, bias: float) -> np.ndarray:
+        """``sentence_scores`` of the batch."""
+        return np.add.reduceat(weights[self.used][self.where].sum(1, dtype=np.float64)[self.place], self.first) + bias
+
+    def slopes(self, slope: np.ndarray) -> np.ndarray:
+        """Sum of ``slope`` (one of each sentence) over the words with each feature of ``used``."""
+        return np.bincount(self.where[self.place].ravel(), np.repeat(np.repeat(slope, self.sizes), self.where.shape[1]), minlength=len(self.used))
+
+    def counts(self) -> np.ndarray:
+        """Number of words with each feature of ``used``."""
+        return np.bincount(self.where.ravel(), np.repeat(np.bincount(self.place, minlength=len(self.where)), self.where.shape[1]), minlength=len(self.used)).astype(np.int64)
+
+
 def sentence_scores(weights: np.ndarray, bias: float, features: np.ndarray, first: np.ndarray) -> np.ndarray:
     """w x + b of each sentence."""
     if not len(first):
@@ -94,30 +157,26 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray
     met = np.zeros(FEATURES, np.int64)
     for at in range(0, len(order), BATCH):
         rows = order[at : at + BATCH]
-        raw = [(texts[r] or "").encode() for r in rows]
-        offsets = np.concatenate([[0], np.cumsum([len(b) for b in raw])])
-        features, first, text, _, _ = sentence_features(np.frombuffer(b"".join(raw), np.uint8), offsets)
-        met += np.bincount(features.ravel(), minlength=FEATURES)
-        batches.append((features, first, text, labels[rows]))
+        batch = Batch([texts[r] for r in rows], labels[rows])
+        if len(batch.first):
+            met[batch.used] += batch.counts()
+            batches.append(batch)
     left_out = met < RARE
     left_out[-1] = True
     weights, slow = np.zeros(FEATURES), np.full(FEATURES, 1e-6)
     bias, slow_bias = -4.0, 1e-6
     for _ in range(PASSES):
-        for features, first, text, label in batches:
-            if not len(first):
-                continue
-            z = sentence_scores(weights, bias, features, first)
-            clean = np.exp(-np.bincount(text, np.logaddexp(0, z), minlength=len(label)))
-            pull = np.where(label == 1, -clean / np.maximum(1 - clean, 1e-6), 1.0)
-            slope = pull[text] / (1 + np.exp(-np.clip(z, -50, 50)))
-            sizes = np.diff(np.concatenate([first, [len(features)]]))
-            used, where = np.unique(features.ravel(), return_inverse=True)
-            step = np.bincount(where, np.repeat(np.repeat(slope, sizes), features.shape[1]), minlength=len(used)) / len(label) + DECAY * weights[used]
+        for batch in batches:
+            z = batch.scores(weights, bias)
+            clean = np.exp(-np.bincount(batch.text, np.logaddexp(0, z), minlength=len(batch.label)))
+            pull = np.where(batch.label == 1, -clean / np.maximum(1 - clean, 1e-6), 1.0)
+            slope = pull[batch.text] / (1 + np.exp(-np.clip(z, -50, 50)))
+            used = batch.used
+            step = batch.slopes(slope) / len(batch.label) + DECAY * weights[used]
             step[left_out[used]] = 0
             slow[used] += step * step
             weights[used] -= RATE * step / np.sqrt(slow[used])
-            turn = slope.sum() / len(label)
+            turn = slope.sum() / len(batch.label)
             slow_bias += turn * turn
             bias -= RATE * turn / np.sqrt(slow_bias)
     return weights.astype(np.float32), float(bias)
@@ -132,14 +191,13 @@ def calibrated(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float]
     shift = 0.0
     if len(set(labels[apart].tolist())) == 2 and len(set(labels[~apart].tolist())) == 2:
         weights, bias = fit([t for t, a in zip(texts, apart, strict=True) if not a], labels[~apart])
-        raw = [(t or "").encode() for t, a in zip(texts, apart, strict=True) if a]
-        offsets = np.concatenate([[0], np.cumsum([len(b) for b in raw])])
-        features, first, text, _, _ = sentence_features(np.frombuffer(b"".join(raw), np.uint8), offsets)
-        z, toxic = sentence_scores(weights, bias, features, first), labels[apart] == 1
+        kept_out, toxic = [t for t, a in zip(texts, apart, strict=True) if a], labels[apart] == 1
+        scored = [(sentence_scores(weights, bias, features, first), text) for features, first, text in text_features(kept_out)]
+        z, text = (np.concatenate(x) for x in zip(*scored, strict=True))
         steps = np.arange(0, 5, 0.25)
         right = []
         for step in steps:
-            told = noisy_or(z + step, text, len(raw)) >= 0.5
+            told = noisy_or(z + step, text, len(kept_out)) >= 0.5
             right.append(told[toxic].mean() - CAUTION * told[~toxic].mean())
         best = np.flatnonzero(np.array(right) >= max(right) - 1e-9)
         shift = float(steps[best[len(best) // 2]])
@@ -161,10 +219,14 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
     place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1e6
     chosen = known.where(place < F.when(F.col("toxic") == 1, part[1]).otherwise(part[0]))
     # The sample is bounded, so its ids go to the texts and not the texts to them.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").collect()
-    if len({r["toxic"] for r in rows}) < 2:
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").select("text", "toxic")
+    texts, toxic = [], []
+    for text, label in rows.toLocalIterator():  # a partition at a time
+        texts.append(text)
+        toxic.append(label)
+    if len(set(toxic)) < 2:
         return np.zeros(FEATURES, np.float32), UNTRAINED
-    return calibrated([r["text"] for r in rows], np.array([r["toxic"] for r in rows]))
+    return calibrated(texts, np.array(toxic))
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float = 0.5, carry: Sequence[str] = ()) -> DataFrame:
@@ -180,9 +242,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float =
         w, b = model.value
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
-            begin, rows = 0, batch.num_rows
-            while begin < rows:
-                end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + PIECE, "right")) - 1)
+            for begin, end in pieces(offsets):
                 own = offsets[begin : end + 1]
                 features, first, text, start, stop = sentence_features(data[own[0] : own[-1]], own - own[0])
                 z = sentence_scores(w, b, features, first)
@@ -194,7 +254,6 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float =
                     spans[text[k]].append({"start": int(start[k]) - at, "end": int(stop[k]) - at, "score": float(p[k])})
                 kept = [batch.column(c)[begin:end] for c in names]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(scores), pa.array(spans, kind)], names=[*names, "score", "offending"])
-                begin = end
 
     names = ["doc_id", *[c for c in carry if c != "doc_id"]]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c for c in names if c not in ("doc_id", "text")], "text")

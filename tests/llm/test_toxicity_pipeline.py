@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -22,6 +23,47 @@ def test_noisy_or():
     assert np.allclose(toxicity.noisy_or(z, np.array([0, 0, 1]), 3), [0.75, 0, 0])
 
 
+def _texts(n, sentences):
+    r = random.Random(1)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(2000)]
+    texts = [". ".join(" ".join(r.choice(words) for _ in range(12)) for _ in range(sentences)) for _ in range(n)]
+    return texts, np.array([int(i % 3 == 0) for i in range(n)])
+
+
+def test_packed_batches_give_the_same_sums():
+    texts = [*_texts(30, 80)[0], None, "", "?!", "Über über ueber. Über"]  # more than one piece
+    raw = [(t or "").encode() for t in texts]
+    assert sum(map(len, raw)) > toxicity.PIECE
+    features, first, text, _, _ = toxicity.sentence_features(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in raw])]))
+    batch = toxicity.Batch(texts, np.zeros(len(texts), int))
+    weights = np.random.default_rng(2).normal(size=toxicity.FEATURES)
+    assert batch.first.tolist() == first.tolist() and batch.text.tolist() == text.tolist()
+    assert np.array_equal(batch.scores(weights, 0.5), toxicity.sentence_scores(weights, 0.5, features, first))
+    used, where, counts = np.unique(features.ravel(), return_inverse=True, return_counts=True)
+    slope = np.random.default_rng(3).normal(size=len(first))
+    sizes = np.diff(np.concatenate([first, [len(features)]]))
+    assert np.array_equal(batch.used, used) and np.array_equal(batch.counts(), counts)
+    assert np.array_equal(batch.slopes(slope), np.bincount(where, np.repeat(np.repeat(slope, sizes), features.shape[1])))
+    for empty in ([None], ["", "?"]):
+        assert not len(toxicity.Batch(empty, np.zeros(len(empty), int)).first)
+
+
+def test_fit_looks_at_pieces_and_holds_little(monkeypatch):
+    """The arrays of a scan are many times its bytes, and a fit holds fewer bytes than the features of its words."""
+    texts, labels = _texts(3000, 40)
+    size, sizes, own = sum(map(len, texts)), [], toxicity.sentence_features
+    monkeypatch.setattr(toxicity, "sentence_features", lambda data, offsets: sizes.append(len(data)) or own(data, offsets))
+    monkeypatch.setattr(toxicity, "PASSES", 1)
+    tracemalloc.start()
+    try:
+        toxicity.calibrated(texts, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert max(sizes) <= toxicity.PIECE
+    assert peak < 4 * 8 * toxicity.FEATURES + 4 * size
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     r = random.Random(0)
@@ -56,6 +98,15 @@ def test_learns_sentences_from_document_labels(spark, labelled):
             assert r.score == 0 and r.offending == []
 
 
+def test_sample_is_fetched_by_partitions(spark, labelled, monkeypatch):
+    docs, labels = labelled
+    whole = type(docs).collect
+    collected = []
+    monkeypatch.setattr(type(docs), "collect", lambda df: collected.append(df.columns) or whole(df))
+    toxicity.train(docs, labels)
+    assert all("text" not in c for c in collected)
+
+
 def test_without_labels_or_rows(spark, labelled):
     docs, labels = labelled
     weights, bias = toxicity.train(docs, labels.limit(0))

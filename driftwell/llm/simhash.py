@@ -28,6 +28,7 @@ from driftwell.llm.feistel import mix64
 SEGMENTS, BITS, BUDGET = 8, 8, 3
 BLOCK = 512  # fingerprints compared at once
 SHINGLES = 400_000  # shingle hashes compared at once
+PAIRS = 1_000_000  # pairs of texts whose similarity is held at once
 BANDS, MISSED = 64, 1e-5  # keys of a text in ``sketches``, and the share of pairs at the similarity itself that may share none
 
 
@@ -95,7 +96,10 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
         front = np.array([root])
         reached[root] = True
         while len(front):
-            found = linked[front].any(0) & ~reached
+            found = np.zeros(len(linked), bool)
+            for at in range(0, len(front), BLOCK):
+                found |= linked[front[at : at + BLOCK]].any(0)
+            found &= ~reached
             reached |= found
             front = np.flatnonzero(found)
         todo &= ~reached
@@ -310,24 +314,35 @@ def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8)
 
 
 def _similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Adjacency of sets with at least the given Jaccard similarity, from exact sizes of their intersections."""
-    sizes = np.array([len(s) for s in sets])
+    """Adjacency of sets with at least the given Jaccard similarity, from exact sizes of their intersections.
+
+    Sets are compared in strips of about ``PAIRS`` pairs with those from the strip on; beside the adjacency, memory holds one strip.
+    """
+    n, sizes = len(sets), np.array([len(s) for s in sets])
     values, where = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    often = np.bincount(where, minlength=len(values)) > 1
-    column = np.cumsum(often) - 1
-    keep = often[where]
-    owner, where = owner[keep], column[where[keep]]
-    common = np.zeros((len(sets), len(sets)), np.float32)
+    owner = np.repeat(np.arange(n), sizes)
+    keep = (np.bincount(where, minlength=len(values)) > 1)[where]
+    owner, where = owner[keep], where[keep]
     order = np.argsort(where, kind="stable")
     owner, where = owner[order], where[order]
-    step = max(256, 4_000_000 // len(sets))
-    for low in range(0, int(often.sum()), step):
-        a, b = np.searchsorted(where, [low, low + step])
-        held = np.zeros((len(sets), step), np.float32)
-        held[owner[a:b], where[a:b] - low] = 1
-        common += held @ held.T
-    union = sizes[:, None] + sizes[None, :] - common
-    linked = common >= similarity * union - 1e-6
+    linked = np.zeros((n, n), bool)
+    rows, step = max(64, PAIRS // n), max(256, 2 * PAIRS // n)
+    for top in range(0, n, rows):
+        end = min(n, top + rows)
+        # Only hashes that the strip holds can be common; they become columns.
+        here = np.zeros(len(values), bool)
+        here[where[(owner >= top) & (owner < end)]] = True
+        column = np.cumsum(here) - 1
+        mine = here[where] & (owner >= top)
+        row, col = owner[mine] - top, column[where[mine]]
+        common = np.zeros((end - top, n - top), np.float32)
+        for low in range(0, int(here.sum()), step):
+            a, b = np.searchsorted(col, [low, low + step])
+            held = np.zeros((n - top, step), np.float32)
+            held[row[a:b], col[a:b] - low] = 1
+            common += held[: end - top] @ held.T
+        union = sizes[top:end, None] + sizes[None, top:] - common
+        linked[top:end, top:] = common >= similarity * union - 1e-6
+        linked[top:, top:end] |= linked[top:end, top:].T
     np.fill_diagonal(linked, False)
     return linked

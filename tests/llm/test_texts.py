@@ -194,6 +194,25 @@ def test_text_groups_find_substitutions_and_passages(spark):
     assert [(a, b, j) for a, b, j in pairs if got[a] != a or got[b] != a] == []
 
 
+def test_similarity_of_a_crowd_is_held_in_strips(monkeypatch):
+    import tracemalloc
+
+    r = np.random.default_rng(6)
+    base = r.integers(-(2**62), 2**62, 40)
+    sets = [np.unique(np.where(r.random(40) < r.choice([0, 0.05, 0.5]), r.integers(-(2**62), 2**62, 40), base)) for _ in range(90)]
+    want = [[i != j and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    for pairs in (1, 700, 6_500, simhash.PAIRS):
+        monkeypatch.setattr(simhash, "PAIRS", pairs)
+        assert simhash._similar(sets, 0.8).tolist() == want
+    crowd = [np.sort(np.append(base[:5], i)) for i in range(4_000)]
+    tracemalloc.start()
+    linked = simhash._similar(crowd, 0.8)
+    assert not linked.any() and simhash._forest(~linked) == [(0, i) for i in range(1, 4_000)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "u long, v long")
     got = {x.node: x.root for x in components(edges).collect()}
